@@ -89,43 +89,46 @@ def draws(sizes: DataFrame, targets: DataFrame, most: int = MOST, block_words: i
     return d.withColumn("copies", F.col("whole") + F.when(partial & (F.col("whole") < most) & (F.col("size") > 0), 1).otherwise(0)).drop("e_id", "e_source", "e_size", "e_rows")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """How many of ``drawn`` from ``total``, of which ``good`` are good, are good: inversion at ``u``, outward from the mode.
 
     The probabilities are scaled so that the mode has weight 1; both sums run over the range within ten deviations.
     """
-    mode = F.floor((drawn + 1) * (good + 1) / (total + 2))
-    low, high = F.greatest(F.lit(0), drawn - (total - good)), F.least(drawn, good)
-    spread = F.ceil(10 * F.sqrt(drawn * good / F.greatest(total, F.lit(1)))) + 10
-    low, high = F.greatest(low, mode - spread).cast("long"), F.least(high, mode + spread).cast("long")
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"))
 
-    def up(s, k):
-        w = s["w"] * (good - k + 1) * (drawn - k + 1) / (k * (total - good - drawn + k))
-        return F.struct(w.alias("w"), (s["sum"] + w).alias("sum"))
+    def up(s, k, p):
+        return s["w"] * (p["good"] - k + 1) * (p["drawn"] - k + 1) / (k * (p["total"] - p["good"] - p["drawn"] + k))
 
-    def down(s, k):
-        w = s["w"] * ((k + 1) * (total - good - drawn + k + 1)) / ((good - k) * (drawn - k))
-        return F.struct(w.alias("w"), (s["sum"] + w).alias("sum"))
+    def down(s, k, p):
+        return s["w"] * ((k + 1) * (p["total"] - p["good"] - p["drawn"] + k + 1)) / ((p["good"] - k) * (p["drawn"] - k))
 
-    mode = F.least(F.greatest(mode, low), high).cast("long")
-    ups = F.when(high > mode, F.sequence(mode + 1, high)).otherwise(F.array().cast("array<bigint>"))
-    downs = F.when(mode > low, F.sequence(mode - 1, low, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    above = F.aggregate(ups, start, up)["sum"]
-    mass = above + F.aggregate(downs, start, down)["sum"] - 1.0
-    at = u * mass
+    def summed(ks, p, step):
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+        return F.aggregate(ks, start, lambda s, k: _let(step(s, k, p), lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum"))))["sum"]
+
+    def seek(ks, p, step, begun, at):
+        start = F.struct(F.lit(1.0).alias("w"), begun.alias("sum"), F.lit(None).cast("bigint").alias("k"))
 
-    def seek(step):
         def go(s, k):
-            n = step(s, k)
-            return F.struct(n["w"].alias("w"), n["sum"].alias("sum"), F.coalesce(s["k"], F.when(n["sum"] > at, k)).alias("k"))
+            return _let(step(s, k, p), lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum"), F.coalesce(s["k"], F.when(s["sum"] + w > at, k)).alias("k")))
+
+        return F.aggregate(ks, start, go)["k"]
 
-        return go
+    def ranged(p):
+        none = F.array().cast("array<bigint>")
+        ups = F.when(p["high"] > p["mode"], F.sequence(p["mode"] + 1, p["high"])).otherwise(none)
+        downs = F.when(p["mode"] > p["low"], F.sequence(p["mode"] - 1, p["low"], F.lit(-1).cast("long"))).otherwise(none)
+        return _let(F.struct(summed(ups, p, up).alias("above"), summed(downs, p, down).alias("below")), lambda m: _let(u * (1.0 + m["above"] + m["below"]), lambda at: F.when(at < 1.0, p["mode"]).otherwise(F.coalesce(seek(ups, p, up, F.lit(1.0), at), seek(downs, p, down, 1.0 + m["above"], at), p["mode"]))))
 
-    first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), F.when(at < 1.0, mode).alias("k"))
-    rising = F.aggregate(ups, first, seek(up))
-    again = F.struct(F.lit(1.0).alias("w"), above.alias("sum"), F.lit(None).cast("bigint").alias("k"))
-    return F.coalesce(rising["k"], F.aggregate(downs, again, seek(down))["k"], mode)
+    low, high = F.greatest(F.lit(0), drawn - (total - good)), F.least(drawn, good)
+    spread = F.ceil(10 * F.sqrt(drawn * good / F.greatest(total, F.lit(1)))) + 10
+    mode = F.least(F.greatest(F.floor((drawn + 1) * (good + 1) / (total + 2)), low), high)
+    first = F.struct(total.alias("total"), good.alias("good"), drawn.alias("drawn"), low.alias("low"), high.alias("high"), mode.cast("long").alias("mode"), spread.alias("spread"))
+    return _let(first, lambda p: _let(F.struct(p["total"].alias("total"), p["good"].alias("good"), p["drawn"].alias("drawn"), p["mode"].alias("mode"), F.greatest(p["low"], p["mode"] - p["spread"]).cast("long").alias("low"), F.least(p["high"], p["mode"] + p["spread"]).cast("long").alias("high")), ranged))
 
 
 def shard_quotas(quotas: DataFrame, levels: int = LEVELS, seed: str = "t") -> DataFrame:
@@ -143,8 +146,8 @@ def shard_quotas(quotas: DataFrame, levels: int = LEVELS, seed: str = "t") -> Da
         node = node.withColumns({"total": total, "half": half.cast("long")})
 
         def draw(acc, x):
-            k = _hypergeometric(acc["total"], x["q"], acc["left"], unit(F.lit(seed), acc["node"], x["s"]))
-            return F.struct((acc["total"] - x["q"]).alias("total"), (acc["left"] - k).alias("left"), acc["node"].alias("node"), F.concat(acc["v"], F.array(F.struct(x["s"].alias("s"), k.alias("q")))).alias("v"))
+            drawn = _hypergeometric(acc["total"], x["q"], acc["left"], unit(F.lit(seed), acc["node"], x["s"]))
+            return _let(drawn, lambda k: F.struct((acc["total"] - x["q"]).alias("total"), (acc["left"] - k).alias("left"), acc["node"].alias("node"), F.concat(acc["v"], F.array(F.struct(x["s"].alias("s"), k.alias("q")))).alias("v")))
 
         begin = F.struct(F.col("total").alias("total"), F.col("half").alias("left"), F.col("node").alias("node"), none.alias("v"))
         node = node.withColumn("l", F.aggregate("v", begin, draw)["v"])
@@ -167,7 +170,8 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple
     columns are ignored.
     """
     sizes = written(sized(docs), "mix-sizes")
-    targets = source_targets(sizes, share, most, weights)
+    # written, so that its size is known where the joins on the source choose whether to broadcast it
+    targets = written(source_targets(sizes, share, most, weights), "mix-targets")
     plan = draws(sizes, targets, most, block_words)
     copies = plan.filter("copies > 0").select("doc_id", "source", "block", "place", "n_blocks", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("pass"))
     # draws of a source: its blocks in the order of the pass, one pass after the other
