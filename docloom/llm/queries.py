@@ -17,6 +17,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(shards.hint("shuffle_hash"), "doc_id", "left")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docloom.llm.token_store import token_output
+
+    return token_output(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.media_tar import media_columns
 
