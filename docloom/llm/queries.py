@@ -32,6 +32,31 @@ def op7_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(load(spark, sf_dir, "documents")).select(*cols)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.toxicity import REJECT, fit, labelled, toxicity
+
+    docs = load(spark, sf_dir, "documents")
+    rows = toxicity(docs.select("doc_id", "text"), fit(labelled(docs, load(spark, sf_dir, "labels"))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docloom.llm.token_count import token_counts
+
+    return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.langid import Model, identify, labelled
+
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return identify(docs, Model(labelled(docs))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
