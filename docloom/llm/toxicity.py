@@ -122,7 +122,7 @@ def _dictionary(counted: list[tuple[int, str]], size: int) -> bytes:
         return b"".join(code(w) for _, w in sorted(counted))[-size:] or b"\0" * 8
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Ridge logistic regression by Newton steps; window weights are kept from falling below 0."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
