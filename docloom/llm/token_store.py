@@ -35,6 +35,9 @@ PACK_BYTES = 64 << 20
 _WORD = re.compile("[^\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
+#: Signs that may follow a word of letters; together they are one pre-token.
+TAIL = ".,;:!?%$&*#()[]-"
+
 _codecs: dict[str, "WordCodec"] = {}
 
 
@@ -48,47 +51,117 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        #: place of each word; an unseen word gets the next place and waits in ``unseen``
+        self.known, self.unseen = _Places(), []
+        self.known.unseen = self.unseen
+        self.cores: dict[str, int] = {}
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.core_starts, self.core_lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            n, k = np.bincount(of, minlength=len(part)) if len(of) else np.zeros(len(part), np.int64), len(self.known)
-            while k + len(part) > len(self.lens):
-                self.starts, self.lens = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lens, np.zeros_like(self.lens)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.lens[k : k + len(part)] = n
-            self.starts[k : k + len(part)] = self.used + np.cumsum(n) - n
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known.update(zip(part, range(k, k + len(part))))
+    def _keep(self, ids: np.ndarray) -> int:
+        """Append ids to the flat array; where they begin."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _cores(self, cores: list[str]) -> None:
+        """Learn words of letters alone: each is one pre-token, whose last id ends a word."""
+        for at in range(0, len(cores), 20_000):
+            part = cores[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a word of letters is not one pre-token of this tokenizer")
+            k = len(self.cores)
+            self.core_starts, self.core_lens = _grown(self.core_starts, k + len(part)), _grown(self.core_lens, k + len(part))
+            n = np.diff(ends, prepend=0)
+            self.core_starts[k : k + len(part)] = self._keep(ids) + ends - n
+            self.core_lens[k : k + len(part)] = n
+            self.cores.update(zip(part, range(k, k + len(part))))
+
+    def _learn(self) -> None:
+        words, cores = self.unseen, self.cores
+        self.unseen = self.known.unseen = []
+        first = len(self.known) - len(words)
+        self.starts, self.lens = _grown(self.starts, len(self.known)), _grown(self.lens, len(self.known))
+        plain, tails, odd, places = [], [], [], []
+        for i, w in enumerate(words):
+            core = w.rstrip(TAIL)
+            # letters below U+0130 are in normal form and have one lower-case letter each
+            if core and core.isalpha() and max(core) < "\u0130":
+                plain.append(core.lower()), tails.append(w[len(core) :]), places.append(i)
+            else:
+                odd.append(i)
+        self._cores([w for w in dict.fromkeys(plain) if w not in cores])
+        if places:
+            of = np.array([cores[w] for w in plain])
+            at = np.array(places) + first
+            self.starts[at], self.lens[at] = self.core_starts[of], self.core_lens[of]
+        endings = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        pieces = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if t else [], np.uint32) for t in endings]
+        if places:
+            self._join(at, np.array([len(x) for x in pieces]), np.concatenate(pieces), np.array([endings[t] for t in tails]))
+        for at in range(0, len(odd), 1000):
+            part = odd[at : at + 1000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                self.starts[first + i], self.lens[first + i] = self._keep(ids), len(ids)
+
+    def _join(self, words: np.ndarray, tail_lens: np.ndarray, tail_ids: np.ndarray, tail: np.ndarray) -> None:
+        """Give each of ``words``, which have their core's ids so far, the ids of its tail too."""
+        some = tail_lens[tail] > 0
+        words, tail = words[some], tail[some]
+        head, after = self.lens[words], tail_lens[tail]
+        n = head + after
+        begin = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.uint32)
+        out[_ranges(begin, head)] = self.flat[_ranges(self.starts[words], head)]
+        out[_ranges(begin + head, after)] = tail_ids[_ranges((np.cumsum(tail_lens) - tail_lens)[tail], after)]
+        self.starts[words], self.lens[words] = self._keep(out) + begin, n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each."""
         split = [_WORD.findall(t) if _CONTROL.search(t) else t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self._learn(list(new))
-        words = np.array([known[w] for words in split for w in words], np.int64)
+        place = self.known.__getitem__
+        words = np.concatenate([np.fromiter(map(place, x), np.int64, len(x)) for x in split]) if split else np.zeros(0, np.int64)
+        if self.unseen:
+            self._learn()
         n = self.lens[words]
         upto = np.cumsum(n)
-        at = np.repeat(self.starts[words] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)
+        at = _ranges(self.starts[words], n)
         count = np.array([len(x) for x in split], np.int64)
         ends = np.concatenate([[0], upto])[np.cumsum(count)]
         return self.flat[at], np.diff(ends, prepend=0)
 
 
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``starts`` and have ``lens`` numbers."""
+    upto = np.cumsum(lens)
+    return np.repeat(starts - (upto - lens), lens) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
+class _Places(dict):
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.unseen.append(word)
+        return k
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, len(a)), a.dtype)])
+
+
 def codec(path: str) -> WordCodec:
     if path not in _codecs:
         _codecs[path] = WordCodec(path)
@@ -258,7 +331,7 @@ def read_store(spark: SparkSession, at: str, wide: bool = False, ids: bool = Fal
     listed = found.groupBy("part", "start", "root").agg(F.array_sort(F.collect_list(F.struct("n", "pack", "offset", "length", "digest"))).alias("c"))
     # documents of one stretch of a pack are read by one task, in the pack's order
     first = F.col("c")[0]
-    listed = listed.withColumns({"pack": first["pack"], "offset": first["offset"]}).repartitionByRange(shuffle_partitions(spark), "pack", "offset").sortWithinPartitions("pack", "offset").drop("pack", "offset")
+    listed = listed.withColumns({"pack": first["pack"], "offset": first["offset"]}).repartitionByRange(shuffle_partitions(spark), "pack", "offset", "start").sortWithinPartitions("pack", "offset").drop("pack", "offset")
     ids_type = "<u4" if wide else "<u2"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
