@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 #: Rows of each language that the model is fitted on at most, and languages that it knows at most (the most frequent).
 FIT_ROWS, MOST_LANGUAGES = 600, 200
 ORDER, SMOOTH = 4, 0.5
-SWITCH = 8.0
+SWITCH = 24.0
 UNKNOWN = "und"
+#: A word counts against a language by this at most.
+FLOOR = -30.0
 CACHED_WORDS = 1 << 19
 #: Words of one Viterbi block at most (documents times the longest one's words).
 CELLS = 1 << 20
@@ -59,37 +61,35 @@ class Model:
         #: Languages that write at least one word in a hundred thousand of their text in the script.
         size = {lang: 1 + sum(c[lang] for c in scripts.values()) for lang in self.langs}
         self.of_script = {s: np.array([c[lang] > 1e-5 * size[lang] for lang in self.langs]) for s, c in scripts.items()}
-        self.tables: dict[str, np.ndarray] = {}
-        width = len(self.langs)
+        self.width = len(self.langs)
+        self.places: dict[str, int] = {}
+        table = [np.zeros((1, self.width), np.float32)]
         for n in range(1, ORDER + 1):
+            sums = np.array([sum(counts[lang][n].values()) for lang in self.langs], float)
             every = set().union(*(counts[lang][n] for lang in self.langs)) if self.langs else set()
             # n-grams seen once in all carry little and would fill memory
-            every = {g for g in every if n < 3 or sum(counts[lang][n][g] for lang in self.langs) > 1}
-            low = np.array([np.log(SMOOTH / (sum(counts[lang][n].values()) + SMOOTH * (len(every) + 1))) for lang in self.langs])
-            self.tables[str(n)] = low
-            for g in every:
-                self.tables["=" + g] = np.array([np.log((counts[lang][n][g] + SMOOTH) / (sum_n + SMOOTH * (len(every) + 1))) for lang, sum_n in zip(self.langs, self._sums(counts, n))], np.float32)
-        self.width = width
+            every = sorted(g for g in every if n < 3 or sum(counts[lang][n][g] for lang in self.langs) > 1)
+            seen = np.array([[counts[lang][n][g] for lang in self.langs] for g in every], float).reshape(len(every), self.width)
+            self.places.update((g, sum(map(len, table)) + i) for i, g in enumerate(every))
+            table.append(np.log((seen + SMOOTH) / (sums + SMOOTH * (len(every) + 1))).astype(np.float32))
+        #: a row for each known n-gram; row 0, of unknown ones, favours no language
+        self.table = np.concatenate(table)
         self._known: dict[str, int] = {}
 
-    def _sums(self, counts, n):
-        key = f"s{n}"
-        if key not in self.__dict__:
-            self.__dict__[key] = [sum(counts[lang][n].values()) for lang in self.langs]
-        return self.__dict__[key]
-
-    def word(self, w: str) -> np.ndarray:
-        """Scores of a word in each language, less the best; languages of other scripts are far behind."""
-        t = self.tables
-        s = np.zeros(self.width)
-        for g in grams(w):
-            x = t.get("=" + g)
-            if x is not None:
-                s += x
-        s -= s.max()
-        if (m := self.of_script.get(script(w))) is not None and m.any() and not m.all():
-            s = np.where(m, s - s[m].max(), -50.0)
-        return np.maximum(s, -50.0)
+    def words(self, ws: list[str]) -> np.ndarray:
+        """Scores of words in each language, less the best; languages of other scripts are far behind."""
+        get = self.places.get
+        at: list[int] = []
+        starts = []
+        for w in ws:
+            starts.append(len(at))
+            at += [get(g, 0) for g in grams(w)]
+        s = np.add.reduceat(self.table[at], starts, axis=0)
+        s -= s.max(1, keepdims=True)
+        for i, w in enumerate(ws):
+            if not w.isascii() and (m := self.of_script.get(script(w))) is not None and m.any() and not m.all():
+                s[i] = np.where(m, s[i] - s[i][m].max(), FLOOR)
+        return np.maximum(s, FLOOR)
 
     def label(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Spans of each text: (language, first word, letters), in order."""
@@ -99,18 +99,26 @@ class Model:
             known.clear()
         if not known:
             self._flat = np.zeros((1 << 16, self.width), np.float32)
-        for ws in split:
-            for w in ws:
-                if w not in known:
-                    k = known[w] = len(known)
-                    if k >= len(self._flat):
-                        self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-                    self._flat[k] = self.word(w)
+        new = list({w for ws in split for w in ws if w not in known})
+        for i in range(0, len(new), 5000):
+            part, k = new[i : i + 5000], len(known)
+            while k + len(part) > len(self._flat):
+                self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+            self._flat[k : k + len(part)] = self.words(part)
+            known.update(zip(part, range(k, k + len(part))))
         out: list = [[] for _ in texts]
-        order = sorted((i for i in range(len(texts)) if split[i]), key=lambda i: len(split[i]))
+        order = []
+        for i, ws in enumerate(split):
+            if ws:
+                one = self._single(self._flat[[known[w] for w in ws]])
+                if one is None:
+                    order.append(i)
+                else:
+                    out[i] = [(one, 0, sum(map(len, ws)))]
+        order.sort(key=lambda i: len(split[i]))
         while order:
             n = 1
-            while n < len(order) and (n + 1) * len(split[order[-n - 1]]) >= 0 and (n + 1) * len(split[order[-1]]) <= CELLS:
+            while n < len(order) and (n + 1) * len(split[order[-1]]) <= CELLS:
                 n += 1
             block, order = order[-n:], order[:-n]
             for i, path in zip(block, self._viterbi([np.array([known[w] for w in split[i]]) for i in block])):
@@ -119,6 +127,20 @@ class Model:
                 out[i] = [(int(path[a]), int(a), int(sizes[a:b].sum())) for a, b in zip([0, *cut], [*cut, len(path)])]
         return out
 
+    def _single(self, scores: np.ndarray) -> int | None:
+        """The language of the whole text if one span certainly is Viterbi's answer, else None.
+
+        With k spans of other languages a path gains at most k times the best stretch of any of them and pays k - 1 switches at
+        least; if no stretch gains more than half a switch, no path beats the best single language.
+        """
+        total = scores.sum(0)
+        best = int(total.argmax())
+        upto = np.cumsum(scores - scores[:, best : best + 1], axis=0)
+        low = np.minimum(np.minimum.accumulate(upto, axis=0), 0)
+        # the least sum before each word, the empty one included
+        gain = upto.max(initial=0) if len(upto) == 1 else max(float((upto[1:] - low[:-1]).max()), float(upto[0].max()))
+        return best if gain <= SWITCH / 2 else None
+
     def _viterbi(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """Best language of each word; all documents of the block step together."""
         n, longest = len(docs), max(map(len, docs))
