@@ -32,6 +32,12 @@ def op7_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(load(spark, sf_dir, "documents")).select(*cols)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontaminate import leaks
+
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.toxicity import REJECT, fit, labelled, toxicity
 
