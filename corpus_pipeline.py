@@ -1,15 +1,64 @@
-"""The corpus pipeline: toxicity, near duplicates, decontamination, mixing, token output."""
+"""The corpus pipeline: toxicity, near duplicates, decontamination, mixing, token output.
+
+Each stage takes the documents that its predecessor kept, in the columns of ``documents``; ``run`` writes each stage's result as
+Parquet in the shared folder and rereads it. The last stage returns the token store's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import common, decontaminate, mixing, ngram_join, token_store, toxicity
+from docloom.sources.tables import load
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the rejection threshold; the scorer learns from labels outside the held-out fold."""
+    scorer = toxicity.fit(toxicity.labelled(docs, load(spark, sf_dir, "labels")))
+    # the score goes in under a name that no column of the documents has
+    kept = toxicity.toxicity(docs.drop("score"), scorer).filter(F.col("score") < toxicity.REJECT)
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least doc_id."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without copies of benchmark items."""
+    return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix, shard after shard, shuffled within each; a document that the mix takes twice is there twice."""
+    _, placed = mixing.mix(docs)
+    once = placed.dropDuplicates(["doc_id", "source", "pass"]).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "shard", "key")
+    mixed = docs.join(once, docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")))
+    return mixed.repartitionByRange(common.shuffle_partitions(spark), "shard", "key").sortWithinPartitions("shard", "key").select(*(docs[c] for c in docs.columns))
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store's documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    return token_store.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+#: No SQL expresses the scorer, the band hashes or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

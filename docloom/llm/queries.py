@@ -17,6 +17,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(shards.hint("shuffle_hash"), "doc_id", "left")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.html_tree import main_texts
+
+    return main_texts(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
