@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from docloom.sources.tables import load
 
 
+def op3_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.bwt_dedup import remove_repeats
+
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import mix
 
