@@ -28,7 +28,7 @@ END_ID = 2
 LEAST, MASK, MOST = 128, 0xFF, 2048
 WINDOW = 16
 #: Words that a worker remembers with their ids; when full it starts anew.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1_800_000
 PACK_BYTES = 64 << 20
 
 #: White space as the tokenizer's pattern has it; str.split() also splits at four control characters.
@@ -93,14 +93,13 @@ class WordCodec:
         self.unseen = self.known.unseen = []
         first = len(self.known) - len(words)
         self.starts, self.lens = _grown(self.starts, len(self.known)), _grown(self.lens, len(self.known))
-        plain, tails, odd, places = [], [], [], []
-        for i, w in enumerate(words):
-            core = w.rstrip(TAIL)
-            # letters below U+0130 are in normal form and have one lower-case letter each
-            if core and core.isalpha() and max(core) < "\u0130":
-                plain.append(core.lower()), tails.append(w[len(core) :]), places.append(i)
-            else:
-                odd.append(i)
+        heads = [w.rstrip(TAIL) for w in words]
+        # letters below U+0130 are in normal form and have one lower-case letter each
+        whole = [c.isalpha() and (c.isascii() or max(c) < "\u0130") for c in heads]
+        places = [i for i, x in enumerate(whole) if x]
+        odd = [i for i, x in enumerate(whole) if not x]
+        plain = [heads[i].lower() for i in places]
+        tails = [words[i][len(heads[i]) :] for i in places]
         self._cores([w for w in dict.fromkeys(plain) if w not in cores])
         if places:
             of = np.array([cores[w] for w in plain])
@@ -244,10 +243,10 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
                 for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                     flat, lens = words.encode([x or "" for x in b.column(1).to_pylist()])
                     ends = np.cumsum(lens)
-                    rows = []
+                    n_tokens, roots, upto, digests, places = [], [], [0], [], []
                     for n, end in zip(lens.tolist(), ends.tolist()):
                         ids = np.append(flat[end - n : end], np.uint32(end_id)).astype(ids_type)
-                        chunks, begin = [], 0
+                        begin, own = 0, []
                         for to in cuts(ids):
                             data = ids[begin:to].tobytes()
                             begin = to
@@ -256,11 +255,14 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
                                 if len(seen) >= 1 << 20:
                                     seen.clear()
                                 seen[d] = (*packs.add(data), len(data))
-                            chunks.append((d, *seen[d]))
-                        rows.append((len(ids), merkle([c[0] for c in chunks]), chunks))
-                    kind = pa.list_(pa.struct([("digest", pa.binary()), ("pack", pa.string()), ("offset", pa.int64()), ("length", pa.int32())]))
-                    lists = pa.array([[dict(zip(("digest", "pack", "offset", "length"), c)) for c in r[2]] for r in rows], kind)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), lists], names=["key", "n_tokens", "root", "staged"])
+                            own.append(d)
+                            places.append(seen[d])
+                        n_tokens.append(len(ids)), roots.append(merkle(own)), upto.append(upto[-1] + len(own))
+                        digests += own
+                    names, offsets, lengths = zip(*places)
+                    chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32())], names=["digest", "pack", "offset", "length"])
+                    lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), chunks)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(roots, pa.binary()), lists], names=["key", "n_tokens", "root", "staged"])
         finally:
             packs.close()
 
