@@ -30,7 +30,7 @@ def last_mark(text: Column) -> Column:
     """The last '[n marks]' or '(n)' within 1 to 25; 1 where there is none."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)(?:\[\s*|\()([0-9]{1,3})(?:\s*marks?)?\s*[\])]"), 1)
     n = F.try_element_at(found, F.lit(-1)).cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(25), n)), F.lit(1))
+    return F.when(n.isNull(), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(25), n)))
 
 
 def first_math(text: Column) -> Column:
