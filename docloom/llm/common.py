@@ -46,3 +46,17 @@ def text_bytes(col: str = "text"):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_slot: dict = {}
+
+
+def worker_cache(owner: object, make):
+    """The one cache that a worker process keeps from task to task, made by ``make``; that of another owner goes first.
+
+    Workers live through many queries, so what each remembers would add up otherwise.
+    """
+    if owner not in _slot:
+        _slot.clear()
+        _slot[owner] = make()
+    return _slot[owner]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import worker_cache
+
 #: Rows of each language that the model is fitted on at most, and languages that it knows at most (the most frequent).
 FIT_ROWS, MOST_LANGUAGES = 600, 200
 ORDER, SMOOTH = 4, 0.5
@@ -74,7 +76,7 @@ class Model:
             table.append(np.log((seen + SMOOTH) / (sums + SMOOTH * (len(every) + 1))).astype(np.float32))
         #: a row for each known n-gram; row 0, of unknown ones, favours no language
         self.table = np.concatenate(table)
-        self._known: dict[str, int] = {}
+        self.key = int(np.abs(self.table).sum() * 1e3)
 
     def words(self, ws: list[str]) -> np.ndarray:
         """Scores of words in each language, less the best; languages of other scripts are far behind."""
@@ -94,11 +96,13 @@ class Model:
     def label(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Spans of each text: (language, first word, letters), in order."""
         split = [_WORD.findall(t.lower()) for t in texts]
-        known = self._known
+        held = worker_cache(("language", self.key), dict)
+        known = held.setdefault("known", {})
         if len(known) > CACHED_WORDS:
             known.clear()
         if not known:
-            self._flat = np.zeros((1 << 16, self.width), np.float32)
+            held["flat"] = np.zeros((1 << 16, self.width), np.float32)
+        self._flat = held["flat"]
         new = list({w for ws in split for w in ws if w not in known})
         for i in range(0, len(new), 5000):
             part, k = new[i : i + 5000], len(known)
@@ -106,6 +110,7 @@ class Model:
                 self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
             self._flat[k : k + len(part)] = self.words(part)
             known.update(zip(part, range(k, k + len(part))))
+        held["flat"] = self._flat
         out: list = [[] for _ in texts]
         order = []
         for i, ws in enumerate(split):

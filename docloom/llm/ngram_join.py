@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import worker_cache, written
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Members of one side of a block pair; 2**BITS bits of the bitmap of candidate documents (8 MB).
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = worker_cache("n-grams", _Hashes)
         for whole in batches:
             for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
                 out = np.zeros((b.num_rows, bands), np.uint64)
@@ -103,7 +103,7 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = _Hashes(), bits.value
+        known, table = worker_cache("n-grams", _Hashes), bits.value
         for whole in batches:
             bit = whole.column("bit").to_numpy()
             picked = np.flatnonzero(table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)

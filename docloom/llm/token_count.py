@@ -17,11 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import worker_cache
+
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 CACHED_WORDS = 1 << 20
-_made: dict[str, "Counter"] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -120,9 +121,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    if path not in _made:
-        _made[path] = Counter(path)
-    return _made[path]
+    return worker_cache(("counter", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import discard, fresh, shuffle_partitions, written
+from docloom.llm.common import discard, fresh, shuffle_partitions, worker_cache, written
 
 END_ID = 2
 #: Ids of a chunk: least, mask of the rolling hash (one cut in MASK + 1 ids), most.
@@ -38,8 +38,6 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 #: Signs that may follow a word of letters; together they are one pre-token.
 TAIL = ".,;:!?%$&*#()[]-"
 
-_codecs: dict[str, "WordCodec"] = {}
-
 
 class WordCodec:
     """Encodes whole texts with a tokenizer whose pre-tokens never cross white space, one call for each unseen word.
@@ -162,9 +160,7 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def codec(path: str) -> WordCodec:
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+    return worker_cache(("codec", path), lambda: WordCodec(path))
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:

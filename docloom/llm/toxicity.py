@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import worker_cache
+
 #: Rows of each label that the model is fitted on at most, taken in the order of a hash of doc_id.
 FIT_TOXIC, FIT_ORDINARY = 2400, 6000
 #: A toxic window: share of toxic documents at least, documents at least, times the share among ordinary documents.
@@ -50,10 +52,11 @@ class Scorer:
 
     def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray):
         self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
+        self.key = zlib.crc32(toxic + ordinary)
         self._ready = False
 
     def __getstate__(self):
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "_ready": False}
+        return {"key": self.key, "toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "_ready": False}
 
     def _begin(self) -> None:
         import zstandard
@@ -64,7 +67,7 @@ class Scorer:
             p = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
-        self._t, self._o, self._known, self._ready = compressor(self.toxic), compressor(self.ordinary), {}, True
+        self._t, self._o, self._ready = compressor(self.toxic), compressor(self.ordinary), True
 
     def kind(self, word: str) -> int:
         """The class of a window: 0, or 1 + signal band * 3 + band of what the toxic dictionary leaves."""
@@ -79,7 +82,7 @@ class Scorer:
         """For each text: windows of each class (0, 1, 2 or more of them as 0, 1, 1.5), whether a class is the highest, size."""
         if not self._ready:
             self._begin()
-        known, n_kinds = self._known, 3 * len(SIGNALS)
+        known, n_kinds = worker_cache(("toxicity", self.key), dict), 3 * len(SIGNALS)
         out = np.zeros((len(texts), n_kinds + 3))
         for i, text in enumerate(texts):
             ws = words(text)
