@@ -28,6 +28,8 @@ LENGTH, K = 400, 32
 CHUNK, HELD, MERGED = 4 << 20, 150_000, 20_000
 #: Shards of a merge at most: map tasks are dealt among them.
 SHARDS = 8
+#: Symbols of a string at most; the last one covers what is left of the stretch.
+SYMBOLS = 6
 BITS = 26
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -121,11 +123,10 @@ def parse(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     sums = _Sums(buf)
     key = sums.of(p, p + K)
     # cuts of a stretch: its anchor and the anchors that follow in the text, as far as the stretch reaches
-    reach = np.searchsorted(p, e + length)  # anchors rise within a text, and texts follow one another
-    order = np.maximum.accumulate(p)
-    reach = np.searchsorted(order, e + length)
+    # (anchors rise within a text, and texts follow one another); text that repeats itself has many, of which the first few serve
+    reach = np.searchsorted(p, e + length)
     number = np.arange(len(p))
-    n = np.maximum(reach - number, 1)
+    n = np.clip(reach - number, 1, SYMBOLS - 1)
     owner = np.repeat(number, n + 1)
     upto = np.cumsum(n + 1)
     within = np.arange(upto[-1]) - np.repeat(upto - (n + 1), n + 1)
@@ -147,7 +148,8 @@ class Transform:
     def of(cls, strings: list[np.ndarray]) -> "Transform":
         """Of strings of positive symbols, each followed by the mark 0, as cyclic words in order; for small shards."""
         sizes = np.array([len(x) + 1 for x in strings])
-        flat = np.concatenate([np.append(x, 0) for x in strings])
+        flat = np.zeros(int(sizes.sum()), np.int64)
+        flat[np.arange(len(flat)) != np.repeat(np.cumsum(sizes) - 1, sizes)] = np.concatenate(strings)
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         size = np.repeat(sizes, sizes)
         place = np.arange(len(flat)) - begin
@@ -191,25 +193,24 @@ def merge(a: Transform, b: Transform) -> tuple[Transform, np.ndarray]:
             break
         source, block, done = moved, refined, done + 1
     last[~source], last[source] = a.last, b.last
-    place = np.empty(n, np.int64)
-    place[~source], place[source] = 0, 0
     of_a, of_b = np.flatnonzero(~source), np.flatnonzero(source)
     return Transform(last, np.concatenate([of_a[a.heads], of_b[b.heads]])), common
 
 
 def equal_strings(shards: list[list[np.ndarray]]) -> np.ndarray:
     """For the strings of all shards, one after the other, the number of the interval of equal strings that each belongs to."""
-    merged, common = Transform.of(shards[0]), None
-    for s in shards[1:] or [shards[0][:0]]:
-        if s:
-            merged, common = merge(merged, Transform.of(s))
-    if common is None:  # one shard: merge it with nothing to get its prefixes
-        merged, common = merge(merged, Transform(merged.last[:0], np.zeros(0, np.int64)))
+    transforms, common = [Transform.of(s) for s in shards], None
+    if len(transforms) == 1:  # merged with nothing, to get its prefixes
+        transforms.append(Transform(transforms[0].last[:0], np.zeros(0, np.int64)))
+    while len(transforms) > 1:  # neighbours first, so heads stay in the order of the shards
+        pairs = [merge(a, b) for a, b in zip(transforms[::2], transforms[1::2])]
+        common = pairs[-1][1]
+        transforms = [t for t, _ in pairs] + transforms[len(transforms) // 2 * 2 :]
     interval = np.cumsum(common >= 0)
-    return interval[merged.heads]
+    return interval[transforms[0].heads]
 
 
-def _resolve(keys: np.ndarray, tasks: np.ndarray, counts: np.ndarray, symbols: list[np.ndarray]) -> np.ndarray:
+def _resolve(keys: np.ndarray, tasks: np.ndarray, counts: np.ndarray, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """What the merge says of each string: 0 occurs once and alone at its anchor, 1 once beside others, 2 repeated, 3 repeated
     beside others and the first of its interval."""
     out = np.zeros(len(keys), np.int8)
@@ -219,9 +220,11 @@ def _resolve(keys: np.ndarray, tasks: np.ndarray, counts: np.ndarray, symbols: l
     if not len(at):
         return out
     at = at[np.argsort(tasks[at] % SHARDS, kind="stable")]
-    flat = np.concatenate([symbols[i] for i in at])
+    sizes = np.diff(offsets)[at]
+    upto = np.cumsum(sizes)
+    flat = symbols[np.repeat(offsets[at] - (upto - sizes), sizes) + np.arange(upto[-1])]
     names = np.unique(flat, return_inverse=True)[1] + 1
-    strings = np.split(names, np.cumsum([len(symbols[i]) for i in at])[:-1])
+    strings = np.split(names, upto[:-1])
     shards = [[] for _ in range(SHARDS)]
     for i, x in zip(at, strings):
         shards[tasks[i] % SHARDS].append(x)
@@ -306,7 +309,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             keys = t["key"].to_numpy()
             lists = t["symbols"].combine_chunks()
             flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
-            said = _resolve(keys, t["task"].to_numpy(), t["n"].to_numpy(), [flat[off[i] : off[i + 1]] for i in range(len(keys))])
+            said = _resolve(keys, t["task"].to_numpy(), t["n"].to_numpy(), flat, off)
             some = np.flatnonzero(said)
             return _batch(said=said[some].astype(np.int32), **{c: t[c].to_numpy()[some] for c in ("rid", "name", "s", "e", "key")})
 
