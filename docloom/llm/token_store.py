@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +27,9 @@ END_ID = 2
 LEAST, MASK, MOST = 128, 0xFF, 2048
 WINDOW = 16
 #: Words that a worker remembers with their ids; when full it starts anew.
-CACHED_WORDS = 1_800_000
-PACK_BYTES = 64 << 20
+CACHED_WORDS = 1 << 20
+#: A pack is closed beyond this many bytes. A place is a number: pack << PLACE_BITS | offset.
+PACK_BYTES, PLACE_BITS = 64 << 20, 27
 
 #: White space as the tokenizer's pattern has it; str.split() also splits at four control characters.
 _WORD = re.compile("[^\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -203,19 +203,22 @@ def _digest(chunk: bytes) -> bytes:
 
 
 class _Packs:
+    """Packs of one task attempt, named by it, so that a repeated task writes others and rows name those of the one that counts."""
+
     def __init__(self, at: str):
         self.fs, self.root = pafs.FileSystem.from_uri(at)
-        self.out, self.name, self.offset = None, "", 0
+        self.out, self.number, self.offset = None, TaskContext.get().taskAttemptId() << 10, 0
 
-    def add(self, data: bytes) -> tuple[str, int]:
+    def add(self, data: bytes) -> int:
+        """Append and return the place."""
         if self.out is None or self.offset > PACK_BYTES:
             self.close()
             self.fs.create_dir(self.root, recursive=True)
-            self.name, self.offset = f"{uuid.uuid4().hex}.ids", 0
-            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}")
+            self.number, self.offset = self.number + 1, 0
+            self.out = self.fs.open_output_stream(f"{self.root}/{self.number}.ids", buffer_size=1 << 20)
         self.out.write(data)
         self.offset += len(data)
-        return self.name, self.offset - len(data)
+        return self.number << PLACE_BITS | self.offset - len(data)
 
     def close(self) -> None:
         if self.out is not None:
@@ -223,6 +226,10 @@ class _Packs:
             self.out = None
 
 
+def _lists(upto: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values)
+
+
 def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> None:
     """Encode every text of ``docs`` (null: empty) and write the store under the folder ``at``.
 
@@ -239,57 +246,64 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
                 for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                     flat, lens = words.encode([x or "" for x in b.column(1).to_pylist()])
                     ends = np.cumsum(lens)
-                    n_tokens, roots, upto, digests, places = [], [], [0], [], []
+                    n_tokens, roots, upto, digests, places, lengths = [], [], [0], [], [], []
                     for n, end in zip(lens.tolist(), ends.tolist()):
                         ids = np.append(flat[end - n : end], np.uint32(end_id)).astype(ids_type)
-                        begin, own = 0, []
+                        begin = 0
                         for to in cuts(ids):
                             data = ids[begin:to].tobytes()
                             begin = to
                             d = _digest(data)
-                            if d not in seen:
+                            place = seen.get(d)
+                            if place is None:
                                 if len(seen) >= 1 << 20:
                                     seen.clear()
-                                seen[d] = (*packs.add(data), len(data))
-                            own.append(d)
-                            places.append(seen[d])
-                        n_tokens.append(len(ids)), roots.append(merkle(own)), upto.append(upto[-1] + len(own))
-                        digests += own
-                    names, offsets, lengths = zip(*places)
-                    chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32())], names=["digest", "pack", "offset", "length"])
-                    lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), chunks)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(roots, pa.binary()), lists], names=["key", "n_tokens", "root", "staged"])
+                                place = seen[d] = packs.add(data)
+                            digests.append(d), places.append(place), lengths.append(len(data))
+                        n_tokens.append(len(ids)), roots.append(merkle(digests[upto[-1] :])), upto.append(len(digests))
+                    lists = (_lists(upto, pa.array(v, t)) for v, t in ((digests, pa.binary()), (places, pa.int64()), (lengths, pa.int32())))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(roots, pa.binary()), *lists], names=["key", "n_tokens", "root", "chunks", "places", "lengths"])
         finally:
             packs.close()
 
-    staged = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(encode, "key long, n_tokens long, root binary, staged array<struct<digest:binary,pack:string,offset:long,length:int>>"), "staged")
+    staged = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(encode, "key long, n_tokens long, root binary, chunks array<binary>, places array<long>, lengths array<int>"), "staged")
 
     # one owner for each digest; its bytes move to the final pack, the others are left behind
-    owners = staged.select(F.explode("staged").alias("c")).groupBy("c.digest").agg(F.min(F.struct("c.pack", "c.offset", "c.length")).alias("p")).select("digest", "p.*")
+    each = staged.select(F.explode(F.arrays_zip("chunks", "places", "lengths")).alias("c")).select("c.*")
+    owners = each.groupBy(F.col("chunks").alias("digest")).agg(F.min("places").alias("place"), F.min("lengths").alias("length"))
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs, held, f = _Packs(f"{at}/packs"), None, None
+        packs, held, f, position = _Packs(f"{at}/packs"), None, None, 0
         fs, root = pafs.FileSystem.from_uri(staging)
         try:
             for b in batches:
-                names, offsets, from_ = [], [], b.column("offset").to_pylist()
-                for pack, offset, length in zip(b.column("pack").to_pylist(), from_, b.column("length").to_pylist()):
+                place, length = b.column("place").to_numpy(), b.column("length").to_numpy()
+                out = np.zeros(len(place), np.int64)
+                # stretches of neighbouring chunks move at once
+                cut = np.flatnonzero(place[1:] != place[:-1] + length[:-1]) + 1
+                for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(place)]) if len(place) else ():
+                    pack, offset = int(place[i]) >> PLACE_BITS, int(place[i]) & (1 << PLACE_BITS) - 1
                     if pack != held:
-                        f, held = fs.open_input_stream(f"{root}/{pack}", buffer_size=4 << 20), pack
-                        position = 0
+                        f, held, position = fs.open_input_stream(f"{root}/{pack}.ids", buffer_size=4 << 20), pack, 0
                     f.read(offset - position)
-                    data, position = f.read(length), offset + length
-                    name, place = packs.add(data)
-                    names.append(name), offsets.append(place)
-                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(names, pa.string()), pa.array(offsets, pa.int64()), b.column("length")], names=["digest", "pack", "offset", "length"])
+                    size = int(length[i:j].sum())
+                    position = offset + size
+                    # in pieces, so that a pack stays near its size
+                    while i < j:
+                        k = i + max(1, int(np.searchsorted(np.cumsum(length[i:j]), 4 << 20)))
+                        out[i:k] = packs.add(f.read(int(length[i:k].sum()))) + np.cumsum(length[i:k]) - length[i:k]
+                        i = k
+                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out), b.column("length")], names=["digest", "place", "length"])
         finally:
             packs.close()
 
-    chunks = owners.repartition("pack").sortWithinPartitions("pack", "offset").mapInArrow(compact, "digest binary, pack string, offset long, length int")
+    pack = F.shiftright("place", PLACE_BITS)
+    chunks = owners.repartition(pack).sortWithinPartitions("place").mapInArrow(compact, "digest binary, place long, length int")
     chunks.write.parquet(f"{at}/chunks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, roots, kept = TaskContext.get().partitionId(), 0, [], []
+        names = ["kind", "part", "key", "start", "n_tokens", "root", "chunks"]
         for b in batches:
             n = b.column("n_tokens").to_numpy()
             start = before + np.cumsum(n) - n
@@ -297,12 +311,12 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
             roots += b.column("root").to_pylist()
             if len(roots) >= 1 << 16:
                 kept, roots = [*kept, merkle(roots)], []
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), pa.array([part] * len(n), pa.int32()), b.column("key"), pa.array(start, pa.int64()), b.column("n_tokens"), b.column("root"), b.column("chunks")], names=["kind", "part", "key", "start", "n_tokens", "root", "chunks"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(np.full(len(n), part, np.int32)), b.column("key"), pa.array(start, pa.int64()), b.column("n_tokens"), b.column("root"), b.column("chunks")], names=names)
         if before:
             root = merkle([*kept, merkle(roots)] if roots or not kept else kept)
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([before], pa.int64()), pa.array([before], pa.int64()), pa.array([root], pa.binary()), pa.array([[]], pa.list_(pa.binary()))], names=["kind", "part", "key", "start", "n_tokens", "root", "chunks"])
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([before], pa.int64()), pa.array([before], pa.int64()), pa.array([root], pa.binary()), pa.array([[]], pa.list_(pa.binary()))], names=names)
 
-    ordered = staged.select("key", "n_tokens", "root", F.transform("staged", lambda c: c["digest"]).alias("chunks")).repartitionByRange(shuffle_partitions(spark), "key", "root").sortWithinPartitions("key", "root")
+    ordered = staged.select("key", "n_tokens", "root", "chunks").repartitionByRange(shuffle_partitions(spark), "key", "root").sortWithinPartitions("key", "root")
     ordered.mapInArrow(number, "kind int, part int, key long, start long, n_tokens long, root binary, chunks array<binary>").write.partitionBy("kind").parquet(f"{at}/recipes")
     # a row for each recipe part: their number is the number of partitions
     parts = spark.read.parquet(f"{at}/recipes").filter("kind = 1").select("part", "n_tokens", "root")
@@ -319,51 +333,48 @@ def _vocabulary(path: str) -> int:
 def read_store(spark: SparkSession, at: str, wide: bool = False, ids: bool = False) -> DataFrame:
     """Documents of the store in their order's numbers: key, start, n_tokens, ids_crc32 (and ``ids``, little-endian 32-bit, if asked).
 
-    Every chunk's digest, every document's Merkle root and length are verified against the recipes; damage raises.
+    Chunks are hashed as they are read, and every document's Merkle root and length verified against the recipes; damage raises.
     ``wide``: the store has 4 bytes an id.
     """
     recipes = spark.read.parquet(f"{at}/recipes").filter("kind = 0").drop("kind")
     base = F.broadcast(spark.read.parquet(f"{at}/manifest").select("part", "base"))
-    pieces = recipes.select("part", "start", "root", F.posexplode("chunks").alias("n", "digest"))
+    pieces = recipes.select("part", "key", "start", "n_tokens", "root", F.posexplode("chunks").alias("n", "digest"))
     found = pieces.join(spark.read.parquet(f"{at}/chunks"), "digest")
-    listed = found.groupBy("part", "start", "root").agg(F.array_sort(F.collect_list(F.struct("n", "pack", "offset", "length", "digest"))).alias("c"))
+    listed = found.groupBy("part", "start", "key", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("n", "place", "length"))).alias("c"))
+    listed = listed.select("part", "start", "key", "n_tokens", "root", F.transform("c", lambda x: x["place"]).alias("places"), F.transform("c", lambda x: x["length"]).alias("lengths"))
     # documents of one stretch of a pack are read by one task, in the pack's order
-    first = F.col("c")[0]
-    listed = listed.withColumns({"pack": first["pack"], "offset": first["offset"]}).repartitionByRange(shuffle_partitions(spark), "pack", "offset", "start").sortWithinPartitions("pack", "offset").drop("pack", "offset")
+    listed = listed.withColumn("first", F.col("places")[0]).repartitionByRange(shuffle_partitions(spark), "first", "start").sortWithinPartitions("first").drop("first")
     ids_type = "<u4" if wide else "<u2"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(f"{at}/packs")
-        files: dict[str, object] = {}
+        files: dict[int, object] = {}
+
+        def fetch(place: int, size: int) -> bytes:
+            pack = place >> PLACE_BITS
+            if pack not in files:
+                if len(files) >= 32:
+                    files.pop(next(iter(files))).close()
+                files[pack] = fs.open_input_file(f"{root}/{pack}.ids")
+            return files[pack].read_at(size, place & (1 << PLACE_BITS) - 1)
+
         for b in batches:
+            places, lengths = b.column("places"), b.column("lengths")
+            upto, place, length = places.offsets.to_numpy(), places.values.to_numpy(), lengths.values.to_numpy()
             crcs, datas, ns = [], [], []
-            for want, c in zip(b.column("root").to_pylist(), b.column("c").to_pylist()):
-                parts, i = [], 0
-                while i < len(c):
-                    j, end = i, c[i]["offset"]
-                    while j < len(c) and c[j]["pack"] == c[i]["pack"] and c[j]["offset"] == end:
-                        end += c[j]["length"]
-                        j += 1
-                    if c[i]["pack"] not in files:
-                        if len(files) >= 32:
-                            files.pop(next(iter(files))).close()
-                        files[c[i]["pack"]] = fs.open_input_file(f"{root}/{c[i]['pack']}")
-                    run, at_ = files[c[i]["pack"]].read_at(end - c[i]["offset"], c[i]["offset"]), 0
-                    for x in c[i:j]:
-                        parts.append(run[at_ : at_ + x["length"]])
-                        at_ += x["length"]
-                        if _digest(parts[-1]) != x["digest"]:
-                            raise ValueError(f"damaged chunk {x['digest'].hex()}")
-                    i = j
-                if merkle([x["digest"] for x in c]) != want:
+            for k, want in enumerate(b.column("root").to_pylist()):
+                p, n = place[upto[k] : upto[k + 1]], length[upto[k] : upto[k + 1]]
+                cut = (np.flatnonzero(p[1:] != p[:-1] + n[:-1]) + 1).tolist()
+                raw = b"".join(fetch(int(p[i]), int(n[i:j].sum())) for i, j in zip([0, *cut], [*cut, len(p)]))
+                ends = np.cumsum(n).tolist()
+                if merkle([_digest(raw[i:j]) for i, j in zip([0, *ends], ends)]) != want:
                     raise ValueError(f"document root {want.hex()} does not match")
-                data = np.frombuffer(b"".join(parts), ids_type).astype("<u4").tobytes()
+                data = np.frombuffer(raw, ids_type).astype("<u4").tobytes()
                 crcs.append(zlib.crc32(data)), ns.append(len(data) // 4)
                 datas.append(data if ids else None)
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("start"), b.column("root"), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64()), pa.array(datas, pa.binary())], names=["part", "start", "root", "n_read", "ids_crc32", "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "start", "key", "n_tokens")), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64()), pa.array(datas, pa.binary())], names=["part", "start", "key", "n_tokens", "n_read", "ids_crc32", "ids"])
 
-    got = listed.mapInArrow(read, "part int, start long, root binary, n_read long, ids_crc32 long, ids binary")
-    rows = recipes.select("part", "start", "root", "key", "n_tokens").join(got, ["part", "start", "root"]).join(base, "part")
+    rows = listed.mapInArrow(read, "part int, start long, key long, n_tokens long, n_read long, ids_crc32 long, ids binary").join(base, "part")
     checked = F.when(F.col("n_read") == F.col("n_tokens"), F.col("n_read")).otherwise(F.raise_error(F.lit("a document has another length")).cast("long"))
     return rows.select("key", (F.col("start") + F.col("base")).alias("start"), checked.alias("n_tokens"), "ids_crc32", *["ids"] * ids)
 
