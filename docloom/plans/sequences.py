@@ -14,7 +14,11 @@ from docloom.operators import docmap, folds, geometry, windows
 from docloom.plans.registry import query
 from docloom.sources.tables import load
 
-E, Q = F.col("event_id"), ["ts", "event_id"]
+Q = ["ts", "event_id"]
+
+
+def E():
+    return F.col("event_id")
 
 
 def events(spark, sf, **cols):
@@ -23,20 +27,20 @@ def events(spark, sf, **cols):
 
 @query("SELECT user_id, event_id, q FROM (SELECT *, event_id % 37 AS q, max(event_id % 37) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE q >= coalesce(m, 0)")
 def monotone_filter(spark, sf):
-    return windows.monotone_filter(events(spark, sf, q=E % 37), ["user_id"], Q, "q").select("user_id", "event_id", "q")
+    return windows.monotone_filter(events(spark, sf, q=E() % 37), ["user_id"], Q, "q").select("user_id", "event_id", "q")
 
 
 @query("""SELECT user_id, array_to_string(list_reduce(l, lambda a, x: CASE WHEN x[1] > a[-1] AND x[1] - a[-1] <= 500 THEN list_concat(a, x) ELSE a END), ',') AS kept
   FROM (SELECT user_id, list([event_id * 7 % 2000] ORDER BY ts, event_id) AS l FROM events GROUP BY 1)""")
 def span_guard(spark, sf):
-    out = windows.span_guard(events(spark, sf, q=E * 7 % 2000), ["user_id"], Q, "q")
+    out = windows.span_guard(events(spark, sf, q=E() * 7 % 2000), ["user_id"], Q, "q")
     return out.select("user_id", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
 
 
 @query()
 def lis_headings(spark, sf):
     """The longest chain of numbers from 1 of each user; tests hold it against brute force."""
-    e = events(spark, sf, number=E % 9 + 1).select("user_id", "event_id", "number")
+    e = events(spark, sf, number=E() % 9 + 1).select("user_id", "event_id", "number")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[folds.longest_steps(pdf["number"].tolist())]
@@ -47,25 +51,25 @@ def lis_headings(spark, sf):
 @query("""SELECT user_id, lo = 1 AND n >= 4 AND hi - n <= CASE WHEN hi <= 5 THEN 1 ELSE 2 END AND (on_pages >= 3 OR on_pages >= 0.3 * 5) AS sufficient FROM
   (SELECT user_id, min(event_id % 23 + 1) AS lo, max(event_id % 23 + 1) AS hi, count(DISTINCT event_id % 23 + 1) AS n, count(DISTINCT event_id % 5) AS on_pages FROM events GROUP BY 1)""")
 def sequence_sufficiency(spark, sf):
-    return windows.sequence_sufficiency(events(spark, sf, number=E % 23 + 1, page=E % 5, of=F.lit(5)), ["user_id"], "number", "of")
+    return windows.sequence_sufficiency(events(spark, sf, number=E() % 23 + 1, page=E() % 5, of=F.lit(5)), ["user_id"], "number", "of")
 
 
 @query("SELECT user_id, event_id, greatest(p, coalesce(lead(event_id % 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, p)) AS end_page FROM (SELECT *, event_id % 50 + event_id % 3 AS p FROM events)")
 def span_build(spark, sf):
-    return windows.build_spans(events(spark, sf, a=E % 50, b=E % 50 + E % 3), ["user_id"], Q, "a", "b").select("user_id", "event_id", "end_page")
+    return windows.build_spans(events(spark, sf, a=E() % 50, b=E() % 50 + E() % 3), ["user_id"], Q, "a", "b").select("user_id", "event_id", "end_page")
 
 
 @query("""SELECT user_id, event_id, CASE WHEN np IS NULL THEN p WHEN np = p THEN np ELSE greatest(p, np - 1) END AS end_page, round(CASE WHEN np = p THEN ny - 0.005 END, 6)::DOUBLE AS end_y FROM
   (SELECT *, lead(p) OVER w AS np, lead(y) OVER w AS ny FROM (SELECT *, event_id % 6 AS p, event_id / 1e6::DOUBLE AS y FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY p, y))""")
 def band_build(spark, sf):
-    out = windows.build_bands(events(spark, sf, p=E % 6, y=E / 1e6), ["user_id"], "p", "y")
+    out = windows.build_bands(events(spark, sf, p=E() % 6, y=E() / 1e6), ["user_id"], "p", "y")
     return out.select("user_id", "event_id", "end_page", F.round("end_y", 6).alias("end_y"))
 
 
 @query("""SELECT user_id, event_id, round(CASE WHEN pe > s THEN (pe + s) / 2 ELSE s END, 6)::DOUBLE AS s, round(CASE WHEN e > ns THEN (e + ns) / 2 ELSE e END, 6)::DOUBLE AS e FROM
   (SELECT *, lead(s) OVER w AS ns, lag(e) OVER w AS pe FROM (SELECT *, (event_id % 97) / 100.0::DOUBLE AS s, (event_id % 97) / 100.0::DOUBLE + 0.3::DOUBLE AS e FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
 def band_overlap_split(spark, sf):
-    s = (E % 97) / F.lit(100.0)
+    s = (E() % 97) / F.lit(100.0)
     out = windows.split_overlaps(events(spark, sf, s=s, e=s + 0.3), ["user_id"], Q, "s", "e")
     return out.select("user_id", "event_id", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"))
 
@@ -73,7 +77,7 @@ def band_overlap_split(spark, sf):
 @query("""SELECT user_id, bool_and(p IS NULL OR n >= p) AS monotone, count(*) FILTER (p IS NULL OR p <> n) AS distinct_footers FROM
   (SELECT user_id, n, lag(n) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT *, event_id // 900 * (event_id % 2) + user_id % 2 * event_id AS n FROM events)) GROUP BY 1""")
 def footer_monotone(spark, sf):
-    n = F.floor(E / 900) * (E % 2) + F.col("user_id") % 2 * E
+    n = F.floor(E() / 900) * (E() % 2) + F.col("user_id") % 2 * E()
     return windows.footers_rise(events(spark, sf, n=n), ["user_id"], ["event_id"], "n")
 
 
@@ -97,7 +101,7 @@ def same_page_batches(spark, sf):
 
 @query("SELECT event_id, array_to_string(list_sort(list_distinct([event_id % 5, event_id % 3, event_id % 7, event_id % 2])), ',') AS pages FROM events")
 def page_set_union(spark, sf):
-    u = F.array_sort(F.array_union(F.array(E % 5, E % 3), F.array(E % 7, E % 2)))
+    u = F.array_sort(F.array_union(F.array(E() % 5, E() % 3), F.array(E() % 7, E() % 2)))
     return load(spark, sf, "events").select("event_id", F.array_join(F.transform(u, lambda x: x.cast("string")), ",").alias("pages"))
 
 
@@ -105,7 +109,7 @@ def page_set_union(spark, sf):
   SELECT coalesce(t.user_id, v.user_id) AS user_id, coalesce(t.number, v.number) AS number, least(t.s, v.s) AS start_page, greatest(t.e, v.e) AS end_page, t.number IS NULL AS anomaly FROM t FULL JOIN v ON t.user_id = v.user_id AND t.number = v.number""")
 def span_merge(spark, sf):
     def spans(rest, numbers, pages):
-        return load(spark, sf, "events").filter(E % 2 == rest).groupBy("user_id", (E % numbers).alias("number")).agg(F.min(E % pages).alias("start_page"), F.max(E % pages).alias("end_page"))
+        return load(spark, sf, "events").filter(E() % 2 == rest).groupBy("user_id", (E() % numbers).alias("number")).agg(F.min(E() % pages).alias("start_page"), F.max(E() % pages).alias("end_page"))
 
     return windows.merge_spans(spans(0, 11, 40), spans(1, 13, 37), ["user_id"])
 
@@ -139,8 +143,8 @@ def heading_scan(spark, sf):
 
 @query("SELECT user_id, event_id FROM (SELECT *, event_id % 8 AS n, event_id % 4 AS p, event_id % 100 AS y FROM events) h WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id % 2 = 1 AND f.event_id % 6 = 1 AND f.user_id = h.user_id AND f.event_id % 4 = h.p AND f.event_id % 8 < h.n AND h.y < f.event_id % 100)")
 def heading_prune(spark, sf):
-    m = load(spark, sf, "events").filter((E % 2 == 0) | (E % 6 == 1))
-    m = m.select(F.col("user_id").alias("doc_id"), "event_id", (E % 4).alias("page"), (E % 8).alias("number"), (E % 100).alias("y"), F.when(E % 2 == 0, "heading").otherwise("footer").alias("kind"))
+    m = load(spark, sf, "events").filter((E() % 2 == 0) | (E() % 6 == 1))
+    m = m.select(F.col("user_id").alias("doc_id"), "event_id", (E() % 4).alias("page"), (E() % 8).alias("number"), (E() % 100).alias("y"), F.when(E() % 2 == 0, "heading").otherwise("footer").alias("kind"))
     return docmap.prune_headings(m).select(F.col("doc_id").alias("user_id"), "event_id")
 
 
@@ -153,23 +157,23 @@ def hybrid_map(spark, sf):
 @query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 1300 > 1000 OR event_id % 1300 < 1 THEN 'number out of range' END, CASE WHEN event_id % 9 = 0 THEN 'positions differ from numbers' END, CASE WHEN event_id % 5 = 0 THEN 'empty band' END, CASE WHEN event_id % 4 = 3 THEN 'unknown role' END], lambda x: x IS NOT NULL), ';') AS violations,
   CASE event_id % 4 WHEN 0 THEN 'question' WHEN 1 THEN 'continuation' WHEN 2 THEN 'cover' ELSE 'unknown' END AS role FROM events""")
 def proposal_validate(spark, sf):
-    numbers = F.when(E % 9 == 0, F.array(E % 1300, E % 1300)).otherwise(F.array(E % 1300))
-    role = F.when(E % 4 == 0, " Questions").when(E % 4 == 1, "continued").when(E % 4 == 2, "front").otherwise("poem")
-    v = docmap.validate_proposal(numbers, F.array(F.lit(0.2)), F.array(F.when(E % 5 == 0, 0.1).otherwise(0.6)), role)
+    numbers = F.when(E() % 9 == 0, F.array(E() % 1300, E() % 1300)).otherwise(F.array(E() % 1300))
+    role = F.when(E() % 4 == 0, " Questions").when(E() % 4 == 1, "continued").when(E() % 4 == 2, "front").otherwise("poem")
+    v = docmap.validate_proposal(numbers, F.array(F.lit(0.2)), F.array(F.when(E() % 5 == 0, 0.1).otherwise(0.6)), role)
     return load(spark, sf, "events").select("event_id", v.alias("v")).select("event_id", F.array_join("v.violations", ";").alias("violations"), "v.role")
 
 
 @query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 7 <> event_id % 5 THEN 'another number' END, CASE WHEN event_id % 3 = 0 AND event_id % 4 > 1 THEN 'almost empty' END, CASE WHEN event_id % 2 <> 0 THEN 'boxes and pages differ' END], lambda x: x IS NOT NULL), ';') AS errors FROM events""")
 def item_validate(spark, sf):
-    e = docmap.item_errors(E % 7, E % 5, F.when(E % 3 == 0, " x ").otherwise("a longer content"), E % 4, E % 2, F.lit(0))
+    e = docmap.item_errors(E() % 7, E() % 5, F.when(E() % 3 == 0, " x ").otherwise("a longer content"), E() % 4, E() % 2, F.lit(0))
     return load(spark, sf, "events").select("event_id", F.array_join(e, ";").alias("errors"))
 
 
 @query("""SELECT event_id, coalesce(f, CASE WHEN i > 0 THEN i END, greatest(1, m)) AS marks, coalesce(f <> i AND i > 0, false) OR event_id % 4 <> 0 AS needs_review, event_id % 8 = 1 AND coalesce(f, CASE WHEN i > 0 THEN i END, greatest(1, m)) > 0 AS rejected
   FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 6 END AS f, event_id % 5 AS i, event_id % 7 AS m FROM events)""")
 def assemble_question(spark, sf):
-    content = F.when(E % 8 == 1, " ").when(E % 4 == 0, "It ends.").otherwise("It is cut of")
-    a = docmap.assemble(content, F.when(E % 3 == 0, E % 6), E % 5, E % 7)
+    content = F.when(E() % 8 == 1, " ").when(E() % 4 == 0, "It ends.").otherwise("It is cut of")
+    a = docmap.assemble(content, F.when(E() % 3 == 0, E() % 6), E() % 5, E() % 7)
     return load(spark, sf, "events").select("event_id", a.alias("a")).select("event_id", "a.marks", "a.needs_review", "a.rejected")
 
 
@@ -185,7 +189,7 @@ def quarantine_cards(spark, sf):
 def repair_resolve(spark, sf):
     """The outcome of each user's first three attempts: accepted, stopped on an equal error, or exhausted."""
     w = Window.partitionBy("user_id").orderBy(*Q)
-    a = load(spark, sf, "events").select("user_id", F.row_number().over(w).alias("attempt"), F.when(E % 4 == 0, "reply").alias("reply"), F.when(E % 4 != 0, F.concat(F.lit("e"), (E % 2).cast("string"))).alias("error"))
+    a = load(spark, sf, "events").select("user_id", F.row_number().over(w).alias("attempt"), F.when(E() % 4 == 0, "reply").alias("reply"), F.when(E() % 4 != 0, F.concat(F.lit("e"), (E() % 2).cast("string"))).alias("error"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["attempt"], pdf["reply"], pdf["error"].where(pdf["error"].notna(), None)))

@@ -14,14 +14,17 @@ def docs(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-D = F.col("doc_id")
+def D():
+    return F.col("doc_id")
+
+
 _HEX = lambda c: F.sha2(c, 256)  # noqa: E731  long texts are compared by digest
 
 
 def marked(text=None):
     """The text with mark tags in it: some inline, one at its end."""
     t = F.col("text") if text is None else text
-    return F.concat(F.lit("Do it ["), (D % 30).cast("string"), F.lit(" marks] "), t, F.lit(" ("), (D % 7).cast("string"), F.lit(" marks)"))
+    return F.concat(F.lit("Do it ["), (D() % 30).cast("string"), F.lit(" marks] "), t, F.lit(" ("), (D() % 7).cast("string"), F.lit(" marks)"))
 
 
 _MARKED = "'Do it [' || (doc_id % 30) || ' marks] ' || coalesce(text, '') || ' (' || (doc_id % 7) || ' marks)'"
@@ -34,13 +37,13 @@ def inline_marks_sum(spark, sf):
 
 @query("SELECT doc_id, greatest(1, least(25, CASE WHEN doc_id % 2 = 0 THEN doc_id % 40 ELSE 1 END))::INT AS marks FROM documents")
 def last_mark_clamp(spark, sf):
-    t = F.when(D % 2 == 0, F.concat(F.lit("x [3 marks] y ("), (D % 40).cast("string"), F.lit(")"))).otherwise(F.lit("none"))
+    t = F.when(D() % 2 == 0, F.concat(F.lit("x [3 marks] y ("), (D() % 40).cast("string"), F.lit(")"))).otherwise(F.lit("none"))
     return docs(spark, sf).select("doc_id", scalars.last_mark(t).alias("marks"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '$x_' || doc_id || '$' WHEN doc_id % 3 = 1 THEN '$$y' || chr(10) || 'z$$' ELSE '' END AS math FROM documents")
 def first_math(spark, sf):
-    t = F.when(D % 3 == 0, F.concat(F.lit("Let $x_"), D.cast("string"), F.lit("$ and $b$"))).when(D % 3 == 1, F.lit("See $$y\nz$$ then $a$")).otherwise("costs 5$")
+    t = F.when(D() % 3 == 0, F.concat(F.lit("Let $x_"), D().cast("string"), F.lit("$ and $b$"))).when(D() % 3 == 1, F.lit("See $$y\nz$$ then $a$")).otherwise("costs 5$")
     return docs(spark, sf).select("doc_id", scalars.first_math(t).alias("math"))
 
 
@@ -48,7 +51,7 @@ def first_math(spark, sf):
 def split_questions(spark, sf):
     one = F.concat(F.lit("First piece: "), F.replace(F.regexp_replace("text", r"(?m)^((?:Q(?:uestion)?\s*)?[0-9]{1,2}[.)]\s)", "x$1"), F.lit("---"), F.lit("- -")))
     two = F.lit("1. The first question is here.\nwith a line\n2) The second question is there.")
-    return docs(spark, sf).select("doc_id", F.size(scalars.split_questions(F.when(D % 2 == 0, two).otherwise(one))).alias("pieces"))
+    return docs(spark, sf).select("doc_id", F.size(scalars.split_questions(F.when(D() % 2 == 0, two).otherwise(one))).alias("pieces"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t\\f\\v\\r]*\\n[ \\t\\f\\v\\r]*', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents")
@@ -58,7 +61,7 @@ def newline_collapse(spark, sf):
 
 @query("SELECT doc_id, '07.' || (doc_id % 9) || ' Read ' || chr(10) || 'on' || chr(10) AS page FROM documents")
 def page_text_clean(spark, sf):
-    t = F.concat(F.lit("0 7 . "), (D % 9).cast("string"), F.lit(" Read ____\n 4 \non----\n"))
+    t = F.concat(F.lit("0 7 . "), (D() % 9).cast("string"), F.lit(" Read ____\n 4 \non----\n"))
     return docs(spark, sf).select("doc_id", files.clean_page(t).alias("page"))
 
 
@@ -71,7 +74,7 @@ _COUNT = {s: " + ".join(f"contains(low, '{w}')::INT" for w in ws) for s, ws in _
   SELECT doc_id, CASE WHEN greatest({', '.join(_COUNT)}) > 0 AND math = greatest({', '.join(_COUNT)}) THEN
    CASE WHEN contains(low, 'further') THEN CASE WHEN contains(low, 'gcse') THEN 'GCSE Further Mathematics' ELSE 'Further Mathematics' END WHEN contains(low, 'gcse') THEN 'GCSE Mathematics' ELSE 'Mathematics' END ELSE 'General' END AS class FROM c""")
 def keyword_classify(spark, sf):
-    more = F.when(D % 6 == 0, " the gcse integral of a matrix").when(D % 6 == 1, " further vector").when(D % 6 == 2, " enzyme and genome").when(D % 6 == 3, " velocity").when(D % 6 == 4, " equation acid").otherwise("")
+    more = F.when(D() % 6 == 0, " the gcse integral of a matrix").when(D() % 6 == 1, " further vector").when(D() % 6 == 2, " enzyme and genome").when(D() % 6 == 3, " velocity").when(D() % 6 == 4, " equation acid").otherwise("")
     return docs(spark, sf).select("doc_id", scalars.keyword_class(F.concat("text", more)).alias("class"))
 
 
@@ -87,25 +90,25 @@ def ligature_clean(spark, sf):
 
 @query("SELECT doc_id, 'Uses F = ma' || chr(10) || 'answer ' || (doc_id % 5) AS scheme FROM documents")
 def examiner_codes(spark, sf):
-    t = F.concat(F.lit("Uses F = ma  M1 A1ft\n  \nanswer "), (D % 5).cast("string"), F.lit(" B2cao \n"))
+    t = F.concat(F.lit("Uses F = ma  M1 A1ft\n  \nanswer "), (D() % 5).cast("string"), F.lit(" B2cao \n"))
     return docs(spark, sf).select("doc_id", scalars.drop_examiner_codes(t).alias("scheme"))
 
 
 @query("SELECT doc_id, [doc_id % 12, doc_id % 7] AS refs, (doc_id % 3)::INT AS places FROM documents")
 def figure_refs(spark, sf):
-    t = F.concat(F.lit("In Figure "), (D % 12).cast("string"), F.lit(" and fig. "), (D % 7).cast("string"), F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D % 3).cast("int")))
+    t = F.concat(F.lit("In Figure "), (D() % 12).cast("string"), F.lit(" and fig. "), (D() % 7).cast("string"), F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D() % 3).cast("int")))
     return docs(spark, sf).select("doc_id", F.transform(scalars.figure_refs(t), lambda x: x.cast("long")).alias("refs"), scalars.placeholders(t).alias("places"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 <> doc_id % 2 THEN 'placeholders differ from boxes' END, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN 'figures are mentioned without boxes' END], lambda x: x IS NOT NULL), ';') AS errors FROM documents""")
 def consistency_errors(spark, sf):
-    t = F.concat(F.when(D % 5 == 0, "Figure 1 ").otherwise("none "), F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D % 3).cast("int")))
-    return docs(spark, sf).select("doc_id", F.array_join(scalars.consistency_errors(t, D % 2), ";").alias("errors"))
+    t = F.concat(F.when(D() % 5 == 0, "Figure 1 ").otherwise("none "), F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D() % 3).cast("int")))
+    return docs(spark, sf).select("doc_id", F.array_join(scalars.consistency_errors(t, D() % 2), ";").alias("errors"))
 
 
 @query("""SELECT doc_id, doc_id % 4 = 0 AS grid, doc_id % 4 = 1 AS code, doc_id % 4 = 2 AS "table", doc_id % 4 = 3 AS footer FROM documents""")
 def content_flags(spark, sf):
-    t = F.when(D % 4 == 0, "Draw the line on the grid.").when(D % 4 == 1, "x\nfor i in range(3):\n  pass").when(D % 4 == 2, "| a | b |\n| 1 | 2 |").otherwise("Turn over for page 2")
+    t = F.when(D() % 4 == 0, "Draw the line on the grid.").when(D() % 4 == 1, "x\nfor i in range(3):\n  pass").when(D() % 4 == 2, "| a | b |\n| 1 | 2 |").otherwise("Turn over for page 2")
     return docs(spark, sf).select("doc_id", scalars.content_flags(t).alias("f")).select("doc_id", "f.grid", "f.code", "f.table", "f.footer")
 
 
@@ -121,8 +124,8 @@ def crop_signals(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'full_vision' WHEN doc_id % 2 = 0 OR doc_id % 5 = 0 THEN 'crop_first' ELSE 'text_first' END AS route FROM documents")
 def extraction_route(spark, sf):
-    t = F.when(D % 5 == 0, "As Figure 2 shows").otherwise("plain")
-    return docs(spark, sf).select("doc_id", scalars.extraction_route(t, D % 2 == 0, D % 3 != 0).alias("route"))
+    t = F.when(D() % 5 == 0, "As Figure 2 shows").otherwise("plain")
+    return docs(spark, sf).select("doc_id", scalars.extraction_route(t, D() % 2 == 0, D() % 3 != 0).alias("route"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '(a) ' WHEN 1 THEN '(b) ' ELSE '12. ' END || text AS t FROM conversations), p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM t)
@@ -139,7 +142,7 @@ def new_question_flag(spark, sf):
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, (doc_id % 5) / 10.0::DOUBLE AS s, (doc_id % 5) / 10.0::DOUBLE + 0.4 AS e, text FROM documents)
   SELECT doc_id, sha256(CASE WHEN len(l) <= 2 THEN text ELSE array_to_string(l[greatest(0, floor(len(l) * (s - 0.06)))::INT + 1 : least(len(l), ceil(len(l) * (e + 0.06)))::INT], chr(10)) END) AS digest FROM l""")
 def slice_by_y(spark, sf):
-    s = (D % 5) / F.lit(10.0)
+    s = (D() % 5) / F.lit(10.0)
     return docs(spark, sf).select("doc_id", _HEX(scalars.slice_by_y(F.col("text"), s, s + 0.4)).alias("digest"))
 
 
@@ -163,20 +166,20 @@ def worksheet_plan(spark, sf):
 @query("""WITH r AS (SELECT DISTINCT 'img/' || (doc_id % 50) || '/' || (doc_id % 7) || '.png' AS ref FROM documents), b AS (SELECT ref, regexp_extract(ref, '([^/\\\\]+)$', 1) AS base FROM r),
   n AS (SELECT ref, base, row_number() OVER (PARTITION BY base ORDER BY ref) AS n FROM b) SELECT ref, CASE WHEN n = 1 THEN base ELSE (n - 1) || '-' || base END AS name FROM n""")
 def image_refs(spark, sf):
-    t = F.concat(F.lit("See ![a](img/"), (D % 50).cast("string"), F.lit("/"), (D % 7).cast("string"), F.lit(".png) there"))
+    t = F.concat(F.lit("See ![a](img/"), (D() % 50).cast("string"), F.lit("/"), (D() % 7).cast("string"), F.lit(".png) there"))
     return files.image_refs(docs(spark, sf).select("doc_id", t.alias("t")), "doc_id", "t")
 
 
 @query("""SELECT doc_id, sha256(text) AS front, CASE WHEN doc_id % 2 = 0 THEN 'a' || doc_id ELSE '' END AS back, trim(lang || CASE WHEN doc_id % 4 > 1 THEN ' m' || (doc_id % 4) ELSE '' END || ' t' || (doc_id % 3)) AS tags FROM documents""")
 def flashcard_export(spark, sf):
-    rows = load(spark, sf, "documents").select(F.col("text").alias("content"), F.when(D % 2 == 0, F.concat(F.lit("a"), D.cast("string"))).alias("answer"), F.col("lang").alias("subject"), F.when(D % 4 == 0, "Unknown").when(D % 4 == 1, "General").otherwise(F.concat(F.lit("m"), (D % 4).cast("string"))).alias("module"), F.array(F.concat(F.lit("t"), (D % 3).cast("string"))).alias("topics"), "doc_id")
-    cards = files.flashcards(rows.withColumn("content", F.concat_ws("\0", D.cast("string"), "content")))
+    rows = load(spark, sf, "documents").select(F.col("text").alias("content"), F.when(D() % 2 == 0, F.concat(F.lit("a"), D().cast("string"))).alias("answer"), F.col("lang").alias("subject"), F.when(D() % 4 == 0, "Unknown").when(D() % 4 == 1, "General").otherwise(F.concat(F.lit("m"), (D() % 4).cast("string"))).alias("module"), F.array(F.concat(F.lit("t"), (D() % 3).cast("string"))).alias("topics"), "doc_id")
+    cards = files.flashcards(rows.withColumn("content", F.concat_ws("\0", D().cast("string"), "content")))
     return cards.select(F.split_part("front", F.lit("\0"), F.lit(1)).cast("long").alias("doc_id"), _HEX(F.split_part("front", F.lit("\0"), F.lit(2))).alias("front"), "back", "tags")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '(' || chr((97 + doc_id % 5)::INT) || ') Name it.' ELSE '7.2 V is used.' END AS text FROM documents")
 def decimal_parts(spark, sf):
-    t = F.when(D % 4 < 2, F.concat(F.lit("7 . "), (D % 5 + 1).cast("string"), F.lit(" Name it."))).otherwise("7.2 V is used.")
+    t = F.when(D() % 4 < 2, F.concat(F.lit("7 . "), (D() % 5 + 1).cast("string"), F.lit(" Name it."))).otherwise("7.2 V is used.")
     return docs(spark, sf).select("doc_id", rewrite.over(lambda x: rewrite.decimal_parts(x, 7))(t).alias("text"))
 
 
@@ -189,7 +192,7 @@ def harden_lines(spark, sf):
 
 @query("SELECT doc_id, sha256(trim(regexp_replace('Keep ' || (doc_id % 9) || chr(10) || 'and this.', '\\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM documents")
 def boilerplate_strip(spark, sf):
-    t = F.concat(F.lit("Keep "), (D % 9).cast("string"), F.lit("\nTurn over for the next question\nDo not write in this box\nP4321AB12\n123456\n__________\nand this.\nBlank page"))
+    t = F.concat(F.lit("Keep "), (D() % 9).cast("string"), F.lit("\nTurn over for the next question\nDo not write in this box\nP4321AB12\n123456\n__________\nand this.\nBlank page"))
     t = F.regexp_replace(t, "P4321AB12", "AB12345")
     return docs(spark, sf).select("doc_id", _HEX(rewrite.over(rewrite.strip_boilerplate)(t)).alias("digest"))
 
@@ -204,22 +207,25 @@ def _rewritten(name, f, make):
     return run
 
 
-_T = F.col("text")
-conditional_heal = _rewritten("conditional_heal", rewrite.heal_polar, lambda: F.concat(F.lit("The curve has polar equation\n3 cos θ\n"), _T))
-latex_sanitize = _rewritten("latex_sanitize", rewrite.latex_sanitize, lambda: F.concat(F.lit("20°C, 5kg, ½ x² ≤ π "), _T))
-relocate_marks = _rewritten("relocate_marks", rewrite.relocate_marks, lambda: F.concat(F.lit("(a) Find [2 marks] x\n(b) "), _T))
-latex_format = _rewritten("latex_format", rewrite.latex_format, lambda: F.concat(F.lit("**bold** $a_1$ *it* 5% "), _T))
-marker_cleanup = _rewritten("marker_cleanup", rewrite.marker_cleanup, lambda: F.concat(F.lit("Turn over\n7.1 Do\n\\ frac{1}{2}\n[3 marks]\n"), _T))
-mcq_options = _rewritten("mcq_options", rewrite.mcq_options, lambda: F.concat(F.lit("Which? A) one B) two C) three D) four\n"), _T))
-table_from_columns = _rewritten("table_from_columns", rewrite.table_from_columns, lambda: F.concat(F.lit("speed  mass\nA 1  2\nB 3  4\nC 5  6\n"), _T))
-table_repair = _rewritten("table_repair", rewrite.table_repair, lambda: F.concat(F.lit("x\n| a | b |\n| 1 | 2 |\n"), _T))
-heal_delimiters = _rewritten("heal_delimiters", rewrite.heal_delimiters, lambda: F.concat(F.lit("\\begin{align}a $$b$ "), _T))
+def _T():
+    return F.col("text")
+
+
+conditional_heal = _rewritten("conditional_heal", rewrite.heal_polar, lambda: F.concat(F.lit("The curve has polar equation\n3 cos θ\n"), _T()))
+latex_sanitize = _rewritten("latex_sanitize", rewrite.latex_sanitize, lambda: F.concat(F.lit("20°C, 5kg, ½ x² ≤ π "), _T()))
+relocate_marks = _rewritten("relocate_marks", rewrite.relocate_marks, lambda: F.concat(F.lit("(a) Find [2 marks] x\n(b) "), _T()))
+latex_format = _rewritten("latex_format", rewrite.latex_format, lambda: F.concat(F.lit("**bold** $a_1$ *it* 5% "), _T()))
+marker_cleanup = _rewritten("marker_cleanup", rewrite.marker_cleanup, lambda: F.concat(F.lit("Turn over\n7.1 Do\n\\ frac{1}{2}\n[3 marks]\n"), _T()))
+mcq_options = _rewritten("mcq_options", rewrite.mcq_options, lambda: F.concat(F.lit("Which? A) one B) two C) three D()) four\n"), _T()))
+table_from_columns = _rewritten("table_from_columns", rewrite.table_from_columns, lambda: F.concat(F.lit("speed  mass\nA 1  2\nB 3  4\nC 5  6\n"), _T()))
+table_repair = _rewritten("table_repair", rewrite.table_repair, lambda: F.concat(F.lit("x\n| a | b |\n| 1 | 2 |\n"), _T()))
+heal_delimiters = _rewritten("heal_delimiters", rewrite.heal_delimiters, lambda: F.concat(F.lit("\\begin{align}a $$b$ "), _T()))
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS equation FROM documents")
 def equation_flag(spark, sf):
     flag = F.pandas_udf(lambda s: s.map(rewrite.likely_equation), "boolean")
-    t = F.when(D % 2 == 0, F.concat(F.lit("y = x^2 + "), D.cast("string"))).otherwise("The answer to this is given below.")
+    t = F.when(D() % 2 == 0, F.concat(F.lit("y = x^2 + "), D().cast("string"))).otherwise("The answer to this is given below.")
     return docs(spark, sf).select("doc_id", flag(t).alias("equation"))
 
 
