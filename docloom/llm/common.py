@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows of an Arrow batch at most: texts are long, and each batch is held by both sides.
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` after lowering the session's Arrow batches to BATCH_ROWS rows (a smaller setting stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path of the shared folder."""
     return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
@@ -57,6 +69,21 @@ def worker_cache(owner: object, make):
     Workers live through many queries, so what each remembers would add up otherwise.
     """
     if owner not in _slot:
-        _slot.clear()
+        if _slot:
+            _slot.clear()
+            _release()
         _slot[owner] = make()
     return _slot[owner]
+
+
+def _release() -> None:
+    """Give memory that has been freed back to the system, where the platform can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import bounded, written
 
 SEED_WORDS = 3
 #: A seed's chance by its words' frequencies, at most.
@@ -152,7 +152,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFra
     rows repeat; items with equal ids are searched each. Empty tables give an empty result; extra columns are ignored.
     """
     out = None
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     schema = "doc_id long, item_id long, score double, matched int, first_word int, last_word int, item_words int"
     for block in _blocks(benchmark):
         counts, total = _counts(docs, {w for _, t in block for w in words(t)})

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import bounded, written
 
 #: Composite importance below which a branch goes, weight of content in it, and pages of a host that a node needs to be judged.
 LOW, CONTENT, LEAST_PAGES = 0.2, 0.9, 5
@@ -250,7 +250,7 @@ def main_texts(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGE
     Null and empty pages have an empty text; a null URL is a host of its own, ''. Broken markup is read leniently: open elements
     close where HTML says so, unknown references stay as they are. Repeated rows repeat. Extra columns are ignored.
     """
-    tree = style_tree(pages)
+    tree = style_tree(bounded(pages))
     gone = tree.filter((F.col("pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_list("path").alias("low"))
     # written, so that its size decides whether it is broadcast; beyond that the join shuffles and skewed hosts are split
     gone = written(gone, "html-low")

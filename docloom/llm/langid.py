@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import worker_cache
+from docloom.llm.common import bounded, worker_cache
 
 #: Rows of each language that the model is fitted on at most, and languages that it knows at most (the most frequent).
 FIT_ROWS, MOST_LANGUAGES = 600, 200
@@ -214,4 +214,4 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                     cols.append(pa.array([[{"lang": m.langs[x[0]], "first_word": x[1], "letters": x[2]} for x in s] for s in found], kind))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fresh, text_bytes, written
+from docloom.llm.common import bounded, fresh, text_bytes, written
 
 WIDTH = 576
 #: A tar shard is closed beyond this many bytes.
@@ -236,7 +236,7 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     values. Rows with a null key keep it. Extra columns are ignored.
     """
     at = fresh(docs.sparkSession, "media")
-    rows = written(store(docs.select(F.col(key).alias("key"), text_bytes(text).alias("payload")), "key", "payload", at, width), "media-index")
+    rows = written(store(bounded(docs).select(F.col(key).alias("key"), text_bytes(text).alias("payload")), "key", "payload", at, width), "media-index")
     # the index alone holds one row for each digest
     unique = rows.select("digest", "shard", "offset", "length").dropDuplicates(["digest"])
     unique = unique.repartition("shard").sortWithinPartitions("shard", "offset")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import worker_cache, written
+from docloom.llm.common import bounded, worker_cache, written
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Members of one side of a block pair; 2**BITS bits of the bitmap of candidate documents (8 MB).
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     gives an empty result.
     """
     bands = bands_for(threshold, recall, rows)
-    every = written(signatures(docs.filter("doc_id is not null"), n, bands, rows), "join-rows")
+    every = written(signatures(bounded(docs).filter("doc_id is not null"), n, bands, rows), "join-rows")
     classes = written(every.filter("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "join-classes")
     met = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     # buckets of two members or more, one for each membership: equal count and equal sum of member hashes

@@ -20,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import discard, fresh, shuffle_partitions, worker_cache, written
+from docloom.llm.common import bounded, discard, fresh, shuffle_partitions, worker_cache, written
 
 END_ID = 2
+RECIPES, CHUNKS = "part int, key long, start long, n_tokens long, root binary, chunks array<binary>", "digest binary, place long, length int"
 #: Ids of a chunk: least, mask of the rolling hash (one cut in MASK + 1 ids), most.
 LEAST, MASK, MOST = 128, 0xFF, 2048
 WINDOW = 16
@@ -266,7 +267,7 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
         finally:
             packs.close()
 
-    staged = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(encode, "key long, n_tokens long, root binary, chunks array<binary>, places array<long>, lengths array<int>"), "staged")
+    staged = written(bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(encode, "key long, n_tokens long, root binary, chunks array<binary>, places array<long>, lengths array<int>"), "staged")
 
     # one owner for each digest; its bytes move to the final pack, the others are left behind
     each = staged.select(F.explode(F.arrays_zip("chunks", "places", "lengths")).alias("c")).select("c.*")
@@ -298,7 +299,7 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
             packs.close()
 
     pack = F.shiftright("place", PLACE_BITS)
-    chunks = owners.repartition(pack).sortWithinPartitions("place").mapInArrow(compact, "digest binary, place long, length int")
+    chunks = owners.repartition(pack).sortWithinPartitions("place").mapInArrow(compact, CHUNKS)
     chunks.write.parquet(f"{at}/chunks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +318,9 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([before], pa.int64()), pa.array([before], pa.int64()), pa.array([root], pa.binary()), pa.array([[]], pa.list_(pa.binary()))], names=names)
 
     ordered = staged.select("key", "n_tokens", "root", "chunks").repartitionByRange(shuffle_partitions(spark), "key", "root").sortWithinPartitions("key", "root")
-    ordered.mapInArrow(number, "kind int, part int, key long, start long, n_tokens long, root binary, chunks array<binary>").write.partitionBy("kind").parquet(f"{at}/recipes")
+    ordered.mapInArrow(number, f"kind int, {RECIPES}").write.partitionBy("kind").parquet(f"{at}/recipes")
     # a row for each recipe part: their number is the number of partitions
-    parts = spark.read.parquet(f"{at}/recipes").filter("kind = 1").select("part", "n_tokens", "root")
+    parts = spark.read.schema(f"{RECIPES}, kind int").parquet(f"{at}/recipes").filter("kind = 1").select("part", "n_tokens", "root")
     parts.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).write.parquet(f"{at}/manifest")
     discard(spark, staging)
 
@@ -336,10 +337,10 @@ def read_store(spark: SparkSession, at: str, wide: bool = False, ids: bool = Fal
     Chunks are hashed as they are read, and every document's Merkle root and length verified against the recipes; damage raises.
     ``wide``: the store has 4 bytes an id.
     """
-    recipes = spark.read.parquet(f"{at}/recipes").filter("kind = 0").drop("kind")
-    base = F.broadcast(spark.read.parquet(f"{at}/manifest").select("part", "base"))
+    recipes = spark.read.schema(f"{RECIPES}, kind int").parquet(f"{at}/recipes").filter("kind = 0").drop("kind")
+    base = F.broadcast(spark.read.schema("part int, n_tokens long, root binary, base long").parquet(f"{at}/manifest").select("part", "base"))
     pieces = recipes.select("part", "key", "start", "n_tokens", "root", F.posexplode("chunks").alias("n", "digest"))
-    found = pieces.join(spark.read.parquet(f"{at}/chunks"), "digest")
+    found = pieces.join(spark.read.schema(CHUNKS).parquet(f"{at}/chunks"), "digest")
     listed = found.groupBy("part", "start", "key", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("n", "place", "length"))).alias("c"))
     listed = listed.select("part", "start", "key", "n_tokens", "root", F.transform("c", lambda x: x["place"]).alias("places"), F.transform("c", lambda x: x["length"]).alias("lengths"))
     # documents of one stretch of a pack are read by one task, in the pack's order

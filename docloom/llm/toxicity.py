@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import worker_cache
+from docloom.llm.common import bounded, worker_cache
 
 #: Rows of each label that the model is fitted on at most, taken in the order of a hash of doc_id.
 FIT_TOXIC, FIT_ORDINARY = 2400, 6000
@@ -191,4 +191,4 @@ def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sent.value.score(texts), pa.float64())], names=[*kept, "score"])
 
-    return docs.select(*kept).mapInArrow(run, ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "score"), "score double"]))
+    return bounded(docs).select(*kept).mapInArrow(run, ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "score"), "score double"]))
