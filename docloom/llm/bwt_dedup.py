@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_bytes, written
+from docloom.llm.common import bounded, text_bytes, written
 
 LENGTH, K = 400, 32
 #: Bytes of text parsed at once, strings that a map task holds before it sends them, strings of one merge (whole anchors).
-CHUNK, HELD, MERGED = 4 << 20, 150_000, 20_000
+CHUNK, HELD, MERGED = 1 << 20, 60_000, 20_000
 #: Shards of a merge at most: map tasks are dealt among them.
 SHARDS = 8
 #: Symbols of a string at most; the last one covers what is left of the stretch.
@@ -391,7 +391,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     Matches never cross texts; null texts are empty. Repeated rows repeat one another and lose all bytes from ``length`` on. Texts
     shorter than ``length`` stay whole. An empty table gives an empty result; extra columns are ignored.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    rows = bounded(docs).select(F.col(key).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "raw"))
     ranges = repeated_ranges(rows.select("rid", "raw"), length)
     listed = written(ranges.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("at")), "bwt-ranges")
