@@ -9,8 +9,10 @@ A rolling hash over the last 16 ids cuts a document's stream where it meets a ma
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ RECIPES, CHUNKS = "part int, key long, start long, n_tokens long, root binary, c
 LEAST, MASK, MOST = 128, 0xFF, 2048
 WINDOW = 16
 #: Words that a worker remembers with their ids; when full it starts anew.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 800_000
 #: A pack is closed beyond this many bytes. A place is a number: pack << PLACE_BITS | offset.
 PACK_BYTES, PLACE_BITS = 64 << 20, 27
 
@@ -50,6 +52,13 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words of letters come to this one in normal form and lower case; its cache would only cost time
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
+        bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_]}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.plain.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -76,7 +85,8 @@ class WordCodec:
         """Learn words of letters alone: each is one pre-token, whose last id ends a word."""
         for at in range(0, len(cores), 20_000):
             part = cores[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            joined = [" ".join(part[i : i + 200]) for i in range(0, len(part), 200)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("a word of letters is not one pre-token of this tokenizer")
@@ -94,23 +104,27 @@ class WordCodec:
         self.starts, self.lens = _grown(self.starts, len(self.known)), _grown(self.lens, len(self.known))
         heads = [w.rstrip(TAIL) for w in words]
         # letters below U+0130 are in normal form and have one lower-case letter each
-        whole = [c.isalpha() and (c.isascii() or max(c) < "\u0130") for c in heads]
-        places = [i for i, x in enumerate(whole) if x]
-        odd = [i for i, x in enumerate(whole) if not x]
-        plain = [heads[i].lower() for i in places]
-        tails = [words[i][len(heads[i]) :] for i in places]
-        self._cores([w for w in dict.fromkeys(plain) if w not in cores])
-        if places:
-            of = np.array([cores[w] for w in plain])
-            at = np.array(places) + first
+        whole = np.array([c.isalpha() and (c.isascii() or max(c) < "\u0130") for c in heads], bool)
+        places, odd = np.flatnonzero(whole), np.flatnonzero(~whole).tolist()
+        if odd:
+            words_, heads = words, [h for h, x in zip(heads, whole.tolist()) if x]
+            words = [w for w, x in zip(words, whole.tolist()) if x]
+        else:
+            words_ = words
+        plain = [h.lower() for h in heads]
+        tails = [w[len(h) :] for w, h in zip(words, heads)]
+        self._cores(list(set(plain).difference(cores)))
+        if len(places):
+            of = np.fromiter(map(cores.__getitem__, plain), np.int64, len(plain))
+            at = places + first
             self.starts[at], self.lens[at] = self.core_starts[of], self.core_lens[of]
         endings = {t: i for i, t in enumerate(dict.fromkeys(tails))}
         pieces = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if t else [], np.uint32) for t in endings]
-        if places:
-            self._join(at, np.array([len(x) for x in pieces]), np.concatenate(pieces), np.array([endings[t] for t in tails]))
+        if len(places):
+            self._join(at, np.array([len(x) for x in pieces]), np.concatenate(pieces), np.fromiter(map(endings.__getitem__, tails), np.int64, len(tails)))
         for at in range(0, len(odd), 1000):
             part = odd[at : at + 1000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words_[i] for i in part], add_special_tokens=False)):
                 ids = np.array(e.ids, np.uint32)
                 self.starts[first + i], self.lens[first + i] = self._keep(ids), len(ids)
 
@@ -176,21 +190,29 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: at the rolling hash's marks, at least LEAST and at most MOST ids apart."""
-    marks = np.flatnonzero((_gear(ids) & np.uint32(MASK)) == 0) + 1
-    out, at = [], 0
-    n = len(ids)
-    while n - at > LEAST:
-        k = np.searchsorted(marks, at + LEAST)
-        end = min(int(marks[k]) if k < len(marks) else n, at + MOST, n)
+def marks(ids: np.ndarray) -> list[int]:
+    """The places after which the rolling hash of an id stream allows a cut. Streams may follow one another: the hash looks back
+    WINDOW ids, fewer than the LEAST of a chunk, so marks that count never see another stream."""
+    return (np.flatnonzero((_gear(ids) & np.uint32(MASK)) == 0) + 1).tolist()
+
+
+def cut(marks_: list[int], at: int, end: int) -> list[int]:
+    """Ends of the chunks of the stream from ``at`` to ``end``: at marks, at least LEAST and at most MOST ids apart."""
+    out = []
+    while end - at > LEAST:
+        k = bisect_left(marks_, at + LEAST)
+        at = min(marks_[k] if k < len(marks_) else end, at + MOST, end)
+        out.append(at)
+    if at < end:
         out.append(end)
-        at = end
-    if at < n:
-        out.append(n)
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return cut(marks(ids), 0, len(ids))
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd node moves up unchanged."""
     level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves] or [b"\0" * 16]
@@ -246,13 +268,18 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
             for whole in batches:
                 for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                     flat, lens = words.encode([x or "" for x in b.column(1).to_pylist()])
-                    ends = np.cumsum(lens)
+                    # each document's ids with its end id, one after the other
+                    ends = np.cumsum(lens + 1)
+                    ids = np.full(len(flat) + len(lens), end_id, ids_type)
+                    inner = np.ones(len(ids), bool)
+                    inner[ends - 1] = False
+                    ids[inner] = flat
+                    allowed, size, raw = marks(ids), ids.itemsize, ids.tobytes()
                     n_tokens, roots, upto, digests, places, lengths = [], [], [0], [], [], []
-                    for n, end in zip(lens.tolist(), ends.tolist()):
-                        ids = np.append(flat[end - n : end], np.uint32(end_id)).astype(ids_type)
-                        begin = 0
-                        for to in cuts(ids):
-                            data = ids[begin:to].tobytes()
+                    for n, end in zip((lens + 1).tolist(), ends.tolist()):
+                        begin = end - n
+                        for to in cut(allowed, begin, end):
+                            data = raw[begin * size : to * size]
                             begin = to
                             d = _digest(data)
                             place = seen.get(d)
@@ -261,7 +288,7 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
                                     seen.clear()
                                 place = seen[d] = packs.add(data)
                             digests.append(d), places.append(place), lengths.append(len(data))
-                        n_tokens.append(len(ids)), roots.append(merkle(digests[upto[-1] :])), upto.append(len(digests))
+                        n_tokens.append(n), roots.append(merkle(digests[upto[-1] :])), upto.append(len(digests))
                     lists = (_lists(upto, pa.array(v, t)) for v, t in ((digests, pa.binary()), (places, pa.int64()), (lengths, pa.int32())))
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(roots, pa.binary()), *lists], names=["key", "n_tokens", "root", "chunks", "places", "lengths"])
         finally:
