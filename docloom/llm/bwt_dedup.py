@@ -339,28 +339,35 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         rest: pa.Table | None = None
 
         def settle(t: pa.Table) -> pa.RecordBatch:
-            texts = [x.as_py() for x in t["part"]]
-            sizes = np.array([len(x) for x in texts], np.int64)
-            sums = _Sums(np.frombuffer(b"".join(texts), np.uint8))
-            n = sizes - length + 1
-            begin = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(n)), n)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            start = begin[row] + offset
-            h = sums.of(start, start + length)
-            order = np.argsort(h, kind="stable")
-            twin = np.zeros(len(h), bool)
-            same = h[order][1:] == h[order][:-1]
+            # hashes of all windows, computed for some rows at a time; only they and their order are held for the whole group
+            hashes, n = [], np.zeros(t.num_rows, np.int64)
+            for at in range(0, t.num_rows, 500):
+                texts = [x.as_py() for x in t["part"].slice(at, 500)]
+                sizes = np.array([len(x) for x in texts], np.int64)
+                sums = _Sums(np.frombuffer(b"".join(texts), np.uint8))
+                own = n[at : at + len(texts)] = sizes - length + 1
+                start = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                hashes.append(sums.of(start, start + length))
+            h = np.concatenate(hashes)
+            del hashes
+            order = np.argsort(h)
+            h = h[order]
+            same = h[1:] == h[:-1]
+            del h
+            twin = np.zeros(len(order), bool)
             twin[order[1:][same]] = True
             twin[order[:-1][same]] = True
-            twin &= t["asks"].to_numpy(zero_copy_only=False)[row]
+            del order, same
+            twin &= np.repeat(t["asks"].to_numpy(), n)
             good = np.flatnonzero(twin)
+            begin = np.cumsum(n) - n
+            row = np.searchsorted(begin, good, side="right") - 1
             new = np.ones(len(good), bool)
-            new[1:] = (np.diff(good) != 1) | (np.diff(row[good]) != 0)
+            new[1:] = (np.diff(good) != 1) | (np.diff(row) != 0)
             first = np.flatnonzero(new)
-            a, z = good[first], good[np.append(first[1:], len(good)) - 1] if len(good) else good
-            s = t["s"].to_numpy()
-            return _batch(rid=t["rid"].to_numpy()[row[a]], s=s[row[a]] + offset[a], e=s[row[a]] + offset[z])
+            last = np.append(first[1:], len(good)) - 1 if len(good) else first
+            row, s = row[first], t["s"].to_numpy()
+            return _batch(rid=t["rid"].to_numpy()[row], s=s[row] + good[first] - begin[row], e=s[row] + good[last] - begin[row])
 
         for b in batches:
             t = pa.Table.from_batches([b])
