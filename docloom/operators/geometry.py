@@ -14,20 +14,30 @@ def sanitize_box(box: Column, width: Column, height: Column) -> Column:
     """A struct (x, y, w, h) in pixels, or null: values up to 1.5 are shares, up to 100 percents, up to 1.05 of the longer side
     pixels; a third and fourth value beyond the first two that fit the page as a corner are one. Off-page parts are cut; boxes too
     small, too thin or almost the page go."""
-    top = F.array_max(F.transform(box, lambda v: F.abs(v)))
-    longer = F.greatest(width, height)
-    unit = F.when(top <= 1.5, F.lit(1.0)).when(top <= 100, F.lit(100.0))
-    sx = F.when(unit.isNotNull(), width / unit).when(top <= 1.05 * longer, F.lit(1.0))
-    sy = F.when(unit.isNotNull(), height / unit).when(top <= 1.05 * longer, F.lit(1.0))
-    x, y, c, d = box[0] * sx, box[1] * sy, box[2] * sx, box[3] * sy
-    corner = (c > x) & (d > y) & ((x + c > width * 1.02) | (y + d > height * 1.02))
-    right, low = F.when(corner, c).otherwise(x + c), F.when(corner, d).otherwise(y + d)
-    x0, y0 = F.greatest(F.lit(0.0), x), F.greatest(F.lit(0.0), y)
-    w, h = F.least(right, width) - x0, F.least(low, height) - y0
-    area = w * h / (width * height)
+    def pixels(m):
+        unit = F.when(m["top"] <= 1.5, F.lit(1.0)).when(m["top"] <= 100, F.lit(100.0))
+        plain = F.when(m["top"] <= 1.05 * F.greatest(width, height), F.lit(1.0))
+        sx, sy = F.coalesce(width / unit, plain), F.coalesce(height / unit, plain)
+        return _let(F.struct(*((box[i] * k).alias(n) for i, (n, k) in enumerate((("x", sx), ("y", sy), ("c", sx), ("d", sy))))), corners)
+
+    def corners(p):
+        corner = (p["c"] > p["x"]) & (p["d"] > p["y"]) & ((p["x"] + p["c"] > width * 1.02) | (p["y"] + p["d"] > height * 1.02))
+        right, low = F.when(corner, p["c"]).otherwise(p["x"] + p["c"]), F.when(corner, p["d"]).otherwise(p["y"] + p["d"])
+        x0, y0 = F.greatest(F.lit(0.0), p["x"]), F.greatest(F.lit(0.0), p["y"])
+        return _let(F.struct(x0.alias("x"), y0.alias("y"), (F.least(right, width) - x0).alias("w"), (F.least(low, height) - y0).alias("h")), checked)
+
+    def checked(q):
+        area = q["w"] * q["h"] / (width * height)
+        ok = (q["w"] >= LEAST_SIDE) & (q["h"] >= LEAST_SIDE) & area.between(LEAST_AREA, MOST_AREA)
+        return F.when(ok, F.struct(F.floor(q["x"]).cast("int").alias("x"), F.floor(q["y"]).cast("int").alias("y"), F.round(q["w"]).cast("int").alias("w"), F.round(q["h"]).cast("int").alias("h")))
+
     bad = F.exists(box, lambda v: v.isNull() | F.isnan(v)) | (F.size(box) != 4)
-    ok = ~bad & (w >= LEAST_SIDE) & (h >= LEAST_SIDE) & area.between(LEAST_AREA, MOST_AREA)
-    return F.when(ok, F.struct(F.floor(x0).cast("int").alias("x"), F.floor(y0).cast("int").alias("y"), F.round(w).cast("int").alias("w"), F.round(h).cast("int").alias("h")))
+    return F.when(~bad, _let(F.struct(F.array_max(F.transform(box, lambda v: F.abs(v))).alias("top")), pixels))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def box_kind(box: Column) -> Column:
