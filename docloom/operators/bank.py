@@ -10,6 +10,21 @@ def _named(c):
     return F.coalesce(F.trim(c), F.lit("")) != ""
 
 
+def insert(items: DataFrame, new: DataFrame, topics: str = "topics") -> DataFrame:
+    """Items with new rows; null topics become an empty list, missing columns null."""
+    filled = new.withColumn(topics, F.coalesce(F.col(topics), F.array().cast("array<string>"))) if topics in new.columns else new
+    return items.unionByName(filled, allowMissingColumns=True)
+
+
+def emptied(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables without rows."""
+    return tuple(t.filter(F.lit(False)) for t in tables)
+
+
+def drop_log(logs: DataFrame, key: str, value) -> DataFrame:
+    return logs.filter(~F.col(key).eqNullSafe(F.lit(value)))
+
+
 def dedupe_latest(items: DataFrame, group: str, number: str, seq: str) -> DataFrame:
     """Of rows with one non-blank group and non-null number the latest; other rows stay untouched.
 

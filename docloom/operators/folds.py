@@ -66,6 +66,21 @@ def cluster_boxes(boxes: list, gap: float = 0.006) -> list[tuple]:
     return out
 
 
+def merge_touching(boxes: list[tuple], kinds: list[str], gap: float = 0.0) -> list[tuple[tuple, str]]:
+    """Boxes of one kind that overlap or touch, joined until none do; the first keeps its place."""
+    out = list(zip(map(tuple, boxes), kinds))
+    i = 0
+    while i < len(out):
+        j = next((j for j in range(i + 1, len(out)) if out[i][1] == out[j][1] and overlap(out[i][0], out[j][0], gap + 1e-9)), None)
+        if j is None:
+            i += 1
+        else:
+            out[i] = union(out[i][0], out[j][0]), out[i][1]
+            del out[j]
+            i = 0
+    return out
+
+
 def stitch(rows: list[tuple[int | None, str]]) -> list[tuple[int, str, bool]]:
     """Page results (number, text) as items (number, text, review): an equal number continues the last item, a missing or
     lower one gets the next number and a review flag."""

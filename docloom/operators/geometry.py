@@ -47,6 +47,25 @@ def box_kind(box: Column) -> Column:
     return F.when((w < 0.01) | (h < 0.01), F.when(F.greatest(w, h) > 0.2, "rule").otherwise("tiny")).when(area > 0.5, "page").when(area < 0.002, "tiny").otherwise("figure")
 
 
+def split_by_caption(boxes: DataFrame, caption: str) -> DataFrame:
+    """Boxes (x, y, w, h) whose caption names several figures, in equal parts along their longer side, each with its figure's
+    ``figure``; other boxes stay whole, with the one figure they name or none."""
+    several = F.col(caption).rlike(r"(?i)\bfig(?:ure)?s?\.?\s*[0-9]+\s*(?:,|&|-|–|and|to)")
+    found = F.transform(F.regexp_extract_all(caption, F.lit("([0-9]+)"), 1), lambda n: n.cast("int"))
+    one = F.array(F.when(F.size(found) == 1, found[0]))
+    out = boxes.withColumn("_all", F.when(several & (F.size(found) >= 2), found).otherwise(one))
+    out = out.select("*", F.size("_all").alias("_n"), F.posexplode("_all").alias("_i", "figure"))
+    tall = F.col("h") > F.col("w")
+    at = F.col("_i") / F.col("_n")
+    parts = {
+        "x": F.when(tall, F.col("x")).otherwise(F.col("x") + F.col("w") * at),
+        "y": F.when(tall, F.col("y") + F.col("h") * at).otherwise(F.col("y")),
+        "w": F.when(tall, F.col("w")).otherwise(F.col("w") / F.col("_n")),
+        "h": F.when(tall, F.col("h") / F.col("_n")).otherwise(F.col("h")),
+    }
+    return out.withColumns(parts).drop("_all", "_n", "_i")
+
+
 def union_boxes(rows: DataFrame, by: list[str], x: str, y: str, w: str, h: str) -> DataFrame:
     """The box around each group's boxes: four partial aggregates."""
     g = rows.groupBy(*by).agg(F.min(x).alias("x"), F.min(y).alias("y"), F.max(F.col(x) + F.col(w)).alias("_r"), F.max(F.col(y) + F.col(h)).alias("_b"))

@@ -257,6 +257,15 @@ def bbox_filter(spark, sf):
     return boxes(spark, sf).select("vec_id", geometry.box_kind(F.array("x", "y", "w", "h")).alias("kind"))
 
 
+@query(f"""WITH {BOX_SQL}, c AS (SELECT *, CASE vec_id % 4 WHEN 0 THEN [4, 5] WHEN 1 THEN [1, 2, 3] WHEN 2 THEN [7] ELSE [NULL]::INT[] END AS f FROM boxes), e AS (SELECT *, len(f) AS n, unnest(f) AS figure, generate_subscripts(f, 1) - 1 AS i FROM c)
+  SELECT vec_id, figure, round(CASE WHEN h > w THEN x ELSE x + w * (i / n::DOUBLE) END, 6) AS x, round(CASE WHEN h > w THEN y + h * (i / n::DOUBLE) ELSE y END, 6) AS y, round(CASE WHEN h > w THEN w ELSE w / n END, 6) AS w, round(CASE WHEN h > w THEN h / n ELSE h END, 6) AS h FROM e""")
+def caption_split(spark, sf):
+    v = F.col("vec_id") % 4
+    caption = F.when(v == 0, "Figure 4 and Figure 5").when(v == 1, "Figs. 1, 2, 3").when(v == 2, "Figure 7").otherwise("A photograph")
+    out = geometry.split_by_caption(boxes(spark, sf).withColumn("caption", caption), "caption")
+    return out.select("vec_id", "figure", *(F.round(c, 6).alias(c) for c in "xywh"))
+
+
 @query(f"WITH {BOX_SQL} SELECT doc_id, page, round(min(x), 9) AS x, round(min(y), 9) AS y, round(max(x + w) - min(x), 9) AS w, round(max(y + h) - min(y), 9) AS h FROM boxes GROUP BY 1, 2")
 def bbox_union(spark, sf):
     u = geometry.union_boxes(boxes(spark, sf), ["doc_id", "page"], "x", "y", "w", "h")

@@ -64,3 +64,11 @@ def test_cache(spark, tmp_path):
     for _ in range(2):
         assert files.cached(spark, f"file://{tmp_path}", "k", make).count() == 3
     assert len(made) == 1
+
+
+def test_insert_and_clear(spark):
+    items = spark.createDataFrame([("a", ["t"], 1)], "id string, topics array<string>, marks int")
+    new = spark.createDataFrame([("b", None)], "id string, topics array<string>")
+    assert sorted(map(tuple, bank.insert(items, new).collect())) == [("a", ["t"], 1), ("b", [], None)]
+    assert [t.count() for t in bank.emptied(items, new)] == [0, 0]
+    assert bank.drop_log(items, "id", "a").count() == 0

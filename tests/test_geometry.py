@@ -40,3 +40,8 @@ def test_nearest_caption_takes_the_first_on_a_tie(spark):
     boxes = spark.createDataFrame([(1, 1, 0.25, 0.25, 0.5, 0.5), (2, 1, 0.0, 0.0, 0.1, 0.1)], "page int, seq int, x double, y double, w double, h double")
     captions = spark.createDataFrame([(1, 7, 0.5, 0.75), (1, 3, 0.5, 0.25)], "page int, cseq int, cx double, cy double")
     assert [tuple(r) for r in geometry.nearest_caption(boxes, captions, "page", "seq").collect()] == [(1, 1, 3)]
+
+
+def test_merge_touching():
+    got = folds.merge_touching([(0, 0, 1, 1), (3, 3, 1, 1), (1, 0, 2, 1), (0, 0, 1, 1)], ["a", "a", "a", "b"])
+    assert got == [((0, 0, 3, 1), "a"), ((3, 3, 1, 1), "a"), ((0, 0, 1, 1), "b")]
