@@ -21,7 +21,7 @@ from docloom.llm.common import bounded, worker_cache, written
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Members of one side of a block pair; 2**BITS bits of the bitmap of candidate documents (8 MB).
 BLOCK, BITS = 768, 26
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 300_000
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:

@@ -14,6 +14,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ RECIPES, CHUNKS = "part int, key long, start long, n_tokens long, root binary, c
 #: Ids of a chunk: least, mask of the rolling hash (one cut in MASK + 1 ids), most.
 LEAST, MASK, MOST = 128, 0xFF, 2048
 WINDOW = 16
-#: Words that a worker remembers with their ids; when full it starts anew.
-CACHED_WORDS = 800_000
+#: Words that a worker remembers with their ids; beyond that it forgets the rarest half and more. (An executor may run several
+#: workers in turn, and each keeps its own.)
+CACHED_WORDS = 300_000
 #: A pack is closed beyond this many bytes. A place is a number: pack << PLACE_BITS | offset.
 PACK_BYTES, PLACE_BITS = 64 << 20, 27
 
@@ -72,6 +74,19 @@ class WordCodec:
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.core_starts, self.core_lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        #: how often each word occurred
+        self.count = np.zeros(1 << 16, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that occurred most often, half of CACHED_WORDS at most."""
+        count = self.count[: len(self.known)]
+        kept = count > max(1, int(np.partition(count, -CACHED_WORDS // 2)[-CACHED_WORDS // 2]))
+        words, starts, lens = list(compress(self.known, kept.tolist())), self.starts[: len(kept)][kept], self.lens[: len(kept)][kept]
+        flat = self.flat[_ranges(starts, lens)]
+        self.clear()
+        self.known.update(zip(words, range(len(words))))
+        self.starts, self.lens = _grown(self.starts, len(words)), _grown(self.lens, len(words))
+        self.starts[: len(words)], self.lens[: len(words)] = self._keep(flat) + np.cumsum(lens) - lens, lens
 
     def _keep(self, ids: np.ndarray) -> int:
         """Append ids to the flat array; where they begin."""
@@ -144,11 +159,13 @@ class WordCodec:
         """The ids of all texts, one after the other, and the number of ids of each."""
         split = [_WORD.findall(t) if _CONTROL.search(t) else t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.clear()
+            self._forget()
         place = self.known.__getitem__
         words = np.concatenate([np.fromiter(map(place, x), np.int64, len(x)) for x in split]) if split else np.zeros(0, np.int64)
         if self.unseen:
             self._learn()
+        self.count = _grown(self.count, len(self.known))
+        self.count[: len(self.known)] += np.bincount(words, minlength=len(self.known))
         n = self.lens[words]
         upto = np.cumsum(n)
         at = _ranges(self.starts[words], n)
