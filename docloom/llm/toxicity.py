@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -103,14 +104,12 @@ class Scorer:
 
 def _spread(texts: list[str]) -> dict[str, int]:
     """Documents that hold a word; those that share their least word hash (copies, as a rule) count once."""
-    found = defaultdict(set)
-    for t in texts:
-        ws = set(words(t))
-        if ws:
-            least = min(zlib.crc32(w.encode()) for w in ws)
-            for w in ws:
-                found[w].add(least)
-    return {w: len(k) for w, k in found.items()}
+    least = [min((zlib.crc32(w.encode()) for w in set(words(t))), default=-1) for t in texts]
+    found: Counter = Counter()
+    order = sorted((k, i) for i, k in enumerate(least) if k >= 0)
+    for _, group in groupby(order, key=lambda x: x[0]):
+        found.update({w for _, i in group for w in words(texts[i])})
+    return found
 
 
 def _dictionary(counted: list[tuple[int, str]], size: int) -> bytes:
