@@ -16,9 +16,10 @@ from docloom.sources.tables import load
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the rejection threshold; the scorer learns from labels outside the held-out fold."""
     scorer = toxicity.fit(toxicity.labelled(docs, load(spark, sf_dir, "labels")))
-    # the score goes in under a name that no column of the documents has
-    kept = toxicity.toxicity(docs.drop("score"), scorer).filter(F.col("score") < toxicity.REJECT)
-    return kept.select(*docs.columns)
+    # the score joins the columns under a name that none of them has
+    held = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns if c != "text"})
+    kept = toxicity.toxicity(held, scorer).filter(F.col("score") < toxicity.REJECT)
+    return kept.select(*(F.col("text" if c == "text" else f"d_{c}").alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, shard after shard, shuffled within each; a document that the mix takes twice is there twice."""
     _, placed = mixing.mix(docs)
-    once = placed.dropDuplicates(["doc_id", "source", "pass"]).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "shard", "key")
+    once = placed.dropDuplicates(["doc_id", "source", "pass"]).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("shard").alias("m_shard"), F.col("key").alias("m_key"))
     mixed = docs.join(once, docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")))
-    return mixed.repartitionByRange(common.shuffle_partitions(spark), "shard", "key").sortWithinPartitions("shard", "key").select(*(docs[c] for c in docs.columns))
+    return mixed.repartitionByRange(common.shuffle_partitions(spark), once["m_shard"], once["m_key"]).sortWithinPartitions(once["m_shard"], once["m_key"]).select(*(docs[c] for c in docs.columns))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT, _CAMEL = re.compile(r"[^a-z0-9]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LAYOUT = re.compile(r"(?:has|with|no|without)[-_]")
 
 #: Elements whose content is text, not markup.
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
@@ -43,6 +44,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login signin comment comments respond reply replies disqus discussion share sharing social breadcrumb breadcrumbs pagination pager related recommended widget toolbar search form skip paywall disclaimer".split()
 )
+HEADERS = frozenset(("header", "masthead"))
 #: What the start of an element closes: open elements up to the first of these, within the bounds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
@@ -74,7 +76,13 @@ def _named(a: dict[str, str]) -> bool:
         return True
     if a.get("role", "").lower() in ROLES:
         return True
-    return any(w in NAMES for k in ("class", "id") if a.get(k) for w in _SPLIT.split(a[k].lower()))
+    return not NAMES.isdisjoint(_names(a))
+
+
+def _names(a: dict[str, str]) -> set[str]:
+    """The words of class and id, without those that say what a layout has or lacks ('with-sidebar')."""
+    parts = [t for k in ("class", "id") for t in a.get(k, "").split() if not _LAYOUT.match(t.lower())]
+    return {w for t in parts for w in _SPLIT.split(_CAMEL.sub("-", t).lower())}
 
 
 class Page:
@@ -149,10 +157,13 @@ class Page:
         main = up.main or tag == "main" or a.get("role", "").lower() == "main"
         named = (up.named or bool(style)) and (up.article or up.main)
         inside = up.article or up.main
-        header = up.header or (tag == "header" and inside)
+        names = _names(a)
+        # the header of an article: its headings stay
+        heads = inside and (tag == "header" or not HEADERS.isdisjoint(names)) and NAMES.isdisjoint(names - HEADERS)
+        header = up.header or (heads and tag not in HEADINGS)
         # within an article only a branch with a style of its own can be judged a template
         low = path in self.low and (named or not (inside or tag in ("html", "body", "article", "main")))
-        dropped = up.dropped or tag in DROPPED or (tag == "header" and not inside) or low or (tag not in ("html", "body") and _named(a) and not (tag in ("article", "main") and not inside))
+        dropped = up.dropped or tag in DROPPED or (tag == "header" and not inside) or low or (tag not in ("html", "body") and not heads and _named(a) and not (tag in ("article", "main") and not inside))
         self.stack.append(Node(tag, path, dropped, article, main, named, header))
 
     def _end(self, tag: str) -> None:

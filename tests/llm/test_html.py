@@ -32,6 +32,14 @@ def test_edges():
     assert text("<div " + "a" * 10000) != None  # noqa: E711
 
 
+def test_names():
+    assert text('<div class="content with-sidebar no-ads"><article><p>Kept</p></article></div>') == "Kept"
+    assert text('<article><header class="article-header"><h1>T</h1><p>By me</p></header><p>x</p></article>') == "T\nx"
+    assert text('<article><div class="post-header"><h2>T</h2><span>date</span></div><h3 class="header">U</h3><p>x</p></article>') == "T\nU\nx"
+    assert text('<article><p>x</p><div class="shareButtons sharing">Share</div><div class="loading">y</div><article class="comment"><p>z</p></article></article>') == "x\ny"
+    assert text('<div role="banner">B</div><p hidden>h</p><p style="display: none">n</p><p>x</p>') == "x"
+
+
 def test_main_without_article():
     assert text("<body><div>Noise</div><main><p>Kept</p></main></body>") == "Kept"
 
