@@ -8,6 +8,7 @@ A rolling hash over the last 16 ids cuts a document's stream where it meets a ma
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -18,6 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +34,7 @@ LEAST, MASK, MOST = 128, 0xFF, 2048
 WINDOW = 16
 #: Words that a worker remembers with their ids; beyond that it forgets the rarest half and more. (An executor may run several
 #: workers in turn, and each keeps its own.)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 450_000
 #: A pack is closed beyond this many bytes. A place is a number: pack << PLACE_BITS | offset.
 PACK_BYTES, PLACE_BITS = 64 << 20, 27
 
@@ -266,6 +268,16 @@ class _Packs:
             self.out = None
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of some 4 MB of text, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (4 << 20))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _lists(upto: list[int], values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values)
 
@@ -281,9 +293,10 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs, seen, words = _Packs(staging), {}, codec(tokenizer_path)
+        gc.disable()  # nothing here makes cycles, and the words make many objects to look through
         try:
             for whole in batches:
-                for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                for b in _sliced(whole):
                     flat, lens = words.encode([x or "" for x in b.column(1).to_pylist()])
                     # each document's ids with its end id, one after the other
                     ends = np.cumsum(lens + 1)
@@ -309,6 +322,7 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
                     lists = (_lists(upto, pa.array(v, t)) for v, t in ((digests, pa.binary()), (places, pa.int64()), (lengths, pa.int32())))
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(roots, pa.binary()), *lists], names=["key", "n_tokens", "root", "chunks", "places", "lengths"])
         finally:
+            gc.enable()
             packs.close()
 
     staged = written(bounded(docs).select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(encode, "key long, n_tokens long, root binary, chunks array<binary>, places array<long>, lengths array<int>"), "staged")
