@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import fresh_folder
+
 #: Modules that say nothing.
 NO_MODULE = ("Unknown", "General")
 #: Items shown at first and after a while.
@@ -16,9 +18,26 @@ def defaults(items: DataFrame, values: dict) -> DataFrame:
     return items.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """``rows`` with their place in the order, from 1, without bringing them to one task.
+
+    Range partitions are sorted and written to the shared folder, which fixes them; a place is a row's number in its partition
+    after the rows of the partitions before. Only one row for each partition is gathered.
+    """
+    spark = rows.sparkSession
+    at = fresh_folder(spark, "numbered")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    ranged.write.parquet(at)
+    kept = spark.read.schema(ranged.schema).parquet(at)
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1) + 1
+    return kept.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_row", "_before")
+
+
 def newest_first(items: DataFrame, seq: str = "seq") -> DataFrame:
-    """``items`` with ``position``, 1 for the newest. The window is over one key column of the whole table, as numbering it is."""
-    return items.withColumn("position", F.row_number().over(Window.orderBy(F.col(seq).desc())))
+    """``items`` with ``position``, 1 for the newest."""
+    return numbered(items, F.col(seq).desc())
 
 
 def corpus(*cols: str) -> Column:

@@ -17,7 +17,7 @@ W = f"WITH {ITEMS_SQL} "
 @query(W + "SELECT seq, subject, coalesce(module, '') AS module, coalesce(question_number, -1) AS question_number, row_number() OVER (ORDER BY seq DESC) AS position FROM items")
 def feed_scan(spark: SparkSession, sf: str) -> DataFrame:
     rows = feed.defaults(items(spark, sf), {"module": "", "question_number": -1})
-    return feed.newest_first(rows.select("seq", "subject", "module", "question_number")).withColumn("position", F.col("position").cast("long"))
+    return feed.newest_first(rows.select("seq", "subject", "module", "question_number"))
 
 
 @query(W + "SELECT pos::INT AS pos, id, marks FROM items JOIN (VALUES (0,'d5'),(1,'d3'),(2,'nope'),(3,'d100'),(4,'d7')) v(pos, wanted) ON id = wanted")
@@ -27,10 +27,8 @@ def ordered_lookup(spark, sf):
 
 @query(W + "SELECT seq, question_number, row_number() OVER (ORDER BY question_number ASC NULLS FIRST, seq) AS place FROM items WHERE paper_name = 'src3'")
 def paper_scan(spark, sf):
-    from pyspark.sql import Window
-
     rows = items(spark, sf).filter("paper_name = 'src3'").select("seq", "question_number")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("question_number").asc_nulls_first(), "seq")).cast("long"))
+    return feed.numbered(rows, F.col("question_number").asc_nulls_first(), F.col("seq"), name="place")
 
 
 CORPUS = ("subject", "module", "content", "paper_name", "topics")
