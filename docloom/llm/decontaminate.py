@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores the copies.
-
-A seed is a word trigram of an item that chance seldom makes: the product of its words' corpus frequencies, counted over all
-documents, is small. (Rarity by the trigram's own count would hide a leak that many documents share.) Where a document holds
-seeds of an item near one diagonal, the item is aligned with that stretch of the document word by word; insertions, deletions
-and replaced words cost points. The benchmark is taken in blocks of bounded size, each against all documents.
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores the copies.
+
+Each word trigram of an item is a seed, however common. Where a document holds seeds of an item near one diagonal, the item is
+aligned with that stretch of the document word by word; insertions, deletions and replaced words cost points. Stretches that
+share too few words with the item for a copy are not aligned. Items of fewer than LEAST_WORDS words, which count only as a whole,
+are searched unless chance makes them: the product of their words' corpus frequencies, not counting the words of the item's own
+verbatim copies (so that a leak that many documents share does not hide itself), is more than RARE. The benchmark is taken in
+blocks of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import bounded, written
 
 SEED_WORDS = 3
-#: A seed's chance by its words' frequencies, at most.
+#: A short item's chance by its words' frequencies, at most.
 RARE = 1e-7
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A copy: points over those of a full match of the item, or of its part; words matched at least.
@@ -60,19 +62,19 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int]:
 class Items:
     """A block of test items: word numbers, and the seeds' places."""
 
-    def __init__(self, rows: list[tuple[int, str]], counts: dict[str, int], total: int):
+    def __init__(self, rows: list[tuple[int, str]], common: set[tuple[str, ...]]):
+        """Items whose words are in ``common`` are not searched."""
         split = {i: words(t) for i, t in rows}
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split.values() for w in ws))}
         v = len(self.vocabulary)
-        chance = np.array([(counts.get(w, 0) + 0.5) / (total + 1) for w in self.vocabulary])
         self.items = {i: np.array([self.vocabulary[w] for w in ws]) for i, ws in split.items() if ws}
         seeds = defaultdict(list)
         for i, ids in self.items.items():
-            n = min(SEED_WORDS, len(ids))
-            for at in range(len(ids) - n + 1):
-                part = ids[at : at + n]
-                if n == SEED_WORDS and chance[part].prod() <= RARE:
-                    seeds[(int(part[0]) * v + int(part[1])) * v + int(part[2])].append((i, at))
+            if tuple(split[i]) in common:
+                continue
+            for at in range(len(ids) - SEED_WORDS + 1):
+                part = ids[at : at + SEED_WORDS]
+                seeds[(int(part[0]) * v + int(part[1])) * v + int(part[2])].append((i, at))
         self.v, self.keys = v, np.array(sorted(seeds), np.int64)
         self.places = [seeds[k] for k in self.keys.tolist()]
 
@@ -102,10 +104,13 @@ class Items:
                 while todo and todo[0] - last <= slack and todo[0] - first <= m:
                     last = todo.pop(0)
                 lo, hi = max(0, first - slack), min(len(ids), last + m + slack)
+                if MATCH * np.isin(ids[lo:hi], ids_i).sum() < SCORE * MATCH * m:
+                    continue
                 score, matched, a, b = align(ids_i, ids[lo:hi])
                 if best is None or score > best[0]:
                     best = (score, matched, lo + a, lo + b)
-            found.append((item, best[0] / (MATCH * m), *best[1:]))
+            if best:
+                found.append((item, best[0] / (MATCH * m), *best[1:]))
         return found
 
 
@@ -113,22 +118,34 @@ def copied(share: float, matched: int, item_words: int) -> bool:
     return matched >= min(LEAST_WORDS, item_words) and share >= SCORE
 
 
-def _counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """How often the words of ``vocabulary`` occur over all documents, and the number of all words."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _by_chance(docs: DataFrame, items: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Those of ``items`` (of SEED_WORDS words or more) that chance makes from the words the documents hold outside their copies."""
+    if not items:
+        return set()
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, found, known = 0, Counter(), sent.value
+        known, heads = {w for item in sent.value for w in item}, defaultdict(list)
+        for item in sent.value:
+            heads[item[:SEED_WORDS]].append((item, " ".join(item)))
+        total, found = 0, Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                ws = words(t)
+                ws, end = words(t), {}
                 total += len(ws)
                 found.update(w for w in ws if w in known)
-        yield pa.RecordBatch.from_arrays([pa.array(["", *found]), pa.array([total, *found.values()], pa.int64())], names=["word", "n"])
+                for at, head in enumerate(zip(*(ws[i:] for i in range(SEED_WORDS)))):
+                    for item, name in heads.get(head, ()):
+                        if at >= end.get(name, 0) and tuple(ws[at : at + len(item)]) == item:
+                            found[name] += 1
+                            end[name] = at + len(item)
+        yield pa.RecordBatch.from_arrays([pa.array(["", *found]), pa.array([total, *found.values()], pa.int64())], names=["words", "n"])
 
-    got = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-    counts = {r["word"]: r["n"] for r in got}
-    return counts, counts.pop("", 0)
+    got = docs.select("text").mapInArrow(run, "words string, n long").groupBy("words").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    counts = {r["words"]: r["n"] for r in got}
+    total = max(1, counts.get("", 0))
+    chance = {item: np.prod([(counts.get(w, 0) - counts.get(" ".join(item), 0) * item.count(w)) / total for w in item]) for item in items}
+    return {item for item, x in chance.items() if x > RARE}
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -146,17 +163,17 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, item_id, score (share of the item's full alignment score), matched (words), first_word, last_word, item_words of each
-    document that holds a copy of a benchmark item; with ``every`` all candidates that share a seed.
+    document that holds a copy of a benchmark item; with ``every`` all candidates that were aligned.
 
-    Whole texts are searched. Null and empty texts and items match nothing, nor do items of fewer than SEED_WORDS words. Repeated
-    rows repeat; items with equal ids are searched each. Empty tables give an empty result; extra columns are ignored.
+    Whole texts are searched. Null and empty texts and items match nothing, nor do items of fewer than SEED_WORDS words and
+    items below LEAST_WORDS words that chance makes. Repeated rows repeat; items with equal ids are searched each. Empty tables give an empty result; extra columns are ignored.
     """
     out = None
     spark = bounded(docs).sparkSession
     schema = "doc_id long, item_id long, score double, matched int, first_word int, last_word int, item_words int"
     for block in _blocks(benchmark):
-        counts, total = _counts(docs, {w for _, t in block for w in words(t)})
-        sent = spark.sparkContext.broadcast(Items(block, counts, total))
+        short = {ws for _, t in block if SEED_WORDS <= len(ws := tuple(words(t))) < LEAST_WORDS}
+        sent = spark.sparkContext.broadcast(Items(block, _by_chance(docs, short)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, kinds = sent.value, [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]

@@ -175,3 +175,22 @@ def test_leak_shared_by_most_documents(spark):
     docs = [(i, " ".join(word() for _ in range(200)) + (" " + item if i % 3 else "")) for i in range(90)]
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {x["doc_id"] for x in got.collect()} == {i for i in range(90) if i % 3}
+
+
+def leaked(spark, docs, items):
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return Counter((x["doc_id"], x["item_id"]) for x in got.collect())
+
+
+def test_seeds_hold_at_any_table_size_and_skew(spark):
+    # copies of one short leak in a third of the rows, and tables of few words
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("klmnopqrst") for _ in range(7))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short, common = text(20), text(5), "the of and"
+    docs = [(i, text(30)) for i in range(200)] + [(1000 + i, long) for i in range(100)]
+    assert leaked(spark, docs, [(1, long)]) == Counter({(1000 + i, 1): 1 for i in range(100)})
+    docs = [(i, text(30) + " the of and the of the and of and") for i in range(60)] + [(1000 + i, f"{word()} {short}") for i in range(60)]
+    assert leaked(spark, docs, [(1, short), (2, common)]) == Counter({(1000 + i, 1): 1 for i in range(60)})
+    assert leaked(spark, [(0, text(80)), (1, long), (2, text(80))], [(1, long)]) == Counter({(1, 1): 1})
+    assert leaked(spark, [(0, text(80)), (1, short), (2, text(80))], [(1, short)]) == Counter({(1, 1): 1})
