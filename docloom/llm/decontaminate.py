@@ -1,8 +1,9 @@
 """Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores the copies.
 
-Each word trigram of an item is a seed, however common. Where a document holds seeds of an item near one diagonal, the item is
-aligned with that stretch of the document word by word; insertions, deletions and replaced words cost points. Stretches that
-share too few words with the item for a copy are not aligned. Items of fewer than LEAST_WORDS words, which count only as a whole,
+Each word trigram of an item is a seed, however common. Around each seed the item is aligned, word by word, with as much of the
+document as a copy through that seed can take with all the insertions that its score allows; insertions, deletions and replaced
+words cost points. Stretches that share too few words with the item for a copy are not aligned. A copy without three words of
+the item in a row is not found. Items of fewer than LEAST_WORDS words, which count only as a whole,
 are searched unless chance makes them: the product of their words' corpus frequencies, not counting the words of the item's own
 verbatim copies (so that a leak that many documents share does not hide itself), is more than RARE. The benchmark is taken in
 blocks of bounded size, each against all documents.
@@ -38,25 +39,31 @@ def words(text: str | None) -> list[str]:
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int]:
     """Smith-Waterman of two word-id arrays: best score, matched words on its path, and the path's range in ``part``."""
-    n = len(part)
-    steps = np.arange(n + 1) * -GAP
-    h = np.zeros((len(item) + 1, n + 1), np.int32)
-    same = item[:, None] == part[None, :]
-    for i in range(1, len(item) + 1):
-        row = np.maximum(h[i - 1, 1:] + GAP, h[i - 1, :-1] + np.where(same[i - 1], MATCH, MISMATCH))
-        row = np.concatenate([[0], np.maximum(row, 0)])
-        h[i] = np.maximum.accumulate(row + steps) - steps
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, matched, end = int(h[i, j]), 0, int(j)
-    while i and j and h[i, j]:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same[i - 1, j - 1] else MISMATCH):
-            matched += bool(same[i - 1, j - 1])
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, matched, int(j), end
+    at = np.arange(len(part) + 1)
+    steps = at * -GAP
+    h, begun, hits = np.zeros_like(at), at, np.zeros_like(at)
+    best = (0, 0, 0, 0)
+    for word in item:
+        same = part == word
+        across, down = h[:-1] + np.where(same, MATCH, MISMATCH), h[1:] + GAP
+        slant = across >= down
+        row = np.concatenate([[0], np.maximum(np.where(slant, across, down), 0)])
+        # where the path of each cell began, and its matched words
+        begun = np.where(row > 0, np.concatenate([[0], np.where(slant, begun[:-1], begun[1:])]), at)
+        hits = np.where(row > 0, np.concatenate([[0], np.where(slant, hits[:-1] + same, hits[1:])]), 0)
+        top = np.maximum.accumulate(row + steps)
+        source = np.maximum.accumulate(np.where(row + steps == top, at, 0))
+        h, begun, hits = top - steps, begun[source], hits[source]
+        j = int(h.argmax())
+        if h[j] > best[0]:
+            best = (int(h[j]), int(hits[j]), int(begun[j]), j)
+    return best
+
+
+def bound(known: np.ndarray) -> int:
+    """What an alignment of some stretch can score at most, by which of its side's words the other side has at all."""
+    upto = np.concatenate([[0], np.cumsum(np.where(known, MATCH, max(MISMATCH, GAP)))])
+    return int((upto - np.minimum.accumulate(upto)).max())
 
 
 class Items:
@@ -77,6 +84,8 @@ class Items:
                 seeds[(int(part[0]) * v + int(part[1])) * v + int(part[2])].append((i, at))
         self.v, self.keys = v, np.array(sorted(seeds), np.int64)
         self.places = [seeds[k] for k in self.keys.tolist()]
+        #: marks of words, all False between uses; the last one is of unknown words
+        self.marks = np.zeros(v + 1, bool)
 
     def search(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item, share of the full score, matched words, first and last word) of the best copy of each item in the text."""
@@ -94,21 +103,36 @@ class Items:
             for item, of in self.places[place]:
                 hits[item].add(at - of)
         found = []
+        self.marks[ids] = True
+        hits = {i: starts for i, starts in hits.items() if bound(self.marks[self.items[i]]) >= SCORE * MATCH * len(self.items[i])}
+        self.marks[ids] = False
         for item, starts in hits.items():
             ids_i, best = self.items[item], None
-            m, slack = len(ids_i), max(4, len(self.items[item]) // 3)
+            m, need = len(ids_i), SCORE * MATCH * len(ids_i)
+            # a copy has so many inserted words at most, and takes so many words of the document
+            extra = int((MATCH * m - need) / -GAP)
+            reach = m + extra
+            self.marks[ids_i] = True
+            known = self.marks[ids]
+            self.marks[ids_i] = False
             todo = sorted(starts)
             while todo:
-                # diagonals near one another are one stretch
                 first = last = todo.pop(0)
-                while todo and todo[0] - last <= slack and todo[0] - first <= m:
+                while todo and todo[0] - last <= reach + extra:
                     last = todo.pop(0)
-                lo, hi = max(0, first - slack), min(len(ids), last + m + slack)
-                if MATCH * np.isin(ids[lo:hi], ids_i).sum() < SCORE * MATCH * m:
-                    continue
-                score, matched, a, b = align(ids_i, ids[lo:hi])
-                if best is None or score > best[0]:
-                    best = (score, matched, lo + a, lo + b)
+                # each copy is whole in one of the overlapping windows
+                end = min(len(ids), last + reach)
+                for lo in range(max(0, first - extra), end, reach):
+                    hi = min(end, lo + 2 * reach)
+                    self.marks[ids[lo:hi]] = True
+                    met = self.marks[ids_i]
+                    self.marks[ids[lo:hi]] = False
+                    if bound(known[lo:hi]) >= need and bound(met) >= need:
+                        score, matched, a, b = align(ids_i, ids[lo:hi])
+                        if best is None or score > best[0]:
+                            best = (score, matched, lo + a, lo + b)
+                    if hi == end:
+                        break
             if best:
                 found.append((item, best[0] / (MATCH * m), *best[1:]))
         return found

@@ -194,3 +194,16 @@ def test_seeds_hold_at_any_table_size_and_skew(spark):
     assert leaked(spark, docs, [(1, short), (2, common)]) == Counter({(1000 + i, 1): 1 for i in range(60)})
     assert leaked(spark, [(0, text(80)), (1, long), (2, text(80))], [(1, long)]) == Counter({(1, 1): 1})
     assert leaked(spark, [(0, text(80)), (1, short), (2, text(80))], [(1, short)]) == Counter({(1, 1): 1})
+
+
+def test_copy_with_long_insertions(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("klmnopqrst") for _ in range(7))
+    text = lambda n: [word() for _ in range(n)]
+    item = text(60)
+    edited = item.copy()
+    edited[10], edited[45] = word(), word()
+    docs = [(n, " ".join([*text(50), *edited[:30], *text(n), *edited[30:], *text(400)])) for n in (0, 36, 42, 70)]
+    pieces = [w for i in range(0, 60, 10) for w in [*item[i : i + 10], *text(9)]]
+    docs += [(100, " ".join([*text(200), *pieces, *text(200)])), (101, " ".join([*item[:28], *text(300), *item[32:]]))]
+    assert leaked(spark, docs, [(1, " ".join(item))]) == Counter({(i, 1): 1 for i in (0, 36, 42, 100)})
