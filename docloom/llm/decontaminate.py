@@ -67,11 +67,12 @@ def bound(known: np.ndarray) -> int:
 
 
 class Items:
-    """A block of test items: word numbers, and the seeds' places."""
+    """A block of test items by their position in it: ids, word numbers, and the seeds' places."""
 
-    def __init__(self, rows: list[tuple[int, str]], common: set[tuple[str, ...]]):
+    def __init__(self, rows: list[tuple[int | None, str]], common: set[tuple[str, ...]]):
         """Items whose words are in ``common`` are not searched."""
-        split = {i: words(t) for i, t in rows}
+        self.ids = [i for i, _ in rows]
+        split = dict(enumerate(words(t) for _, t in rows))
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split.values() for w in ws))}
         v = len(self.vocabulary)
         self.items = {i: np.array([self.vocabulary[w] for w in ws]) for i, ws in split.items() if ws}
@@ -88,7 +89,7 @@ class Items:
         self.marks = np.zeros(v + 1, bool)
 
     def search(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """(item, share of the full score, matched words, first and last word) of the best copy of each item in the text."""
+        """(position of the item, share of the full score, matched words, first and last word) of the best copy of each item in the text."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words(text)], np.int64)
         if len(ids) < SEED_WORDS or not len(self.keys):
@@ -172,10 +173,10 @@ def _by_chance(docs: DataFrame, items: set[tuple[str, ...]]) -> set[tuple[str, .
     return {item for item, x in chance.items() if x > RARE}
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's items in blocks of bounded size, read one after the other."""
     block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").distinct().toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct().toLocalIterator():
         block.append((r[0], r[1]))
         size += len(r[1]) // 4
         if len(block) >= BLOCK_ITEMS or size >= BLOCK_WORDS:
@@ -190,7 +191,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFra
     document that holds a copy of a benchmark item; with ``every`` all candidates that were aligned.
 
     Whole texts are searched. Null and empty texts and items match nothing, nor do items of fewer than SEED_WORDS words and
-    items below LEAST_WORDS words that chance makes. Repeated rows repeat; items with equal ids are searched each. Empty tables give an empty result; extra columns are ignored.
+    items below LEAST_WORDS words that chance makes. Repeated rows repeat; items with equal ids are searched each, and those without an id too. Empty tables give an empty result; extra columns are ignored.
     """
     out = None
     spark = bounded(docs).sparkSession
@@ -206,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFra
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     for item, share, matched, a, z in items.search(t):
                         if every or copied(share, matched, len(items.items[item])):
-                            rows.append((i, item, share, matched, a, z, len(items.items[item])))
+                            rows.append((i, items.ids[item], share, matched, a, z, len(items.items[item])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "item_id", "score", "matched", "first_word", "last_word", "item_words"])
 
         found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "leaks")

@@ -207,3 +207,14 @@ def test_copy_with_long_insertions(spark):
     pieces = [w for i in range(0, 60, 10) for w in [*item[i : i + 10], *text(9)]]
     docs += [(100, " ".join([*text(200), *pieces, *text(200)])), (101, " ".join([*item[:28], *text(300), *item[32:]]))]
     assert leaked(spark, docs, [(1, " ".join(item))]) == Counter({(i, 1): 1 for i in (0, 36, 42, 100)})
+
+
+def test_texts_under_one_item_id(spark):
+    r = random.Random(7)
+    text = lambda n: " ".join("".join(r.choice("klmnopqrst") for _ in range(7)) for _ in range(n))
+    a, b, c, d = (text(30) for _ in range(4))
+    docs = [(i, f"{text(20)} {t}") for i, t in enumerate([a, b, c, d])] + [(9, text(50))]
+    items = [(1, a), (1, b), (1, a), (None, c), (None, d)]
+    assert leaked(spark, docs, items) == Counter({(0, 1): 1, (1, 1): 1, (2, None): 1, (3, None): 1})
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [x["doc_id"] for x in decontaminate.clean(*frames).collect()] == [9]
