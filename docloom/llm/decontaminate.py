@@ -26,8 +26,8 @@ SEED_WORDS = 3
 #: A short item's chance by its words' frequencies, at most.
 RARE = 1e-7
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A copy: points over those of a full match of the item, or of its part; words matched at least.
-SCORE, LEAST_WORDS = 0.5, 10
+#: A copy: points over those of a full match of the item, or those of so many words in a row; words matched at least.
+SCORE, PART_WORDS, LEAST_WORDS = 0.5, 50, 10
 #: Items of a block, which is broadcast (words of items beyond ITEM_WORDS count towards more blocks).
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 _WORD = re.compile(r"\w+")
@@ -105,11 +105,11 @@ class Items:
                 hits[item].add(at - of)
         found = []
         self.marks[ids] = True
-        hits = {i: starts for i, starts in hits.items() if bound(self.marks[self.items[i]]) >= SCORE * MATCH * len(self.items[i])}
+        hits = {i: starts for i, starts in hits.items() if bound(self.marks[self.items[i]]) >= needed(len(self.items[i]))}
         self.marks[ids] = False
         for item, starts in hits.items():
             ids_i, best = self.items[item], None
-            m, need = len(ids_i), SCORE * MATCH * len(ids_i)
+            m, need = len(ids_i), needed(len(ids_i))
             # a copy has so many inserted words at most, and takes so many words of the document
             extra = int((MATCH * m - need) / -GAP)
             reach = m + extra
@@ -139,8 +139,13 @@ class Items:
         return found
 
 
+def needed(item_words: int) -> float:
+    """The points of a copy of an item, at least."""
+    return MATCH * min(SCORE * item_words, PART_WORDS)
+
+
 def copied(share: float, matched: int, item_words: int) -> bool:
-    return matched >= min(LEAST_WORDS, item_words) and share >= SCORE
+    return matched >= min(LEAST_WORDS, item_words) and round(share * MATCH * item_words) >= needed(item_words)
 
 
 def _by_chance(docs: DataFrame, items: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
@@ -188,7 +193,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, item_id, score (share of the item's full alignment score), matched (words), first_word, last_word, item_words of each
-    document that holds a copy of a benchmark item; with ``every`` all candidates that were aligned.
+    document that holds a copy of a benchmark item or of PART_WORDS words of it; with ``every`` all candidates that were aligned.
 
     Whole texts are searched. Null and empty texts and items match nothing, nor do items of fewer than SEED_WORDS words and
     items below LEAST_WORDS words that chance makes. Repeated rows repeat; items with equal ids are searched each, and those without an id too. Empty tables give an empty result; extra columns are ignored.

@@ -218,3 +218,12 @@ def test_texts_under_one_item_id(spark):
     assert leaked(spark, docs, items) == Counter({(0, 1): 1, (1, 1): 1, (2, None): 1, (3, None): 1})
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert [x["doc_id"] for x in decontaminate.clean(*frames).collect()] == [9]
+
+
+def test_excerpt_of_a_long_item(spark):
+    r = random.Random(8)
+    text = lambda n: ["".join(r.choice("klmnopqrst") for _ in range(7)) for _ in range(n)]
+    item = text(500)
+    parts = [item[100:340], item[440:], item[:50], item[:49], item[200:240]]
+    docs = [(i, " ".join([*text(80), *p, *text(80)])) for i, p in enumerate(parts)]
+    assert leaked(spark, docs, [(1, " ".join(item))]) == Counter({(0, 1): 1, (1, 1): 1, (2, 1): 1})
