@@ -1,6 +1,6 @@
 """N-gram Jaccard join: MinHash banding for a target recall, shuffled on band hashes, verified on full n-gram sets.
 
-Documents with equal n-gram sets form one class, which its least id represents. Classes that share a band bucket are candidates;
+Documents with equal n-gram sets form one class, which has a number of its own and is named by its least id. Classes that share a band bucket are candidates;
 a bucket whose members are those of an earlier bucket adds nothing and goes; large buckets are split into block pairs, so no
 task holds an unbounded group. A pair is decided once, in the first bucket that both members share, from their full sets. What
 leaves a task is the number of links of each member and a spanning forest of the links, never the pairs themselves.
@@ -60,6 +60,11 @@ def ngram_set(text: str, known: _Hashes, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over the n-gram set."""
+    return int(s.sum().view(np.int64)), int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, size (of the n-gram set), h1 and h2 (the set's fingerprint) and the band hashes of each document row."""
     seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -74,7 +79,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     s = ngram_set(t or "", known, n)
                     size[i] = len(s)
                     if len(s):
-                        h1[i], h2[i] = s.sum().view(np.int64), _mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)
+                        h1[i], h2[i] = fingerprint(s)
                         least = np.full(bands * rows, np.uint64(2**64 - 1))
                         for at in range(0, len(s), 256):
                             part = (s[at : at + 256, None] ^ seeds) * np.uint64(0xD6E8FEB86659FD93)
@@ -99,7 +104,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """doc_id and n-gram set of the documents whose bit is set (all members; others by chance)."""
+    """doc_id, n-gram set and its fingerprint of the documents whose bit is set (all members; others by chance)."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +114,12 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
             picked = np.flatnonzero(table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
             for at in range(0, len(picked), 500):
                 b = whole.take(pa.array(picked[at : at + 500]))
-                sets = [ngram_set(t or "", known, n).view(np.int64) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+                sets = [ngram_set(t or "", known, n) for t in b.column("text").to_pylist()]
+                prints = [pa.array([x[i] for x in map(fingerprint, sets)], pa.int64()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *prints, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "grams"])
 
     bit = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - BITS)
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit.alias("bit")).mapInArrow(run, "doc_id long, grams array<long>")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit.alias("bit")).mapInArrow(run, "doc_id long, h1 long, h2 long, grams array<long>")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -144,7 +150,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _links(same: bool, band: int, a: list[tuple], b: list[tuple], threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Links of each member and a spanning forest, from the pairs of two blocks that meet first in this bucket.
 
-    A member is (rep, kept bucket by band, n-gram set).
+    A member is (class, kept bucket by band, n-gram set).
     """
     ka, kb = np.array([x[1] for x in a]), np.array([x[1] for x in b])
     todo = np.ones((len(a), len(b)), bool)
@@ -189,7 +195,7 @@ def _links(same: bool, band: int, a: list[tuple], b: list[tuple], threshold: flo
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """rep, links, near: link counts of members (near null) and forest edges (links 0), from rows sorted by block pair."""
+    """cls, links, near: link counts of members (near null) and forest edges (links 0), from rows sorted by block pair."""
 
     def decide(key, members):
         _, band, p, q = key
@@ -208,24 +214,24 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         def batch():
             cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(3)]
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["rep", "links", "near"])
+            return pa.RecordBatch.from_arrays(cols, names=["cls", "links", "near"])
 
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in ("bucket", "band", "p", "q"))))
             kept, grams = b.column("kept"), b.column("grams")
-            for i, (key, block, rep) in enumerate(zip(keys, b.column("block").to_pylist(), b.column("rep").to_pylist())):
+            for i, (key, block, cls) in enumerate(zip(keys, b.column("block").to_pylist(), b.column("cls").to_pylist())):
                 if key != held:
                     if members:
                         done()
                     held, members = key, []
-                members.append((block, rep, kept[i].values.to_numpy(), grams[i].values.to_numpy().view(np.uint64)))
+                members.append((block, cls, kept[i].values.to_numpy(), grams[i].values.to_numpy().view(np.uint64)))
             if out:
                 yield batch()
         if members:
             done()
         yield batch()
 
-    return rows.mapInArrow(run, "rep long, links long, near long")
+    return rows.mapInArrow(run, "cls long, links long, near long")
 
 
 def components(edges: DataFrame, name: str = "near") -> DataFrame:
@@ -257,31 +263,39 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     threshold are found with probability ``recall``, closer ones more surely.
 
     Texts that are null or have no words have no n-grams: each is its own class without links. A text of fewer than ``n`` words
-    has one n-gram, all of its words. Repeated rows count as copies. Rows without a doc_id are left out. An empty table
+    has one n-gram, all of its words. Repeated rows count as copies; different
+    texts under one doc_id are classes of their own. Rows without a doc_id are left out. An empty table
     gives an empty result.
     """
     bands = bands_for(threshold, recall, rows)
     every = written(signatures(bounded(docs).filter("doc_id is not null"), n, bands, rows), "join-rows")
-    classes = written(every.filter("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "join-classes")
-    met = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
+    classes = written(every.filter("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")).withColumn("cls", F.monotonically_increasing_id()), "join-classes")
+    met = classes.select("cls", F.posexplode("bands").alias("band", "hash"))
     # buckets of two members or more, one for each membership: equal count and equal sum of member hashes
-    buckets = met.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 20).cast("decimal(20,0)")).alias("who"), F.min("rep").alias("first")).filter("n > 1")
+    buckets = met.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 20).cast("decimal(20,0)")).alias("who"), F.min("cls").alias("first")).filter("n > 1")
     kept = buckets.groupBy("n", "who", "first").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n")
     member = met.join(kept, ["band", "hash"])
     # for each member the hashes of its kept buckets by band, 0 for none, and the list of them
-    members = written(member.groupBy("rep").agg(F.collect_list(F.struct("band", "hash", "n")).alias("in")), "join-members")
+    members = member.groupBy("cls").agg(F.collect_list(F.struct("band", "hash", "n")).alias("in"))
+    members = written(members.join(classes.select("cls", "rep", "h1", "h2"), "cls"), "join-members")
     where = F.map_from_arrays(F.transform("in", lambda x: x["band"]), F.transform("in", lambda x: x["hash"]))
     members = members.withColumn("kept", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.coalesce(F.element_at(where, j), F.lit(0).cast("long"))))
-    sets = _sets(docs, members, n).dropDuplicates(["doc_id"])
+    # one doc_id may name several texts
+    sets = _sets(docs, members, n).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "h1", "h2"])
     blocks = F.ceil(F.col("x.n") / BLOCK).cast("int")
-    placed = members.join(sets, members["rep"] == sets["doc_id"]).select("rep", "kept", "grams", F.explode("in").alias("x")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int"))
+    placed = members.join(sets, ["rep", "h1", "h2"]).select("cls", "kept", "grams", F.explode("in").alias("x")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("rep", "kept", "grams", "block", F.col("x.hash").alias("bucket"), F.col("x.band").alias("band"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    dealt = placed.repartition("bucket", "band", "p", "q").sortWithinPartitions("bucket", "band", "p", "q", "rep")
+    placed = placed.select("cls", "kept", "grams", "block", F.col("x.hash").alias("bucket"), F.col("x.band").alias("band"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    dealt = placed.repartition("bucket", "band", "p", "q").sortWithinPartitions("bucket", "band", "p", "q", "cls")
     found = written(_verify(dealt, threshold), "join-links")
-    links = found.filter("near is null").groupBy("rep").agg(F.sum("links").alias("n_links"))
-    roots = components(found.filter("near is not null").select(F.col("rep").alias("u"), F.col("near").alias("v")))
-    named = classes.select("h1", "h2", "rep", "n_copies").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    links = found.filter("near is null").groupBy("cls").agg(F.sum("links").alias("n_links"))
+    roots = components(found.filter("near is not null").select(F.col("cls").alias("u"), F.col("near").alias("v")))
+    # a component goes by the least doc_id of its classes, its root among them
+    roots = roots.withColumnRenamed("node", "cls").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct())
+    roots = written(roots.join(classes.select("cls", "rep"), "cls"), "join-roots")
+    least = written(roots.groupBy("root").agg(F.min("rep").alias("least")), "join-least")
+    roots = roots.join(least, "root").select("cls", F.col("least").alias("root"))
+    named = classes.select("cls", "h1", "h2", "rep", "n_copies").join(links, "cls", "left").join(roots, "cls", "left")
     named = named.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep", "n_copies", "n_links", "root")
     out = every.select("doc_id", "size", "h1", "h2").join(named, (F.col("size") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("text_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -227,3 +227,17 @@ def test_excerpt_of_a_long_item(spark):
     parts = [item[100:340], item[440:], item[:50], item[:49], item[200:240]]
     docs = [(i, " ".join([*text(80), *p, *text(80)])) for i, p in enumerate(parts)]
     assert leaked(spark, docs, [(1, " ".join(item))]) == Counter({(0, 1): 1, (1, 1): 1, (2, 1): 1})
+
+
+def test_join_of_two_texts_under_one_id(spark):
+    r = random.Random(10)
+    words = lambda: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+    a, b = words(), words()
+    near = lambda ws: " ".join([*ws[:-2], "other", "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, near(b) + " more"), (5, " ".join(words()))]
+    got = Counter(tuple(x) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "text_id", "n_links").collect())
+    assert got == Counter([(1, 1, 1, 1), (1, 1, 1, 2), (2, 1, 2, 1), (3, 1, 3, 2), (4, 1, 4, 2), (5, 5, 5, 0)])
+    # both texts in the same bucket of a band
+    rows = [(1, " ".join(a)), (1, near(a)), (0, near(a) + " more")]
+    got = Counter(tuple(x) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect())
+    assert got == Counter([(1, 0, 2), (1, 0, 2), (0, 0, 2)])
