@@ -124,6 +124,7 @@ def store(rows: DataFrame, key: str, payload: str, at: str, width: int = WIDTH,
     Null payloads are stored as empty ones; equal payloads share a member; an empty table writes no shard.
     """
     spark = rows.sparkSession
+    rows = rows.withColumn(payload, F.coalesce(F.col(payload), F.lit(bytearray())))
     index = written(rows.select(F.col(key).alias("key"), F.octet_length(payload).cast("long").alias("n_bytes"), F.unhex(F.sha2(payload, 256)).alias("digest")), "media-rows")
     bits = spark.sparkContext.broadcast(_repeated_bits(index))
     names = ["digest", "shard", "offset", "length", "media"]

@@ -136,3 +136,10 @@ def test_token_counts(spark):
     pieces = {(*(letters[x] for x in p.removesuffix("</w>")), *((256,) if p.endswith("</w>") else ())) for p in json.load(open(VOCABULARY))["model"]["vocab"]}
     for w in ("unbelievably", "thhehesh", "éèaux", "a"):
         assert c.word(w) == greedy(pieces, w)
+
+
+def test_null_payloads_are_stored(spark):
+    rows = spark.createDataFrame([(1, None), (2, b""), (3, b"x"), (4, None)], "k long, p binary")
+    got = {r["key"]: r for r in media_tar.store(rows, "k", "p", common.fresh(spark, "media")).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and [got[k]["n_bytes"] for k in (1, 2, 3, 4)] == [0, 0, 1, 0]
+    assert got[1]["digest"] == got[2]["digest"] == got[4]["digest"] and got[1]["offset"] == got[2]["offset"]
