@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded, worker_cache
 
-#: Rows of each language that the model is fitted on at most, and languages that it knows at most (the most frequent).
-FIT_ROWS, MOST_LANGUAGES = 600, 200
+#: Rows of each language that the model is fitted on at most, and languages whose rows are picked by one plan.
+FIT_ROWS, PLAN_LANGUAGES = 600, 200
 ORDER, SMOOTH = 4, 0.5
 SWITCH = 24.0
 UNKNOWN = "und"
@@ -89,7 +89,7 @@ class Model:
         s = np.add.reduceat(self.table[at], starts, axis=0)
         s -= s.max(1, keepdims=True)
         for i, w in enumerate(ws):
-            if not w.isascii() and (m := self.of_script.get(script(w))) is not None and m.any() and not m.all():
+            if (m := self.of_script.get("Latin" if w.isascii() else script(w))) is not None and m.any() and not m.all():
                 s[i] = np.where(m, s[i] - s[i][m].max(), FLOOR)
         return np.maximum(s, FLOOR)
 
@@ -180,17 +180,18 @@ class Model:
 
 
 def labelled(docs: DataFrame, residue: int = 2, folds: int = 4) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang) rows outside the held-out fold, FIT_ROWS of each of the MOST_LANGUAGES most frequent."""
+    """A bounded sample of (text, lang) rows outside the held-out fold, FIT_ROWS of each language."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != residue).select("doc_id", "lang")
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    langs = [r[0] for r in known.select("lang").distinct().orderBy("lang").collect()]
     order = F.xxhash64("doc_id"), F.col("doc_id")
     parts = [known.filter(F.col("lang") == x).orderBy(*order).limit(FIT_ROWS) for x in langs]
-    if not parts:
-        return []
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.unionByName(p)
-    return [(r[0], r[1]) for r in docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("text", "lang").collect()]
+    rows = []
+    for i in range(0, len(parts), PLAN_LANGUAGES):
+        ids = parts[i]
+        for p in parts[i + 1 : i + PLAN_LANGUAGES]:
+            ids = ids.unionByName(p)
+        rows += [(r[0], r[1]) for r in docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("text", "lang").collect()]
+    return rows
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:

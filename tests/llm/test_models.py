@@ -85,3 +85,13 @@ def test_viterbi_equals_brute_force():
 def test_no_training_text(spark):
     df = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     assert langid.identify(df, langid.Model([])).first()["lang_pred"] == "und"
+
+
+def test_latin_words_and_every_language(spark, monkeypatch):
+    m = langid.Model([("слово дело это время", "ru"), ("these are some plain words", "en")])
+    assert m.words(["words", "qqq"])[:, m.langs.index("ru")].tolist() == [langid.FLOOR] * 2
+    # more languages than one plan picks, or than the model used to know
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2, raising=False)
+    monkeypatch.setattr(langid, "PLAN_LANGUAGES", 2, raising=False)
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 5}") for i in range(80)], "doc_id long, text string, lang string")
+    assert {lang for _, lang in langid.labelled(docs)} == {f"l{i}" for i in range(5)}
