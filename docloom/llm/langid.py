@@ -8,18 +8,19 @@ sequence of languages under a penalty for each switch; runs of one language are
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, worker_cache
+from docloom.llm.common import bounded, worker_cache, written
 
-#: Rows of each language that the model is fitted on at most, and languages whose rows are picked by one plan.
-FIT_ROWS, PLAN_LANGUAGES = 600, 200
+#: Documents of each language that the model is fitted on at most.
+FIT_ROWS = 600
 ORDER, SMOOTH = 4, 0.5
 SWITCH = 24.0
 UNKNOWN = "und"
@@ -28,7 +29,9 @@ FLOOR = -30.0
 CACHED_WORDS = 1 << 19
 #: Words of one Viterbi block at most (documents times the longest one's words).
 CELLS = 1 << 20
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters without digits, the underscore, and the other numbers ('½', '²', 'Ⅷ').
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 #: First code points of Unicode script ranges and their scripts.
 _SCRIPTS = [(0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Indic"), (0xE00, "Thai"), (0xE80, "Lao"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1780, "Khmer"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2C60, "Latin"), (0x3040, "Kana"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other")]
 _STARTS = [s for s, _ in _SCRIPTS]
@@ -180,18 +183,20 @@ class Model:
 
 
 def labelled(docs: DataFrame, residue: int = 2, folds: int = 4) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang) rows outside the held-out fold, FIT_ROWS of each language."""
-    known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != residue).select("doc_id", "lang")
-    langs = [r[0] for r in known.select("lang").distinct().orderBy("lang").collect()]
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    parts = [known.filter(F.col("lang") == x).orderBy(*order).limit(FIT_ROWS) for x in langs]
-    rows = []
-    for i in range(0, len(parts), PLAN_LANGUAGES):
-        ids = parts[i]
-        for p in parts[i + 1 : i + PLAN_LANGUAGES]:
-            ids = ids.unionByName(p)
-        rows += [(r[0], r[1]) for r in docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("text", "lang").collect()]
-    return rows
+    """A bounded sample of (text, lang) rows outside the held-out fold: of each language the FIT_ROWS documents of least hash.
+
+    One scan counts the languages' documents, another takes the documents whose hash lies below twice the share that is wanted, so the
+    ranking sees so many of a language at most, however large it is. Of several texts under one doc_id one is taken.
+    """
+    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != residue)
+    # a row for each language; written, so that its size decides whether it is broadcast
+    sizes = written(known.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("doc_id").alias("n")), "languages")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    some = known.join(sizes, F.col("lang") == F.col("of")).filter(place < (2 * FIT_ROWS + 50) / F.col("n"))
+    each = some.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FIT_ROWS)
+    return [(r[0], r[1]) for r in chosen.select("t.text", "lang").collect()]
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:

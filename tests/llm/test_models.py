@@ -95,3 +95,17 @@ def test_latin_words_and_every_language(spark, monkeypatch):
     monkeypatch.setattr(langid, "PLAN_LANGUAGES", 2, raising=False)
     docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 5}") for i in range(80)], "doc_id long, text string, lang string")
     assert {lang for _, lang in langid.labelled(docs)} == {f"l{i}" for i in range(5)}
+
+
+def test_numbers_are_no_letters(spark):
+    m = model()
+    df = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 ٣"), (2, "½ abcd ²"), (3, "一二")], "doc_id long, text string")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.identify(df, m).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "aa" and got[3][0] != "und"
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_ROWS", 20)
+    rows = [(7, f"text {i}", "aa") for i in range(400)] + [(i, "t", "bb") for i in range(1000, 1400)] + [(3, None, "aa"), (4, "x", None), (None, "x", "aa")]
+    got = langid.labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(lang == "bb" for _, lang in got) == 20 and sum(lang == "aa" for _, lang in got) == 1
