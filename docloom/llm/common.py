@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent (single-machine tests) is a temporary folder chosen, once for each session.
+    Only where the setting is absent and the session is of one machine (tests) is a temporary folder chosen, once for each
+    session; on a cluster that would split a table over machines, so it is an error there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -42,9 +47,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and reread: lineage ends there and lost executors cost nothing before it."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` in this block go at its end; for blocks whose result has been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table that ``written`` made of ``df``, which nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        discard(df.sparkSession, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

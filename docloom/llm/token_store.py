@@ -2,7 +2,8 @@
 
 Format (a folder): ``packs/*.ids`` hold unique chunks of little-endian ids back to back; ``recipes`` (Parquet) has, in ascending
 document order, each document's place in the whole stream, its Merkle root and the digests of its chunks; ``chunks`` (Parquet)
-names the pack, offset and length of each digest; ``manifest`` (Parquet) has the Merkle root over each recipe part's documents.
+names the pack, offset and length of each digest; ``manifest`` (Parquet) has the documents, ids and Merkle root of each recipe
+part; ``store`` (Parquet, one row) has their sums and the Merkle root over the parts. Reading verifies all of these.
 A rolling hash over the last 16 ids cuts a document's stream where it meets a mask, so equal passages give equal chunks.
 """
 
@@ -25,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, discard, fresh, shuffle_partitions, worker_cache, written
+from docloom.llm.common import bounded, discard, forget, fresh, shuffle_partitions, worker_cache, written
 
 END_ID = 2
-RECIPES, CHUNKS = "part int, key long, start long, n_tokens long, root binary, chunks array<binary>", "digest binary, place long, length int"
+RECIPES, CHUNKS = "part int, row long, key long, start long, n_tokens long, root binary, chunks array<binary>", "digest binary, place long, length int"
+MANIFEST, STORE = "part int, n_docs long, n_tokens long, root binary, base long", "n_parts long, n_docs long, n_tokens long, root binary"
+#: Documents whose roots make one node of a part's tree.
+LEAVES = 1 << 16
 #: Ids of a chunk: least, mask of the rolling hash (one cut in MASK + 1 ids), most.
 LEAST, MASK, MOST = 128, 0xFF, 2048
 WINDOW = 16
@@ -361,26 +365,67 @@ def write_store(docs: DataFrame, at: str, tokenizer_path: str, end_id: int = END
     chunks.write.parquet(f"{at}/chunks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, roots, kept = TaskContext.get().partitionId(), 0, [], []
-        names = ["kind", "part", "key", "start", "n_tokens", "root", "chunks"]
+        part, before, docs_before, roots, kept = TaskContext.get().partitionId(), 0, 0, [], []
+        names = ["kind", "part", "row", "key", "start", "n_tokens", "root", "chunks"]
         for b in batches:
             n = b.column("n_tokens").to_numpy()
             start = before + np.cumsum(n) - n
-            before += int(n.sum())
+            row = np.arange(docs_before, docs_before + len(n))
+            before, docs_before = before + int(n.sum()), docs_before + len(n)
             roots += b.column("root").to_pylist()
-            if len(roots) >= 1 << 16:
-                kept, roots = [*kept, merkle(roots)], []
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(np.full(len(n), part, np.int32)), b.column("key"), pa.array(start, pa.int64()), b.column("n_tokens"), b.column("root"), b.column("chunks")], names=names)
-        if before:
-            root = merkle([*kept, merkle(roots)] if roots or not kept else kept)
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([before], pa.int64()), pa.array([before], pa.int64()), pa.array([root], pa.binary()), pa.array([[]], pa.list_(pa.binary()))], names=names)
-
-    ordered = staged.select("key", "n_tokens", "root", "chunks").repartitionByRange(shuffle_partitions(spark), "key", "root").sortWithinPartitions("key", "root")
+            while len(roots) >= LEAVES:
+                kept, roots = [*kept, merkle(roots[:LEAVES])], roots[LEAVES:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(np.full(len(n), part, np.int32)), pa.array(row), b.column("key"), pa.array(start, pa.int64()), b.column("n_tokens"), b.column("root"), b.column("chunks")], names=names)
+        if docs_before:
+            root = merkle([*kept, merkle(roots)] if roots else kept)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([docs_before], pa.int64()), pa.array([None], pa.int64()), pa.array([before], pa.int64()), pa.array([before], pa.int64()), pa.array([root], pa.binary()), pa.array([[]], pa.list_(pa.binary()))], names=names)
+
+    # equal rows may stand in any order, so their place in the staged table tells them apart and no range holds all copies
+    order = ["key", "root", "place"]
+    ordered = staged.select("key", "n_tokens", "root", "chunks", F.monotonically_increasing_id().alias("place")).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("place")
     ordered.mapInArrow(number, f"kind int, {RECIPES}").write.partitionBy("kind").parquet(f"{at}/recipes")
     # a row for each recipe part: their number is the number of partitions
-    parts = spark.read.schema(f"{RECIPES}, kind int").parquet(f"{at}/recipes").filter("kind = 1").select("part", "n_tokens", "root")
+    parts = spark.read.schema(f"{RECIPES}, kind int").parquet(f"{at}/recipes").filter("kind = 1").select("part", F.col("row").alias("n_docs"), "n_tokens", "root")
     parts.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).write.parquet(f"{at}/manifest")
+    spark.createDataFrame([_sums(spark, at)], STORE).coalesce(1).write.parquet(f"{at}/store")
     discard(spark, staging)
+    forget(staged)
+
+
+def _sums(spark: SparkSession, at: str) -> tuple[int, int, int, bytes]:
+    """What the store's row says of its manifest: parts, documents, ids, and the root over the parts."""
+    rows = sorted(spark.read.schema(MANIFEST).parquet(f"{at}/manifest").toArrow().to_pylist(), key=lambda r: r["part"])
+    leaves = [b"%d %d %d " % (r["part"], r["n_docs"], r["n_tokens"]) + r["root"] for r in rows]
+    base = 0
+    for r in rows:
+        if r["base"] != base:
+            raise ValueError(f"part {r['part']} of the manifest begins at another place")
+        base += r["n_tokens"]
+    return len(rows), sum(r["n_docs"] for r in rows), base, merkle(leaves)
+
+
+def _verified_parts(spark: SparkSession, at: str, recipes: DataFrame) -> DataFrame:
+    """part and base of each part of the manifest or the recipes; the base of a part whose recipes do not give the manifest's root,
+    or their number, is an error."""
+
+    def roots(name: str, column: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [merkle([x["root"] for x in r]) for r in b.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], names=[*b.schema.names[:-1], name])
+
+        return run
+
+    # the leaves of one node at a time, then the nodes of a part
+    listed = recipes.groupBy("part", F.floor(F.col("row") / LEAVES).alias("row")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("row", "root"))).alias("leaves"))
+    nodes = listed.mapInArrow(roots("root", "leaves"), "part int, row long, n long, ids long, root binary")
+    listed = nodes.groupBy("part").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("row", "root"))).alias("nodes"))
+    found = listed.mapInArrow(roots("r_root", "nodes"), "r_part int, n long, ids long, r_root binary")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{at}/manifest")
+    both = manifest.join(found, F.col("part") == F.col("r_part"), "full_outer")
+    same = F.col("root").eqNullSafe(F.col("r_root")) & F.col("n_docs").eqNullSafe(F.col("n")) & F.col("n_tokens").eqNullSafe(F.col("ids"))
+    wrong = F.raise_error(F.concat(F.lit("the recipes of part "), F.coalesce("part", "r_part").cast("string"), F.lit(" do not give the manifest's root")))
+    return both.select(F.coalesce("part", "r_part").alias("part"), F.when(same, F.col("base")).otherwise(wrong.cast("long")).alias("base"))
 
 
 def _vocabulary(path: str) -> int:
@@ -392,13 +437,19 @@ def _vocabulary(path: str) -> int:
 def read_store(spark: SparkSession, at: str, wide: bool = False, ids: bool = False) -> DataFrame:
     """Documents of the store in their order's numbers: key, start, n_tokens, ids_crc32 (and ``ids``, little-endian 32-bit, if asked).
 
-    Chunks are hashed as they are read, and every document's Merkle root and length verified against the recipes; damage raises.
+    The manifest is verified against the store's row, each part's recipes against the manifest's root and counts, and the chunks,
+    which are hashed as they are read, against each document's root and length. Damage and loss raise: here, or as rows are read.
     ``wide``: the store has 4 bytes an id.
     """
+    said = spark.read.schema(STORE).parquet(f"{at}/store").toArrow().to_pylist()
+    if [tuple(r.values()) for r in said] != [_sums(spark, at)]:
+        raise ValueError("the manifest does not match the store's root")
     recipes = spark.read.schema(f"{RECIPES}, kind int").parquet(f"{at}/recipes").filter("kind = 0").drop("kind")
-    base = F.broadcast(spark.read.schema("part int, n_tokens long, root binary, base long").parquet(f"{at}/manifest").select("part", "base"))
-    pieces = recipes.select("part", "key", "start", "n_tokens", "root", F.posexplode("chunks").alias("n", "digest"))
-    found = pieces.join(spark.read.schema(CHUNKS).parquet(f"{at}/chunks"), "digest")
+    # a row for each recipe part: their number is the number of partitions that wrote them
+    base = F.broadcast(_verified_parts(spark, at, recipes.select("part", "row", "n_tokens", "root")))
+    pieces = recipes.select("part", "key", "start", "n_tokens", "root", F.posexplode_outer("chunks").alias("n", "digest"))
+    found = pieces.join(spark.read.schema(CHUNKS).parquet(f"{at}/chunks"), "digest", "left")
+    found = found.withColumn("place", F.coalesce("place", F.raise_error(F.concat(F.lit("no chunk "), F.coalesce(F.hex("digest"), F.lit("of a document")))).cast("long")))
     listed = found.groupBy("part", "start", "key", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("n", "place", "length"))).alias("c"))
     listed = listed.select("part", "start", "key", "n_tokens", "root", F.transform("c", lambda x: x["place"]).alias("places"), F.transform("c", lambda x: x["length"]).alias("lengths"))
     # documents of one stretch of a pack are read by one task, in the pack's order
@@ -433,9 +484,9 @@ def read_store(spark: SparkSession, at: str, wide: bool = False, ids: bool = Fal
                 datas.append(data if ids else None)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "start", "key", "n_tokens")), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64()), pa.array(datas, pa.binary())], names=["part", "start", "key", "n_tokens", "n_read", "ids_crc32", "ids"])
 
-    rows = listed.mapInArrow(read, "part int, start long, key long, n_tokens long, n_read long, ids_crc32 long, ids binary").join(base, "part")
+    rows = listed.mapInArrow(read, "part int, start long, key long, n_tokens long, n_read long, ids_crc32 long, ids binary").join(base, "part", "left")
     checked = F.when(F.col("n_read") == F.col("n_tokens"), F.col("n_read")).otherwise(F.raise_error(F.lit("a document has another length")).cast("long"))
-    return rows.select("key", (F.col("start") + F.col("base")).alias("start"), checked.alias("n_tokens"), "ids_crc32", *["ids"] * ids)
+    return rows.select("key", (F.col("start") + F.coalesce("base", F.raise_error(F.lit("a part without a manifest")).cast("long"))).alias("start"), checked.alias("n_tokens"), "ids_crc32", *["ids"] * ids)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id") -> DataFrame:

@@ -143,3 +143,86 @@ def test_null_payloads_are_stored(spark):
     got = {r["key"]: r for r in media_tar.store(rows, "k", "p", common.fresh(spark, "media")).collect()}
     assert sorted(got) == [1, 2, 3, 4] and [got[k]["n_bytes"] for k in (1, 2, 3, 4)] == [0, 0, 1, 0]
     assert got[1]["digest"] == got[2]["digest"] == got[4]["digest"] and got[1]["offset"] == got[2]["offset"]
+
+
+def _damaged(spark, damage, schema=SCHEMA):
+    """Write a store of some documents in several parts, damage it, and read it."""
+    at = common.fresh(spark, "tokens")
+    token_store.write_store(spark.createDataFrame([(i, f"word{i} " * (300 + i), "x", 0) for i in range(12)], schema), at, VOCABULARY)
+    assert len(token_store.read_store(spark, at).collect()) == 12
+    damage(at)
+    with pytest.raises(Exception, match="chunk|root|part|manifest|length|place"):
+        token_store.read_store(spark, at).collect()
+
+
+def _rewrite(spark, path, schema, change):
+    rows = change([r.asDict() for r in spark.read.schema(schema).parquet(path).collect()])
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@pytest.mark.parametrize("lost", [0, 5, 11])
+def test_lost_chunk_is_found(spark, lost):
+    _damaged(spark, lambda at: _rewrite(spark, f"{at}/chunks", token_store.CHUNKS, lambda rows: rows[:lost] + rows[lost + 1 :]))
+
+
+def _roots_swapped(rows):
+    rows[0]["root"], rows[-1]["root"] = rows[-1]["root"], rows[0]["root"]
+    return rows
+
+
+@pytest.mark.parametrize("change", [lambda r: r[1:], lambda r: [*r[:-1], r[-1] | {"root": b"\0" * 16}], lambda r: [*r[:-1], r[-1] | {"n_docs": 1}], _roots_swapped])
+def test_damage_to_the_manifest_is_found(spark, change):
+    _damaged(spark, lambda at: _rewrite(spark, f"{at}/manifest", token_store.MANIFEST, change))
+
+
+def _swap_recipes(rows):
+    rows[0]["key"], rows[0]["root"], rows[0]["chunks"] = rows[0]["key"], rows[1]["root"], rows[1]["chunks"]
+    return rows
+
+
+@pytest.mark.parametrize("change", [lambda r: r[1:], lambda r: [r[0] | {"chunks": []}, *r[1:]], lambda r: [*r, r[0]], _swap_recipes])
+def test_damage_to_the_recipes_is_found(spark, change):
+    _damaged(spark, lambda at: _rewrite(spark, f"{at}/recipes/kind=0", token_store.RECIPES, change))
+
+
+def test_damage_to_the_store_row_is_found(spark):
+    _damaged(spark, lambda at: _rewrite(spark, f"{at}/store", token_store.STORE, lambda r: [r[0] | {"n_docs": 11}]))
+
+
+def test_lost_pack_is_found(spark):
+    import glob
+    import os
+
+    def lose(at):
+        os.remove(glob.glob(f"{at.removeprefix('file://')}/packs/*.ids")[0])
+
+    at = common.fresh(spark, "tokens")
+    token_store.write_store(spark.createDataFrame(ROWS, SCHEMA), at, VOCABULARY)
+    lose(at)
+    with pytest.raises(Exception):  # noqa: B017
+        token_store.read_store(spark, at).collect()
+
+
+def test_equal_rows_spread_and_count(spark):
+    rows = [(1, "same text " * 20, "x", 0)] * 60 + [(2, "b", "x", 0), (None, "n", "x", 0)]
+    got = sorted(token_store.token_output(spark.createDataFrame(rows, SCHEMA), VOCABULARY).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] + [1] * 60 + [2]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
+def test_trees_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "LEAVES", 4)
+    got = token_store.token_output(spark.createDataFrame([(i, f"t{i}", "x", 0) for i in range(90)], SCHEMA), VOCABULARY)
+    assert got.count() == 90
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
