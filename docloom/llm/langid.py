@@ -8,7 +8,6 @@ sequence of languages under a penalty for each switch; runs of one language are
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,14 +28,20 @@ FLOOR = -30.0
 CACHED_WORDS = 1 << 19
 #: Words of one Viterbi block at most (documents times the longest one's words).
 CELLS = 1 << 20
-#: Runs of letters: word characters without digits, the underscore, and the other numbers ('½', '²', 'Ⅷ').
-_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 #: First code points of Unicode script ranges and their scripts.
 _SCRIPTS = [(0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Indic"), (0xE00, "Thai"), (0xE80, "Lao"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1780, "Khmer"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2C60, "Latin"), (0x3040, "Kana"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other")]
 _STARTS = [s for s, _ in _SCRIPTS]
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters in lower case; other numbers that count as word characters ('½', '²', 'Ⅷ') part words."""
+    ws = _WORD.findall(text.lower())
+    if not ws or "".join(ws).isalpha():
+        return ws
+    return [part for w in ws for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def script(word: str) -> str:
     """The script of the word's first letter outside Latin, else Latin."""
     from bisect import bisect_right
@@ -59,7 +64,7 @@ class Model:
         counts = {lang: [Counter() for _ in range(ORDER + 1)] for lang in self.langs}
         scripts: dict[str, Counter] = {}
         for text, lang in rows:
-            for w, n in Counter(_WORD.findall(text.lower())).items():
+            for w, n in Counter(words_of(text)).items():
                 scripts.setdefault(script(w), Counter())[lang] += n
                 for g in grams(w):
                     counts[lang][len(g)][g] += n
@@ -98,7 +103,7 @@ class Model:
 
     def label(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Spans of each text: (language, first word, letters), in order."""
-        split = [_WORD.findall(t.lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         held = worker_cache(("language", self.key), dict)
         known = held.setdefault("known", {})
         if len(known) > CACHED_WORDS:

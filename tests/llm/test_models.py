@@ -106,6 +106,6 @@ def test_numbers_are_no_letters(spark):
 
 def test_language_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(langid, "FIT_ROWS", 20)
-    rows = [(7, f"text {i}", "aa") for i in range(400)] + [(i, "t", "bb") for i in range(1000, 1400)] + [(3, None, "aa"), (4, "x", None), (None, "x", "aa")]
+    rows = [(8, f"text {i}", "aa") for i in range(400)] + [(i, "t", "bb") for i in range(1000, 1400)] + [(3, None, "aa"), (4, "x", None), (None, "x", "aa")]
     got = langid.labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sum(lang == "bb" for _, lang in got) == 20 and sum(lang == "aa" for _, lang in got) == 1
