@@ -109,3 +109,33 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     rows = [(8, f"text {i}", "aa") for i in range(400)] + [(i, "t", "bb") for i in range(1000, 1400)] + [(3, None, "aa"), (4, "x", None), (None, "x", "aa")]
     got = langid.labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sum(lang == "bb" for _, lang in got) == 20 and sum(lang == "aa" for _, lang in got) == 1
+
+
+def test_codes_stand_for_letters_and_what_is_before_them():
+    import numpy as np
+
+    texts = ["Alpha alpine, alp alpha beta", "", "x" * 200 + " y", "1 2 !", "beta"]
+    raw, sizes, counts = toxicity.coded(texts, 2)
+    assert counts.tolist() == [3, 0, 1, 0, 1] and sizes.sum() == len(raw)
+    assert sizes.tolist() == [4 * len(w) for w in (" alpha alpine ", " alp alpha ", " beta ", " " + "x" * 200 + " y ", " beta ")]
+    codes = np.frombuffer(raw, np.uint32)
+    seen = {}
+    for w, end in zip((" alpha alpine ", " alp alpha ", " beta ", " " + "x" * 200 + " y ", " beta "), np.cumsum(sizes) // 4):
+        for i, c in enumerate(codes[end - len(w) : end]):
+            prefix = w[: i + 1].rsplit(" ", 1)[1][: toxicity.LETTERS]
+            if len(prefix) < toxicity.LETTERS - 1:
+                assert seen.setdefault(prefix, c) == c
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_toxicity_on_the_tables():
+    import duckdb
+    import numpy as np
+
+    rows = duckdb.connect().execute("select doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id)").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    scorer = toxicity.fit([(t, y) for i, t, y in rows if not held(i)])
+    test = [(t or "", y) for i, t, y in rows if held(i)]
+    said = np.concatenate([scorer.score([t for t, _ in test[i : i + 100]]) for i in range(0, len(test), 100)]) >= toxicity.REJECT
+    y = np.array([v == 1 for _, v in test])
+    assert (said & y).sum() / y.sum() > 0.7 and (said & y).sum() / said.sum() > 0.93
