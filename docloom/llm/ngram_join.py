@@ -1,8 +1,10 @@
 """N-gram Jaccard join: MinHash banding for a target recall, shuffled on band hashes, verified on full n-gram sets.
 
 Documents with equal n-gram sets form one class, which has a number of its own and is named by its least id. Classes that share a band bucket are candidates;
-a bucket whose members are those of an earlier bucket adds nothing and goes; large buckets are split into block pairs, so no
-task holds an unbounded group. A pair is decided once, in the first bucket that both members share, from their full sets. What
+a bucket whose members are those of an earlier bucket adds nothing and goes. A bucket that is small in members and in n-grams is
+one block. In a large one each set becomes its difference from a pivot's set, which is small for near copies and as good for exact
+overlaps; blocks of differences, bounded in members and in size, meet in pairs, so no task holds an unbounded group and no set is
+sent once for each pair of blocks. A pair is decided once, in the first bucket that both members share, from their full sets. What
 leaves a task is the number of links of each member and a spanning forest of the links, never the pairs themselves.
 """
 
@@ -16,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, worker_cache, written
+from docloom.llm.common import bounded, forget, worker_cache, written
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
-#: Members of one side of a block pair; 2**BITS bits of the bitmap of candidate documents (8 MB).
-BLOCK, BITS = 768, 26
+#: Members of a small bucket and n-grams of all its sets at most; the same of a large bucket's block, by hash, so nearly.
+BLOCK, BLOCK_GRAMS = 768, 2 << 20
+LARGE_BLOCK = 2048
+#: Members of a block compared with the other at once; 2**BITS bits of the bitmap of candidate documents (8 MB).
+TILE, BITS = 768, 26
 CACHED_WORDS = 300_000
 
 
@@ -66,7 +71,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, size (of the n-gram set), h1 and h2 (the set's fingerprint) and the band hashes of each document row."""
+    """doc_id, t (the text's hash), size (of the n-gram set), h1 and h2 (the set's fingerprint) and the band hashes of each document row."""
     seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +94,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                             band = _mix(band + least.reshape(bands, rows)[:, r])
                         out[i] = band
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(h1), pa.array(h2), lists], names=["doc_id", "size", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(h1), pa.array(h2), lists], names=["doc_id", "t", "size", "h1", "h2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, size long, h1 long, h2 long, bands array<long>")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -147,50 +152,80 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(same: bool, band: int, a: list[tuple], b: list[tuple], threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Links of each member and a spanning forest, from the pairs of two blocks that meet first in this bucket.
+def _differences(rows: DataFrame) -> DataFrame:
+    """``rows`` (grams, pivot and other columns) with grams the members' difference from the pivot, missing n-grams negated in their
+    bits, and base (size of the pivot's set) and missing (n-grams of the pivot that the member lacks)."""
+    kept = [c for c in rows.columns if c not in ("grams", "pivot", "base", "missing")]
+    types = {x.name: x.dataType.simpleString() for x in rows.schema}
 
-    A member is (class, kept bucket by band, n-gram set).
-    """
-    ka, kb = np.array([x[1] for x in a]), np.array([x[1] for x in b])
-    todo = np.ones((len(a), len(b)), bool)
-    for j in range(band):
-        todo &= (ka[:, None, j] != kb[None, :, j]) | (ka[:, None, j] == 0)
-    if same:
-        todo &= np.tri(len(a), len(b), -1, dtype=bool)
-    sa, sb = np.array([len(x[2]) for x in a], float), np.array([len(x[2]) for x in b], float)
-    todo &= np.minimum(sa[:, None], sb) >= threshold * np.maximum(sa[:, None], sb) - 1e-9
-    rows, cols = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
-    if not len(rows):
-        return {}, []
-    if len(rows) * len(cols) <= 4:
-        share = np.array([[len(np.intersect1d(a[i][2], b[j][2], assume_unique=True)) for j in cols] for i in rows], float)
-    else:
-        share = _overlaps([a[i][2] for i in rows], [b[j][2] for j in cols])
-    union = sa[rows][:, None] + sb[cols] - share
-    hit = todo[np.ix_(rows, cols)] & (share >= threshold * union - 1e-9)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
+                out, base, missing = [], [], []
+                for grams, pivot in zip(b.column("grams"), b.column("pivot")):
+                    own, of = grams.values.to_numpy(), pivot.values.to_numpy()
+                    lacks = np.setdiff1d(of, own, assume_unique=True)
+                    out.append(np.sort(np.concatenate([np.setdiff1d(own, of, assume_unique=True), ~lacks]).view(np.uint64)).view(np.int64))
+                    base.append(len(of)), missing.append(len(lacks))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.list_(pa.int64())), pa.array(base, pa.int64()), pa.array(missing, pa.int64())], names=[*kept, "grams", "base", "missing"])
+
+    return rows.select(*kept, "grams", "pivot").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "grams array<long>, base long, missing long"]))
+
+
+class _Member:
+    """A class in a block: kept bucket by band, size of its set, its difference from a pivot (or the set itself, base 0)."""
+
+    __slots__ = ("block", "cls", "kept", "size", "base", "missing", "grams")
+
+    def __init__(self, block, cls, kept, size, base, missing, grams):
+        self.block, self.cls, self.kept, self.size, self.base, self.missing, self.grams = block, cls, kept, size, base, missing, grams
+
+
+def _links(same: bool, band: int, a: list[_Member], b: list[_Member], threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Links of each member and a spanning forest, from the pairs of two blocks that meet first in this bucket."""
     counts: dict[int, int] = {}
-    for side, at, axis in ((a, rows, 1), (b, cols, 0)):
-        for i, k in zip(at, hit.sum(axis)):
-            if k:
-                counts[side[i][0]] = counts.get(side[i][0], 0) + int(k)
-    # union-find by rows: each row joins all its hits
     parent: dict[int, int] = {}
+    forest: list[tuple[int, int]] = []
 
     def top(x):
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    forest = []
-    for i in np.flatnonzero(hit.any(1)):
-        u = a[rows[i]][0]
-        for j in np.flatnonzero(hit[i]):
-            v = b[cols[j]][0]
-            x, y = top(u), top(v)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                forest.append((min(u, v), max(u, v)))
+    kb, sb = np.array([x.kept for x in b]), np.array([x.size for x in b], float)
+    for at in range(0, len(a), TILE):
+        part = a[at : at + TILE]
+        ka, sa = np.array([x.kept for x in part]), np.array([x.size for x in part], float)
+        todo = np.minimum(sa[:, None], sb) >= threshold * np.maximum(sa[:, None], sb) - 1e-9
+        for j in range(band):
+            todo &= (ka[:, None, j] != kb[None, :, j]) | (ka[:, None, j] == 0)
+        if same:
+            todo &= np.tri(len(part), len(b), at - 1, dtype=bool)
+        rows, cols = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
+        if not len(rows):
+            continue
+        x, y = [part[i] for i in rows], [b[j] for j in cols]
+        if len(x) * len(y) <= 4:
+            share = np.array([[len(np.intersect1d(u.grams, v.grams, assume_unique=True)) for v in y] for u in x], float)
+        else:
+            share = _overlaps([u.grams for u in x], [v.grams for v in y])
+        # what both lack of the pivot was counted as common, and is taken off twice
+        share = share + x[0].base - np.array([u.missing for u in x], float)[:, None] - np.array([v.missing for v in y], float)
+        union = sa[rows][:, None] + sb[cols] - share
+        hit = todo[np.ix_(rows, cols)] & (share >= threshold * union - 1e-9)
+        for side, axis in ((x, 1), (y, 0)):
+            for u, k in zip(side, hit.sum(axis).tolist()):
+                if k:
+                    counts[u.cls] = counts.get(u.cls, 0) + k
+        # union-find by rows: each row joins all its hits
+        for i in np.flatnonzero(hit.any(1)):
+            u = x[i].cls
+            for j in np.flatnonzero(hit[i]):
+                v = y[j].cls
+                p, q = top(u), top(v)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    forest.append((min(u, v), max(u, v)))
     return counts, forest
 
 
@@ -199,8 +234,8 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
     def decide(key, members):
         _, band, p, q = key
-        a = [m[1:] for m in members if m[0] == p]
-        b = a if p == q else [m[1:] for m in members if m[0] == q]
+        a = [m for m in members if m.block == p]
+        b = a if p == q else [m for m in members if m.block == q]
         return _links(p == q, band, a, b, threshold) if a and b else ({}, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +254,13 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in ("bucket", "band", "p", "q"))))
             kept, grams = b.column("kept"), b.column("grams")
-            for i, (key, block, cls) in enumerate(zip(keys, b.column("block").to_pylist(), b.column("cls").to_pylist())):
+            for i, (key, block, *numbers) in enumerate(zip(keys, *(b.column(c).to_pylist() for c in ("block", "cls", "size", "base", "missing")))):
                 if key != held:
                     if members:
                         done()
                     held, members = key, []
-                members.append((block, cls, kept[i].values.to_numpy(), grams[i].values.to_numpy().view(np.uint64)))
+                cls, size, base, missing = numbers
+                members.append(_Member(block, cls, kept[i].values.to_numpy(), size, base, missing, grams[i].values.to_numpy().view(np.uint64)))
             if out:
                 yield batch()
         if members:
@@ -251,7 +287,9 @@ def components(edges: DataFrame, name: str = "near") -> DataFrame:
         # small star: a node's lower neighbours and the node go to the least of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u <> v").distinct()
-        now = written(small, f"{name}-small")
+        older, now = now, written(small, f"{name}-small")
+        forget(older)
+        forget(large)
     return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
 
 
@@ -267,25 +305,44 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     texts under one doc_id are classes of their own. Rows without a doc_id are left out. An empty table
     gives an empty result.
     """
+    return _classes(docs, n, threshold, recall, rows).drop("t")
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``t``, the text's hash."""
     bands = bands_for(threshold, recall, rows)
     every = written(signatures(bounded(docs).filter("doc_id is not null"), n, bands, rows), "join-rows")
-    classes = written(every.filter("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")).withColumn("cls", F.monotonically_increasing_id()), "join-classes")
-    met = classes.select("cls", F.posexplode("bands").alias("band", "hash"))
+    classes = written(every.filter("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("cls", F.monotonically_increasing_id()), "join-classes")
+    met = classes.select("cls", "size", F.posexplode("bands").alias("band", "hash"))
     # buckets of two members or more, one for each membership: equal count and equal sum of member hashes
-    buckets = met.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 20).cast("decimal(20,0)")).alias("who"), F.min("cls").alias("first")).filter("n > 1")
-    kept = buckets.groupBy("n", "who", "first").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n")
-    member = met.join(kept, ["band", "hash"])
+    buckets = met.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 20).cast("decimal(20,0)")).alias("who"), F.min("cls").alias("first"), F.sum("size").alias("all_grams")).filter("n > 1")
+    kept = buckets.groupBy("n", "who", "first", "all_grams").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n", "first", "all_grams")
+    member = met.drop("size").join(kept, ["band", "hash"])
     # for each member the hashes of its kept buckets by band, 0 for none, and the list of them
-    members = member.groupBy("cls").agg(F.collect_list(F.struct("band", "hash", "n")).alias("in"))
-    members = written(members.join(classes.select("cls", "rep", "h1", "h2"), "cls"), "join-members")
+    members = member.groupBy("cls").agg(F.collect_list(F.struct("band", "hash", "n", "first", "all_grams")).alias("in"))
+    members = written(members.join(classes.select("cls", "rep", "h1", "h2", "size"), "cls"), "join-members")
     where = F.map_from_arrays(F.transform("in", lambda x: x["band"]), F.transform("in", lambda x: x["hash"]))
     members = members.withColumn("kept", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.coalesce(F.element_at(where, j), F.lit(0).cast("long"))))
-    # one doc_id may name several texts
-    sets = _sets(docs, members, n).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "h1", "h2"])
-    blocks = F.ceil(F.col("x.n") / BLOCK).cast("int")
-    placed = members.join(sets, ["rep", "h1", "h2"]).select("cls", "kept", "grams", F.explode("in").alias("x")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("cls", "kept", "grams", "block", F.col("x.hash").alias("bucket"), F.col("x.band").alias("band"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    is_small = lambda x: (x["n"] <= BLOCK) & (x["all_grams"] <= BLOCK_GRAMS)
+
+    def in_buckets(chosen) -> DataFrame:
+        """A row for each member and kept bucket that ``chosen`` takes, with the n-gram set."""
+        some = members.withColumn("in", F.filter("in", chosen)).filter(F.size("in") > 0)
+        # one doc_id may name several texts
+        sets = _sets(docs, some, n).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "h1", "h2"])
+        return some.join(sets, ["rep", "h1", "h2"]).select("cls", "size", "kept", "grams", F.explode("in").alias("x")).select("cls", "size", "kept", "grams", F.col("x.hash").alias("bucket"), "x.band", "x.n", "x.first")
+
+    none = F.lit(0).cast("long")
+    placed = in_buckets(is_small).select("cls", "size", "kept", "grams", "bucket", "band", none.alias("base"), none.alias("missing"), *(F.lit(0).alias(c) for c in ("block", "p", "q")))
+    if not members.filter(F.exists("in", lambda x: ~is_small(x))).isEmpty():
+        sets = written(in_buckets(lambda x: ~is_small(x)), "join-large")
+        # a pivot meets its bucket's members in a join that adaptive execution splits where a bucket is hot
+        pivots = sets.filter(F.col("cls") == F.col("first")).select("bucket", "band", F.col("grams").alias("pivot"))
+        large = written(_differences(sets.drop("first").join(pivots, ["bucket", "band"])), "join-differences")
+        sizes = large.groupBy("bucket", "band").agg(F.greatest(F.ceil(F.count("*") / LARGE_BLOCK), F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS)).cast("int").alias("blocks"))
+        large = large.join(sizes, ["bucket", "band"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.unionByName(large.select("cls", "size", "kept", "grams", "bucket", "band", "base", "missing", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")))
     dealt = placed.repartition("bucket", "band", "p", "q").sortWithinPartitions("bucket", "band", "p", "q", "cls")
     found = written(_verify(dealt, threshold), "join-links")
     links = found.filter("near is null").groupBy("cls").agg(F.sum("links").alias("n_links"))
@@ -297,15 +354,15 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     roots = roots.join(least, "root").select("cls", F.col("least").alias("root"))
     named = classes.select("cls", "h1", "h2", "rep", "n_copies").join(links, "cls", "left").join(roots, "cls", "left")
     named = named.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep", "n_copies", "n_links", "root")
-    out = every.select("doc_id", "size", "h1", "h2").join(named, (F.col("size") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("text_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    out = every.select("doc_id", "t", "size", "h1", "h2").join(named, (F.col("size") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+    return out.select("doc_id", "t", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("text_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without near duplicates: of each class the rows of its least doc_id stay, and rows without a doc_id or without words.
 
-    Repeated rows of the least doc_id all stay: they are one document.
+    Repeated rows of the least doc_id all stay: they are one document. Different texts under one doc_id go or stay each for itself.
     """
-    classes = near_duplicates(docs, n, threshold)
-    gone = written(classes.filter("doc_id <> class_id").select("doc_id").distinct(), "join-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    classes = _classes(docs, n, threshold)
+    gone = written(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct(), "join-gone")
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_t"]), "left_anti").select(*(docs[c] for c in docs.columns))

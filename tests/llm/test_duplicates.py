@@ -241,3 +241,28 @@ def test_join_of_two_texts_under_one_id(spark):
     rows = [(1, " ".join(a)), (1, near(a)), (0, near(a) + " more")]
     got = Counter(tuple(x) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect())
     assert got == Counter([(1, 0, 2), (1, 0, 2), (0, 0, 2)])
+
+
+@pytest.mark.parametrize("block,grams,large", [(4, 1 << 20, 5), (768, 400, 2048), (1, 300, 3)])
+def test_large_buckets_equal_brute_force(spark, monkeypatch, block, grams, large):
+    for name, v in (("BLOCK", block), ("BLOCK_GRAMS", grams), ("LARGE_BLOCK", large), ("TILE", 3)):
+        monkeypatch.setattr(ngram_join, name, v)
+    r = random.Random(12)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    rows = corpus(30, 4)
+    for i in range(100, 160):  # a hot group of near copies
+        w = base.copy()
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 30)}"
+        rows.append((i, " ".join(w[: r.randint(100, 120)])))
+    got = {x["doc_id"]: (x["class_id"], x["text_id"], x["n_links"], x["n_copies"]) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows)
+
+
+def test_one_of_each_with_several_texts_under_an_id(spark):
+    r = random.Random(13)
+    words = lambda: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+    a, b = words(), words()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (0, " ".join(b) + " end"), (5, " ".join(a) + " end"), (7, None), (None, " ".join(a))]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([rows[0], rows[2], rows[4], rows[5]])
