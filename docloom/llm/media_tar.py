@@ -26,6 +26,8 @@ from docloom.llm.common import bounded, fresh, text_bytes, written
 WIDTH = 576
 #: A tar shard is closed beyond this many bytes.
 SHARD_BYTES = 256 << 20
+#: Bytes of a shard that one task reads.
+READ_BYTES = 4 << 20
 #: The bitmap of repeated digests has 2**BITS bits (8 MB).
 BITS = 26
 #: Digests that one task remembers to send each payload once; a task with more forgets the oldest half and sends some twice.
@@ -240,6 +242,6 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     rows = written(store(bounded(docs).select(F.col(key).alias("key"), text_bytes(text).alias("payload")), "key", "payload", at, width), "media-index")
     # the index alone holds one row for each digest
     unique = rows.select("digest", "shard", "offset", "length").dropDuplicates(["digest"])
-    unique = unique.repartition("shard").sortWithinPartitions("shard", "offset")
+    unique = unique.repartition("shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
     feats = read_features(header_columns(unique, at), at)
     return rows.select("key", "n_bytes", "digest").join(feats, "digest").withColumnRenamed("key", key)
