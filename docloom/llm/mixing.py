@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import forget, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix holds, and times that a document may occur.
 SHARE, MOST = 1.5, 2
-#: Words of a block (on average) and levels of the splitting tree.
-BLOCK_WORDS, LEVELS = 65536, 4
+#: Words of a block on average, blocks of a source at most (beyond that blocks are larger), and levels of the splitting tree.
+BLOCK_WORDS, MOST_BLOCKS, LEVELS = 65536, 1 << 20, 4
 
 
 def unit(*key: Column) -> Column:
@@ -27,10 +27,16 @@ def unit(*key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def named(source) -> Column:
+    """A source's name as a string that no other source and not the null one has."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words (null text: 0) and the row's random key ``u``; repeated rows share a key and a fate."""
+    """doc_id, source, ``t`` (the text's hash), size in words (null text: 0) and the row's random key ``u``; repeated rows share a
+    key and a fate."""
     return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit(F.lit("d"), F.col("doc_id").cast("string")).alias("u")
+        "doc_id", "source", F.xxhash64("text").alias("t"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit(F.lit("d"), F.col("doc_id").cast("string")).alias("u")
     )
 
 
@@ -56,7 +62,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, wei
 
 
 def draws(sizes: DataFrame, targets: DataFrame, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each document and pass that takes it: doc_id, source, size, u, pass, block, place (the block's rank in its pass).
+    """The document rows with ``copies``, the block and its place (rank in a pass) in their source.
 
     Whole passes take every block. The last, partial pass takes blocks in random order while they fit the words that
     remain, then documents of the next block while they fit, then the one untaken document of that block that fills the
@@ -65,13 +71,13 @@ def draws(sizes: DataFrame, targets: DataFrame, most: int = MOST, block_words: i
     t = targets.select(
         F.col("source").alias("t_source"),
         "source_size",
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long").alias("n_blocks"),
+        F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / block_words))).cast("long").alias("n_blocks"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"),
         "target",
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     d = sizes.join(t, sizes["source"].eqNullSafe(t["t_source"])).drop("t_source").withColumn("block", F.least(F.floor(F.col("u") * F.col("n_blocks")), F.col("n_blocks") - 1))
     blocks = d.groupBy("source", "block", "rest").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy(unit(F.lit("b"), F.coalesce(F.col("source"), F.lit("\0")), F.col("block").cast("string")), "block")
+    order = Window.partitionBy("source").orderBy(unit(F.lit("b"), named(F.col("source")), F.col("block").cast("string")), "block")
     blocks = blocks.withColumns({"place": F.row_number().over(order), "upto": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     blocks = blocks.select("source", F.col("block").alias("b_block"), "place", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("room"), "words")
     d = d.join(blocks.withColumnRenamed("source", "b_source"), d["source"].eqNullSafe(F.col("b_source")) & (d["block"] == F.col("b_block"))).drop("b_source", "b_block")
@@ -137,7 +143,7 @@ def shard_quotas(quotas: DataFrame, levels: int = LEVELS, seed: str = "t") -> Da
     Each tree node halves its blocks: the left child's vector is one multivariate-hypergeometric draw, a chain of
     univariate draws over the sources, so every split is exact and quotas sum up at each level.
     """
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("\0")).alias("s"), F.col("quota").cast("long").alias("q")))).alias("v")).withColumn("node", F.lit("1"))
+    node = quotas.agg(F.array_sort(F.collect_list(F.struct(named(F.col("source")).alias("s"), F.col("quota").cast("long").alias("q")))).alias("v")).withColumn("node", F.lit("1"))
     for _ in range(levels):
         total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["q"])
         side = unit(F.lit(seed), F.col("node"), F.lit("half")) < 0.5
@@ -156,14 +162,14 @@ def shard_quotas(quotas: DataFrame, levels: int = LEVELS, seed: str = "t") -> Da
         node = node.select(F.explode(kids).alias("c")).select("c.node", "c.v")
     leaves = node.select((F.conv(F.substring("node", 2, 64), 2, 10).cast("long") if levels else F.lit(0).cast("long")).alias("shard"), F.explode("v").alias("x")).select("shard", "x.s", "x.q")
     upto = F.sum("q").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    return leaves.select("shard", F.when(F.col("s") != "\0", F.col("s")).alias("source"), (upto - F.col("q")).alias("lo"), upto.alias("hi")).filter("hi > lo")
+    return leaves.select("shard", F.when(F.col("s") != "", F.substring("s", 2, 1 << 30)).alias("source"), (upto - F.col("q")).alias("lo"), upto.alias("hi")).filter("hi > lo")
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id, text, source): (plan, placed).
 
-    ``plan`` has a row for each document row: doc_id, source, size, source_size, target, copies (0 to ``most``).
-    ``placed`` has a row for each copy: doc_id, source, pass, shard, key; sorted by key within a shard it is shuffled.
+    ``plan`` has a row for each document row: doc_id, source, t (the text's hash), size, source_size, target, copies (0 to ``most``).
+    ``placed`` has a row for each copy: doc_id, source, t, pass, shard, key; sorted by key within a shard it is shuffled.
 
     Null texts and texts without words have size 0, are never taken and change no total; a null source is a source of its
     own, last in order. Repeated rows are separate documents with the same key. An empty table gives empty results. Extra
@@ -172,11 +178,12 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple
     sizes = written(sized(docs), "mix-sizes")
     # written, so that its size is known where the joins on the source choose whether to broadcast it
     targets = written(source_targets(sizes, share, most, weights), "mix-targets")
-    plan = draws(sizes, targets, most, block_words)
-    copies = plan.filter("copies > 0").select("doc_id", "source", "block", "place", "n_blocks", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("pass"))
+    plan = written(draws(sizes, targets, most, block_words), "mix-plan")
+    forget(sizes)
+    copies = plan.filter("copies > 0").select("doc_id", "source", "t", "block", "place", "n_blocks", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("pass"))
     # draws of a source: its blocks in the order of the pass, one pass after the other
     n = (F.col("pass") - 1) * F.col("n_blocks") + F.col("place")
     quotas = plan.filter("copies > 0").groupBy("source").agg(F.max((F.col("copies") - 1) * F.col("n_blocks") + F.col("place")).alias("quota"))
     shards = shard_quotas(quotas, levels).withColumnRenamed("source", "q_source")
     placed = copies.withColumn("n", n).join(shards, copies["source"].eqNullSafe(F.col("q_source")) & (F.col("n") > F.col("lo")) & (F.col("n") <= F.col("hi")))
-    return plan, placed.select("doc_id", "source", "pass", "shard", F.xxhash64(F.lit("k"), "doc_id", "pass").alias("key"))
+    return plan, placed.select("doc_id", "source", "t", "pass", "shard", F.xxhash64(F.lit("k"), "doc_id", "pass").alias("key"))

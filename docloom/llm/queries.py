@@ -18,9 +18,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import mix
 
     plan, placed = mix(load(spark, sf_dir, "documents"))
-    shards = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
-    rows = plan.select("doc_id", "size", "source_size", F.col("target").cast("double"), (F.col("size") * F.col("copies")).alias("taken"))
-    return rows.join(shards.hint("shuffle_hash"), "doc_id", "left")
+    key = ("doc_id", "source", "t")
+    once = placed.select(*(F.col(c).alias(f"s_{c}") for c in key), "pass", "shard").distinct()
+    shards = once.groupBy(*(f"s_{c}" for c in key)).agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    same = [plan[c].eqNullSafe(shards[f"s_{c}"]) for c in key]
+    rows = plan.join(shards.hint("shuffle_hash"), same, "left")
+    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double"), (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,29 @@ def test_edges(spark):
     blank = spark.createDataFrame([(1, None, None), (2, "", "a"), (3, " ", "a")], "doc_id long, text string, source string")
     plan, placed = mixing.mix(blank)
     assert sorted((r["doc_id"], r["copies"] * r["size"]) for r in plan.collect()) == [(1, 0), (2, 0), (3, 0)] and placed.count() == 0
+
+
+def test_null_source_and_shared_ids(spark):
+    # the null source and odd names are sources of their own; rows under one id or none are told apart by their texts
+    rows_ = [(i, "w " * (20 + i % 7), s) for i, s in enumerate([None, "\0", "", "=", "a"] * 40)]
+    rows_ += [(5000, "one two three", "a"), (5000, "four " * 30, "a"), (None, "five " * 9, "a"), (None, "six " * 11, None), (5000, "one two three", "a")]
+    plan, placed = mixing.mix(spark.createDataFrame(rows_, "doc_id long, text string, source string"), block_words=100)
+    sizes = Counter()
+    for _, t, s in rows_:
+        sizes[s] += len(t.split())
+    got = plan.collect()
+    assert len(got) == len(rows_) and all(r["source_size"] == sizes[r["source"]] for r in got)
+    want = Counter()
+    for r in got:
+        want[r["doc_id"], r["source"], r["t"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"], r["t"]) for r in placed.collect()) == +want
+
+
+def test_query_rows(spark, tmp_path):
+    from docloom.llm.queries import op4_mixing
+
+    rows_ = [(i % 90, "w " * (i % 50), None if i % 9 == 0 else f"s{i % 4}") for i in range(200)] + [(None, "x y", "s1"), (None, "x y z", "s1"), (1, "w", "s1"), (1, "w", "s1")]
+    spark.createDataFrame(rows_, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op4_mixing(spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(rows_)
+    assert all(len(r["shards"] or []) * r["size"] == r["taken"] for r in got)
