@@ -35,8 +35,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, shard after shard, shuffled within each; a document that the mix takes twice is there twice."""
     _, placed = mixing.mix(docs)
-    once = placed.dropDuplicates(["doc_id", "source", "pass"]).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("shard").alias("m_shard"), F.col("key").alias("m_key"))
-    mixed = docs.join(once, docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")))
+    key = {"m_id": "doc_id", "m_source": "source", "m_t": "t", "m_shard": "shard", "m_key": "key"}
+    once = placed.dropDuplicates(["doc_id", "source", "t", "pass"]).select(*(F.col(c).alias(m) for m, c in key.items()))
+    mixed = docs.join(once, docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")) & (F.xxhash64(docs["text"]) == F.col("m_t")))
     return mixed.repartitionByRange(common.shuffle_partitions(spark), once["m_shard"], once["m_key"]).sortWithinPartitions(once["m_shard"], once["m_key"]).select(*(docs[c] for c in docs.columns))
 
 
@@ -59,7 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """The stages' work on ``documents``; tables that a stage made on its way, and its predecessor's result, go once it is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            path = common.fresh(spark, f"stage-{name}")
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            common.discard(spark, before)
+        before = path
     return docs

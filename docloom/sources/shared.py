@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A new path under the session's ``spark.checkpoint.dir``; a temporary folder only where that is unset on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
