@@ -105,12 +105,14 @@ def to_marks(col: Column) -> Column:
 
 
 def number_from_text(text: Column) -> Column:
-    """A question number in a string: 'Q.9', '6)', '5b', '0 7', '4.2'; the integer part counts, other forms give null."""
-    t = F.trim(text)
-    spaced = F.regexp_extract(t, r"^([0-9]+)\s+([0-9]+)$", 1), F.regexp_extract(t, r"^([0-9]+)\s+([0-9]+)$", 2)
-    core = F.regexp_replace(F.regexp_replace(t, r"(?i)^q(uestion)?[.\s]*", ""), r"[.)\]\-–—:}]+$", "")
-    plain = F.regexp_extract(core, r"^\s*([0-9]+)(?:\.[0-9]|\s*[a-zA-Z])?\s*$", 1)
-    return F.when(spaced[0] != "", F.when(spaced[0] == "0", F.concat(*spaced)).otherwise(spaced[0])).when(plain != "", plain).try_cast("bigint")
+    """A question number in a string: 'Q.9', '6)', '5b', '0 7', '01 5', '0 1.1', '4.2'; the integer part counts, other forms give null.
+
+    Of two numbers apart the first counts, and after a single 0 the second. Otherwise white space means nothing.
+    """
+    spaced = F.regexp_extract(text, r"^\s*([0-9]+)\s+([0-9]+)\s*$", 1), F.regexp_extract(text, r"^\s*([0-9]+)\s+([0-9]+)\s*$", 2)
+    core = F.regexp_replace(F.lower(F.regexp_replace(text, r"\s", "")), r"^(?:question\.*)?q*\.*|[.)\]\-–—:}]+$", "")
+    plain = F.regexp_extract(core, r"^([0-9]+)(?:\.[0-9]|[a-z])?$", 1)
+    return F.when(spaced[0] != "", F.when(spaced[0] == "0", spaced[1]).otherwise(spaced[0])).when(plain != "", plain).try_cast("bigint")
 
 
 def to_number(col: Column) -> Column:

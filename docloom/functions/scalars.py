@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 
 #: Ligatures and the letters they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-#: Words that tell subjects apart; each counts once where the text contains it.
+#: Words that tell subjects apart; each counts once where the text contains it. Subjects and subtopics of maths, by
+#: whether school or further maths is named; the words that name school maths.
 KEYWORDS = {
-    "math": ["integral", "equation", "triangle", "polynomial", "matrix", "vector", "probability"],
-    "physics": ["velocity", "newton", "voltage", "momentum", "photon"],
-    "chemistry": ["molecule", "acid", "enthalpy", "isotope", "titration"],
-    "biology": ["enzyme", "osmosis", "genome", "mitosis", "chlorophyll"],
-    "computing": ["algorithm", "binary", "recursion", "compiler", "pseudocode"],
+    "computing": ["array", "pointer", "recursion", "binary tree", "linked list", "stack", "queue", "hash table", "algorithm", "big-o", "o(n)", "complexity", "sql", "database", "sorting", "searching", "compiler", "interpreter", "cpu", "register", "cache", "encryption", "network", "protocol", "tcp", "ip address", "subroutine", "function call", "object-oriented", "class", "inheritance", "polymorphism", "binary", "hexadecimal", "boolean", "pseudocode", "flowchart", "assembly"],
+    "math": ["matrix", "determinant", "eigenvalue", "eigenvector", "differential equation", "integration", "differentiation", "calculus", "gradient", "vector", "scalar", "proof", "induction", "complex number", "argand", "polynomial", "binomial", "series", "sequence", "limit", "convergence", "trigonometry", "sine", "cosine", "tangent", "logarithm", "exponent", "modulus", "inequality", "quadratic"],
+    "physics": ["kinetic energy", "potential energy", "momentum", "velocity", "acceleration", "force", "newton", "wavelength", "frequency", "magnetic field", "electric field", "voltage", "current", "resistance", "ohm", "capacitor", "inductor", "photon", "quantum", "nuclear", "radioactive", "half-life", "thermal", "entropy", "pressure", "density", "refraction", "diffraction"],
+    "chemistry": ["mole", "molarity", "titration", "oxidation", "reduction", "electrode", "catalyst", "reaction rate", "equilibrium", "enthalpy", "entropy", "gibbs", "bond energy", "lattice", "atomic number", "electron configuration", "periodic table", "organic", "hydrocarbon", "ester", "polymer"],
+    "biology": ["cell membrane", "mitosis", "meiosis", "dna", "rna", "protein synthesis", "enzyme", "atp", "photosynthesis", "respiration", "ecosystem", "natural selection", "evolution", "chromosome", "allele", "genotype", "phenotype", "nervous system", "homeostasis", "osmosis"],
 }
+SCHOOL = ["gcse", "level 2 certificate", "secondary education"]
+MATHS = {
+    "school further": ("GCSE Further Mathematics (AQA)", "Algebra"),
+    "school": ("GCSE Mathematics (Edexcel)", "Algebra"),
+    "further": ("A Level Further Mathematics (Edexcel)", "Pure Mathematics"),
+    "plain": ("A Level Mathematics (Edexcel)", "Pure"),
+}
+OTHER = ("General", "Imported")
 _MARK = r"(?i)[\[(]\s*\**\s*([0-9]{1,2})\s*marks?\s*\**\s*[\])]"
 
 
@@ -39,21 +48,23 @@ def first_math(text: Column) -> Column:
 
 
 def split_questions(text: Column) -> Column:
-    """Pieces that begin at a numbered line, of more than 20 bytes; by '---' where there is one piece only; else the whole."""
+    """Pieces that begin at a numbered line, of more than 20 bytes; by '---' where there is one piece at most; else the whole."""
     keep = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.octet_length(x) > 20)
     numbered = keep(F.split(text, r"(?m)(?=^(?:Q(?:uestion)?\s*)?[0-9]{1,2}[.)]\s)"))
     ruled = keep(F.split(text, "---"))
-    return F.when(F.size(numbered) > 1, numbered).when(F.size(ruled) > 1, ruled).otherwise(keep(F.array(text)))
+    return F.when(F.size(numbered) > 1, numbered).when(F.size(ruled) > 0, ruled).otherwise(keep(F.array(text)))
 
 
-def keyword_class(text: Column, keywords: dict = None) -> Column:
-    """The subject with most keywords in the text; maths wins ties and splits by further words; none at all is General."""
-    keywords = keywords or KEYWORDS
+def keyword_class(text: Column) -> Column:
+    """subject, subtopic and is_code by the subject with most keywords in the text. Maths wins ties and splits by further words; where
+    another subject leads, or none is named, the text is general. No subject counts as code."""
     low = F.lower(text)
-    n = {s: reduce(lambda a, b: a + b, (low.contains(w).cast("int") for w in ws)) for s, ws in keywords.items()}
+    n = {s: reduce(lambda a, b: a + b, (low.contains(w).cast("int") for w in ws)) for s, ws in KEYWORDS.items()}
     top = F.greatest(*n.values())
-    math = F.when(low.contains("further"), F.when(low.contains("gcse"), "GCSE Further Mathematics").otherwise("Further Mathematics")).otherwise(F.when(low.contains("gcse"), "GCSE Mathematics").otherwise("Mathematics"))
-    return F.when((top > 0) & (n["math"] == top), math).otherwise("General")
+    school, further = reduce(lambda a, b: a | b, map(low.contains, SCHOOL)), low.contains("further")
+    both = lambda names: F.struct(F.lit(names[0]).alias("subject"), F.lit(names[1]).alias("subtopic"), F.lit(False).alias("is_code"))
+    math = F.when(school & further, both(MATHS["school further"])).when(school, both(MATHS["school"])).when(further, both(MATHS["further"])).otherwise(both(MATHS["plain"]))
+    return F.when((top > 0) & (n["math"] == top), math).otherwise(both(OTHER))
 
 
 def terminal_ending(text: Column) -> Column:
@@ -128,3 +139,38 @@ def slice_by_y(text: Column, start: Column, end: Column) -> Column:
 def crop_signals(text: Column) -> Column:
     """Why a crop may be no figure."""
     return F.filter(F.array(F.when(F.length(text) > 300, "much text"), F.when(F.regexp_count(text, F.lit(r"\.")) >= 4, "sentences"), F.when(text.rlike(r"(?i)\[\s*[0-9]+\s*marks?\s*\]"), "mark tag"), F.when(text.rlike(r"(?m)^\s*\([a-z]\)"), "sub-part")), lambda x: x.isNotNull())
+
+
+def likely_equation(text: Column) -> Column:
+    """Whether a text reads as maths: as many maths signs as words, two at least or a macro, and no sentence."""
+    s = F.regexp_replace(text, r"^\s+|\s+$", "")
+    runs = F.regexp_extract_all(s, F.lit(r"[\\\p{L}\p{N}_]+"), 0)
+    words = F.size(F.filter(runs, lambda x: x.rlike("^[A-Za-z]{3,}$")))
+    signs = F.regexp_count(s, F.lit(r"\\[a-zA-Z]+|[=+^_<>]|(?<=[0-9])\s*[-*/]\s*(?=[\p{L}\p{N}_])"))
+    macro = s.rlike(r"\\(?:frac|sqrt|int|sum|begin)\b")
+    return (s != "") & ~(s.endswith(".") & (words > 4)) & (signs >= words) & ((signs >= 2) | macro)
+
+
+def drop_repeated_lines(text: Column, over: int = 30) -> Column:
+    """A text without lines of over ``over`` characters that equal the line before, ends aside."""
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x, i: (i == 0) | (F.length(F.trim(x)) <= over) | (F.trim(x) != F.trim(F.get(lines, i - 1))))
+    return F.array_join(kept, "\n")
+
+
+def visual_option(line: Column) -> Column:
+    """Whether a line is the mark of a visual option: a letter A to D alone, or with a placeholder or a bracket, dot or colon after it."""
+    return line.rlike(r"^\s*[ABCD]\s*(?:$|\[DIAGRAM_PLACEHOLDER\]|[).:])")
+
+
+def composite_options(content: Column) -> Column:
+    """The content of a question whose options are pictures, with one placeholder for the one picture of them all: from the first of
+    two option marks or more, where there are placeholders, all becomes one; without such marks the first of several stays."""
+    lines = F.split(content, "\n")
+    marks = F.size(F.filter(lines, visual_option))
+    first = F.array_position(F.transform(lines, visual_option), True)
+    lead = F.regexp_replace(F.array_join(F.slice(lines, 1, F.greatest(first - 1, F.lit(0)).cast("int")), "\n"), r"\s+$", "")
+    one = F.lit("[DIAGRAM_PLACEHOLDER]")
+    parts = F.split(content, r"\[DIAGRAM_PLACEHOLDER\]")
+    rest = F.regexp_replace(F.concat(parts[0], one, F.array_join(F.slice(parts, 2, F.size(parts)), "")), r"^\s+|\s+$", "")
+    return F.when((marks >= 2) & (F.size(parts) > 1), F.when(lead == "", one).otherwise(F.concat(lead, F.lit("\n"), one))).when(F.size(parts) > 2, rest).otherwise(content)

@@ -35,23 +35,36 @@ def inline_marks_sum(spark, sf):
     return docs(spark, sf).select("doc_id", scalars.inline_marks_sum(marked()).alias("total"))
 
 
-@query("SELECT doc_id, greatest(1, least(25, CASE WHEN doc_id % 2 = 0 THEN doc_id % 40 ELSE 1 END))::INT AS marks FROM documents")
+#: Each text behind or before what a query looks for.
+_T_SQL = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' x [3 marks] y (' || (doc_id % 40) || ')' ELSE '' END AS t FROM {_T_SQL})
+  SELECT doc_id, greatest(1, least(25, coalesce(list_last(regexp_extract_all(t, '(?:\\[\\s*|\\()([0-9]{{1,3}})(?:\\s*marks?)?\\s*[\\])]', 1, 'i'))::INT, 1)))::INT AS marks FROM t""")
 def last_mark_clamp(spark, sf):
-    t = F.when(D() % 2 == 0, F.concat(F.lit("x [3 marks] y ("), (D() % 40).cast("string"), F.lit(")"))).otherwise(F.lit("none"))
+    t = F.concat("text", F.when(D() % 2 == 0, F.concat(F.lit(" x [3 marks] y ("), (D() % 40).cast("string"), F.lit(")"))).otherwise(""))
     return docs(spark, sf).select("doc_id", scalars.last_mark(t).alias("marks"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '$x_' || doc_id || '$' WHEN doc_id % 3 = 1 THEN '$$y' || chr(10) || 'z$$' ELSE '' END AS math FROM documents")
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Let $x_' || doc_id || '$ and ' ELSE '' END || text || CASE WHEN doc_id % 3 = 1 THEN ' See $$y' || chr(10) || 'z$$ then $a$' ELSE '' END AS t FROM {_T_SQL})
+  SELECT doc_id, sha256(regexp_extract(t, '(?s)(\\$\\$.+?\\$\\$|\\$[^$\\n]+\\$)', 1)) AS math FROM t""")
 def first_math(spark, sf):
-    t = F.when(D() % 3 == 0, F.concat(F.lit("Let $x_"), D().cast("string"), F.lit("$ and $b$"))).when(D() % 3 == 1, F.lit("See $$y\nz$$ then $a$")).otherwise("costs 5$")
-    return docs(spark, sf).select("doc_id", scalars.first_math(t).alias("math"))
+    t = F.concat(F.when(D() % 3 == 0, F.concat(F.lit("Let $x_"), D().cast("string"), F.lit("$ and "))).otherwise(""), "text", F.when(D() % 3 == 1, " See $$y\nz$$ then $a$").otherwise(""))
+    return docs(spark, sf).select("doc_id", _HEX(scalars.first_math(t)).alias("math"))
+
+
+_KEEP = lambda pieces: f"list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN {pieces}], lambda x: strlen(x) > 20)"
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 WHEN strlen(regexp_replace('First piece: ' || coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) > 20 THEN 1 ELSE 0 END::INT AS pieces FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Intro' || chr(10) || 'Q1. ' || text || chr(10) || '2) And then ' || text WHEN 1 THEN text || '---' || text || '---x' ELSE text END AS t FROM {_T_SQL}),
+  p AS (SELECT doc_id, {_KEEP("string_split(regexp_replace(t, '(?m)^((?:Q(?:uestion)?\\s*)?[0-9]{1,2}[.)]\\s)', chr(1) || '\\1', 'g'), chr(1))")} AS numbered, {_KEEP("string_split(t, '---')")} AS ruled, {_KEEP("[t]")} AS whole FROM t),
+  k AS (SELECT doc_id, unnest(CASE WHEN len(numbered) > 1 THEN numbered WHEN len(ruled) > 0 THEN ruled ELSE whole END) AS piece, generate_subscripts(CASE WHEN len(numbered) > 1 THEN numbered WHEN len(ruled) > 0 THEN ruled ELSE whole END, 1) - 1 AS i FROM p)
+  SELECT doc_id, i::INT AS i, sha256(piece) AS piece FROM k""")
 def split_questions(spark, sf):
-    one = F.concat(F.lit("First piece: "), F.replace(F.regexp_replace("text", r"(?m)^((?:Q(?:uestion)?\s*)?[0-9]{1,2}[.)]\s)", "x$1"), F.lit("---"), F.lit("- -")))
-    two = F.lit("1. The first question is here.\nwith a line\n2) The second question is there.")
-    return docs(spark, sf).select("doc_id", F.size(scalars.split_questions(F.when(D() % 2 == 0, two).otherwise(one))).alias("pieces"))
+    """The pieces of each text, by digest."""
+    nl = F.lit("\n")
+    t = F.when(D() % 3 == 0, F.concat(F.lit("Intro\nQ1. "), "text", nl, F.lit("2) And then "), "text")).when(D() % 3 == 1, F.concat("text", F.lit("---"), "text", F.lit("---x"))).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", F.posexplode(scalars.split_questions(t)).alias("i", "piece")).select("doc_id", "i", _HEX("piece").alias("piece"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t\\f\\v\\r]*\\n[ \\t\\f\\v\\r]*', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents")
@@ -59,23 +72,27 @@ def newline_collapse(spark, sf):
     return docs(spark, sf).select("doc_id", _HEX(files.collapse_newlines(F.col("text"))).alias("digest"))
 
 
-@query("SELECT doc_id, '07.' || (doc_id % 9) || ' Read ' || chr(10) || 'on' || chr(10) AS page FROM documents")
+@query(f"""WITH t AS (SELECT doc_id, '0 7 . ' || (doc_id % 9) || ' Read ____' || chr(10) || ' 4 ' || chr(10) || text || chr(10) || 'on----' || chr(10) AS t FROM {_T_SQL})
+  SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '[_-]{{3,}}', '', 'g'), '(?m)^[ \\t]*[1-6][ \\t]*$\\n?', '', 'g'), '(?m)^0 ([0-9])[ \\t]*\\.[ \\t]*([0-9])', '0\\1.\\2', 'g')) AS page FROM t""")
 def page_text_clean(spark, sf):
-    t = F.concat(F.lit("0 7 . "), (D() % 9).cast("string"), F.lit(" Read ____\n 4 \non----\n"))
-    return docs(spark, sf).select("doc_id", files.clean_page(t).alias("page"))
+    t = F.concat(F.lit("0 7 . "), (D() % 9).cast("string"), F.lit(" Read ____\n 4 \n"), "text", F.lit("\non----\n"))
+    return docs(spark, sf).select("doc_id", _HEX(files.clean_page(t)).alias("page"))
 
 
 _KW = scalars.KEYWORDS
 _COUNT = {s: " + ".join(f"contains(low, '{w}')::INT" for w in ws) for s, ws in _KW.items()}
+_NAMED = lambda i: "CASE WHEN top = 0 OR math < top THEN '{4}' WHEN school AND further THEN '{0}' WHEN school THEN '{1}' WHEN further THEN '{2}' ELSE '{3}' END".format(*(x[i] for x in scalars.MATHS.values()), scalars.OTHER[i])
+_MORE = {0: " the gcse integration of a matrix", 1: " further vector, level 2 certificate proof", 2: " enzyme and dna", 3: " velocity", 4: " a quadratic and a further limit", 5: " binary tree array, stack"}
 
 
-@query(f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' the gcse integral of a matrix' WHEN 1 THEN ' further vector' WHEN 2 THEN ' enzyme and genome' WHEN 3 THEN ' velocity' WHEN 4 THEN ' equation acid' ELSE '' END) AS low FROM documents),
-  c AS (SELECT doc_id, low, {', '.join(f'{v} AS {k}' for k, v in _COUNT.items())} FROM t)
-  SELECT doc_id, CASE WHEN greatest({', '.join(_COUNT)}) > 0 AND math = greatest({', '.join(_COUNT)}) THEN
-   CASE WHEN contains(low, 'further') THEN CASE WHEN contains(low, 'gcse') THEN 'GCSE Further Mathematics' ELSE 'Further Mathematics' END WHEN contains(low, 'gcse') THEN 'GCSE Mathematics' ELSE 'Mathematics' END ELSE 'General' END AS class FROM c""")
+@query(f"""WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 7 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _MORE.items())} ELSE '' END) AS low FROM {_T_SQL}),
+  c AS (SELECT doc_id, contains(low, 'further') AS further, {' OR '.join(f"contains(low, '{w}')" for w in scalars.SCHOOL)} AS school, {', '.join(f'{v} AS {k}' for k, v in _COUNT.items())} FROM t), n AS (SELECT *, greatest({', '.join(_COUNT)}) AS top FROM c)
+  SELECT doc_id, {_NAMED(0)} AS subject, {_NAMED(1)} AS subtopic, false AS is_code FROM n""")
 def keyword_classify(spark, sf):
-    more = F.when(D() % 6 == 0, " the gcse integral of a matrix").when(D() % 6 == 1, " further vector").when(D() % 6 == 2, " enzyme and genome").when(D() % 6 == 3, " velocity").when(D() % 6 == 4, " equation acid").otherwise("")
-    return docs(spark, sf).select("doc_id", scalars.keyword_class(F.concat("text", more)).alias("class"))
+    more = F.lit("")
+    for k, v in _MORE.items():
+        more = F.when(D() % 7 == k, v).otherwise(more)
+    return docs(spark, sf).select("doc_id", scalars.keyword_class(F.concat("text", more)).alias("c")).select("doc_id", "c.*")
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(regexp_replace(text, '\\s+$', ''), '([\\[]\\s*[0-9]+\\s*marks?\\s*[\\]]|[.?!)\\]:;$`|])$', 'i'), false) AS done FROM documents")
@@ -88,27 +105,36 @@ def ligature_clean(spark, sf):
     return docs(spark, sf).select("doc_id", _HEX(scalars.clean_ligatures(F.concat(F.lit("oﬃce ﬁrst ﬂy ﬆop "), "text"))).alias("digest"))
 
 
-@query("SELECT doc_id, 'Uses F = ma' || chr(10) || 'answer ' || (doc_id % 5) AS scheme FROM documents")
+@query(f"""WITH t AS (SELECT doc_id, replace(text, chr(10), ' M1 A1ft' || chr(10)) || '  M1' || chr(10) || '  ' || chr(10) || 'answer ' || (doc_id % 5) || ' B2cao ' || chr(10) AS t FROM {_T_SQL})
+  SELECT doc_id, sha256(array_to_string(list_filter([trim(regexp_replace(x, '(?:\\s+(?:M|A|B|E|dM)[0-9](?:ft|cao|oe)?)+\\s*$', '')) FOR x IN string_split(t, chr(10))], lambda x: x <> ''), chr(10))) AS scheme FROM t""")
 def examiner_codes(spark, sf):
-    t = F.concat(F.lit("Uses F = ma  M1 A1ft\n  \nanswer "), (D() % 5).cast("string"), F.lit(" B2cao \n"))
-    return docs(spark, sf).select("doc_id", scalars.drop_examiner_codes(t).alias("scheme"))
+    t = F.concat(F.replace("text", F.lit("\n"), F.lit(" M1 A1ft\n")), F.lit("  M1\n  \nanswer "), (D() % 5).cast("string"), F.lit(" B2cao \n"))
+    return docs(spark, sf).select("doc_id", _HEX(scalars.drop_examiner_codes(t)).alias("scheme"))
 
 
-@query("SELECT doc_id, [doc_id % 12, doc_id % 7] AS refs, (doc_id % 3)::INT AS places FROM documents")
+_FIGURES = "[x::BIGINT FOR x IN regexp_extract_all(t, '\\b(?:figure|fig\\.?)\\s*([0-9]{1,3})', 1, 'i')]"
+_PLACES = "len(regexp_extract_all(t, '\\[DIAGRAM_PLACEHOLDER\\]'))::INT"
+
+
+@query(f"""WITH t AS (SELECT doc_id, 'In Figure ' || (doc_id % 12) || ' ' || text || ' and fig. ' || (doc_id % 7) || repeat('[DIAGRAM_PLACEHOLDER]', doc_id % 3) AS t FROM {_T_SQL}) SELECT doc_id, {_FIGURES} AS refs, {_PLACES} AS places FROM t""")
 def figure_refs(spark, sf):
-    t = F.concat(F.lit("In Figure "), (D() % 12).cast("string"), F.lit(" and fig. "), (D() % 7).cast("string"), F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D() % 3).cast("int")))
+    t = F.concat(F.lit("In Figure "), (D() % 12).cast("string"), F.lit(" "), "text", F.lit(" and fig. "), (D() % 7).cast("string"), F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D() % 3).cast("int")))
     return docs(spark, sf).select("doc_id", F.transform(scalars.figure_refs(t), lambda x: x.cast("long")).alias("refs"), scalars.placeholders(t).alias("places"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 <> doc_id % 2 THEN 'placeholders differ from boxes' END, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN 'figures are mentioned without boxes' END], lambda x: x IS NOT NULL), ';') AS errors FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Figure 1 ' ELSE '' END || text || repeat('[DIAGRAM_PLACEHOLDER]', doc_id % 3) AS t FROM {_T_SQL})
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN {_PLACES} <> doc_id % 2 THEN 'placeholders differ from boxes' END, CASE WHEN len({_FIGURES}) > 0 AND doc_id % 2 = 0 THEN 'figures are mentioned without boxes' END], lambda x: x IS NOT NULL), ';') AS errors FROM t""")
 def consistency_errors(spark, sf):
-    t = F.concat(F.when(D() % 5 == 0, "Figure 1 ").otherwise("none "), F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D() % 3).cast("int")))
+    t = F.concat(F.when(D() % 5 == 0, "Figure 1 ").otherwise(""), "text", F.repeat(F.lit("[DIAGRAM_PLACEHOLDER]"), (D() % 3).cast("int")))
     return docs(spark, sf).select("doc_id", F.array_join(scalars.consistency_errors(t, D() % 2), ";").alias("errors"))
 
 
-@query("""SELECT doc_id, doc_id % 4 = 0 AS grid, doc_id % 4 = 1 AS code, doc_id % 4 = 2 AS "table", doc_id % 4 = 3 AS footer FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Draw the line on the grid. ' || text WHEN 1 THEN text || chr(10) || 'for i in range(3):' || chr(10) || '  pass' WHEN 2 THEN text || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' WHEN 3 THEN 'Turn over for page 2' ELSE text END AS t FROM {_T_SQL})
+  SELECT doc_id, regexp_matches(t, '\\b(draw|plot|sketch)\\b', 'i') AND regexp_matches(t, '\\b(grid|axes)\\b', 'i') AS grid, contains(t, '```') OR regexp_matches(t, '(?m)^\\s*(def|class|for|while|if)\\b.*:\\s*$') AS code,
+  len(regexp_extract_all(t, '(?m)^\\s*\\|.*\\|\\s*$')) >= 2 AS "table", length(t) < 80 AND regexp_matches(t, '\\b(page|turn over|copyright)\\b', 'i') AS footer FROM t""")
 def content_flags(spark, sf):
-    t = F.when(D() % 4 == 0, "Draw the line on the grid.").when(D() % 4 == 1, "x\nfor i in range(3):\n  pass").when(D() % 4 == 2, "| a | b |\n| 1 | 2 |").otherwise("Turn over for page 2")
+    k = D() % 5
+    t = F.when(k == 0, F.concat(F.lit("Draw the line on the grid. "), "text")).when(k == 1, F.concat("text", F.lit("\nfor i in range(3):\n  pass"))).when(k == 2, F.concat("text", F.lit("\n| a | b |\n| 1 | 2 |"))).when(k == 3, "Turn over for page 2").otherwise(F.col("text"))
     return docs(spark, sf).select("doc_id", scalars.content_flags(t).alias("f")).select("doc_id", "f.grid", "f.code", "f.table", "f.footer")
 
 
@@ -122,9 +148,10 @@ def crop_signals(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(scalars.crop_signals(F.col("text")), ";").alias("signals"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'full_vision' WHEN doc_id % 2 = 0 OR doc_id % 5 = 0 THEN 'crop_first' ELSE 'text_first' END AS route FROM documents")
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'As Figure 2 shows ' ELSE '' END || text AS t FROM {_T_SQL})
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'full_vision' WHEN doc_id % 2 = 0 OR len({_FIGURES}) > 0 THEN 'crop_first' ELSE 'text_first' END AS route FROM t""")
 def extraction_route(spark, sf):
-    t = F.when(D() % 5 == 0, "As Figure 2 shows").otherwise("plain")
+    t = F.concat(F.when(D() % 5 == 0, "As Figure 2 shows ").otherwise(""), "text")
     return docs(spark, sf).select("doc_id", scalars.extraction_route(t, D() % 2 == 0, D() % 3 != 0).alias("route"))
 
 
@@ -163,10 +190,10 @@ def worksheet_plan(spark, sf):
     return load(spark, sf, "part").select("p_partkey", files.continuation_pages(F.col("p_size"), F.col("p_partkey") % 2 == 0).alias("pages"))
 
 
-@query("""WITH r AS (SELECT DISTINCT 'img/' || (doc_id % 50) || '/' || (doc_id % 7) || '.png' AS ref FROM documents), b AS (SELECT ref, regexp_extract(ref, '([^/\\\\]+)$', 1) AS base FROM r),
+@query(f"""WITH t AS (SELECT doc_id, text || ' See ![a](img/' || (doc_id % 50) || '/' || (doc_id % 7) || '.png) there' AS t FROM {_T_SQL}), r AS (SELECT DISTINCT unnest(regexp_extract_all(t, '!\\[[^\\]]*\\]\\(([^)\\s]+)\\)', 1)) AS ref FROM t), b AS (SELECT ref, regexp_extract(ref, '([^/\\\\]+)$', 1) AS base FROM r),
   n AS (SELECT ref, base, row_number() OVER (PARTITION BY base ORDER BY ref) AS n FROM b) SELECT ref, CASE WHEN n = 1 THEN base ELSE (n - 1) || '-' || base END AS name FROM n""")
 def image_refs(spark, sf):
-    t = F.concat(F.lit("See ![a](img/"), (D() % 50).cast("string"), F.lit("/"), (D() % 7).cast("string"), F.lit(".png) there"))
+    t = F.concat("text", F.lit(" See ![a](img/"), (D() % 50).cast("string"), F.lit("/"), (D() % 7).cast("string"), F.lit(".png) there"))
     return files.image_refs(docs(spark, sf).select("doc_id", t.alias("t")), "doc_id", "t")
 
 
@@ -177,23 +204,35 @@ def flashcard_export(spark, sf):
     return cards.select(F.split_part("front", F.lit("\0"), F.lit(1)).cast("long").alias("doc_id"), _HEX(F.split_part("front", F.lit("\0"), F.lit(2))).alias("front"), "back", "tags")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '(' || chr((97 + doc_id % 5)::INT) || ') Name it.' ELSE '7.2 V is used.' END AS text FROM documents")
+@query(f"""SELECT doc_id, sha256(CASE WHEN doc_id % 4 < 2 THEN '(' || chr((97 + doc_id % 5)::INT) || ') Name it.' ELSE '7.2 V is used.' END || chr(10) || text) AS digest FROM {_T_SQL}""")
 def decimal_parts(spark, sf):
     t = F.when(D() % 4 < 2, F.concat(F.lit("7 . "), (D() % 5 + 1).cast("string"), F.lit(" Name it."))).otherwise("7.2 V is used.")
-    return docs(spark, sf).select("doc_id", rewrite.over(lambda x: rewrite.decimal_parts(x, 7))(t).alias("text"))
+    return docs(spark, sf).select("doc_id", _HEX(rewrite.over(lambda x: rewrite.decimal_parts(x, 7))(F.concat(t, F.lit("\n"), "text"))).alias("digest"))
 
 
-@query("SELECT doc_id, sha256(CASE WHEN contains(text, '|') OR contains(text, '$') OR contains(text, '\\') OR contains(text, '`') THEN 'odd' ELSE regexp_replace(regexp_replace(text, '\\n{2,}', chr(1), 'g'), '\\n', chr(10) || chr(10), 'g') END) AS digest FROM documents")
+#: Plain lines, tables and display maths; the tables hold no code and no environments.
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {_T_SQL}),
+  n AS (SELECT *, len(regexp_extract_all(x, '\\$\\$')) % 2 AS odd, starts_with(ltrim(x, ' ' || chr(9)), '|') AS bar FROM l),
+  k AS (SELECT *, coalesce(sum(odd) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 OR odd = 1 OR bar AS kept FROM n),
+  b AS (SELECT *, lag(x) OVER w AS px, lag(kept) OVER w AS pk FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+  SELECT doc_id, sha256(string_agg(CASE WHEN px IS NOT NULL AND regexp_matches(px, '\\S') AND regexp_matches(x, '\\S') AND NOT (kept AND pk) AND NOT bar THEN chr(10) || x ELSE x END, chr(10) ORDER BY i)) AS digest FROM b GROUP BY 1""")
 def harden_lines(spark, sf):
-    odd = F.col("text").contains("|") | F.col("text").contains("$") | F.col("text").contains("\\") | F.col("text").contains("`")
-    out = docs(spark, sf).withColumn("h", rewrite.over(rewrite.harden_lines)(F.regexp_replace("text", r"\n{2,}", "\x01")))
-    return out.select("doc_id", _HEX(F.when(odd, "odd").otherwise(F.col("h"))).alias("digest"))
+    return docs(spark, sf).select("doc_id", _HEX(rewrite.over(rewrite.harden_lines)(F.col("text"))).alias("digest"))
+
+
+_BOILER_SQL = "(?im)^[ \\t>*_]*(?:" + "|".join(rewrite.BOILERPLATE) + ")\\b.*$\\n?"
+_SERIAL_SQL = "(?im)^[ \\t]*(?:\\*?[A-Z]{1,3}[0-9]{5,}[A-Z]?\\*?|[0-9]{5,6}|(?:page\\s+)?[0-9]{1,3}\\s*(?:/|of)\\s*[0-9]{1,3}|page\\s+[0-9]{1,3})[ \\t]*$\\n?"
+_LINES_SQL = "(?im)^[ \\t]*(?:[_.\\-]{6,}|answer\\s*[:=]?\\s*[_.]{3,}.*)[ \\t]*$\\n?"
 
 
-@query("SELECT doc_id, sha256(trim(regexp_replace('Keep ' || (doc_id % 9) || chr(10) || 'and this.', '\\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM documents")
+def _collapsed(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("WITH t AS (SELECT doc_id, 'Keep ' || (doc_id % 9) || chr(10) || 'Turn over for the next question' || chr(10) || 'Do not write in this box' || chr(10) || text || chr(10) || 'AB12345' || chr(10) || '123456' || chr(10) || '__________' || chr(10) || 'and this.' || chr(10) || 'Blank page' AS t FROM " + _T_SQL + ") SELECT doc_id, sha256("
+       + _collapsed(f"regexp_replace(regexp_replace(regexp_replace(t, '{_BOILER_SQL}', '', 'g'), '{_SERIAL_SQL}', '', 'g'), '{_LINES_SQL}', '', 'g')") + ") AS digest FROM t")
 def boilerplate_strip(spark, sf):
-    t = F.concat(F.lit("Keep "), (D() % 9).cast("string"), F.lit("\nTurn over for the next question\nDo not write in this box\nP4321AB12\n123456\n__________\nand this.\nBlank page"))
-    t = F.regexp_replace(t, "P4321AB12", "AB12345")
+    t = F.concat(F.lit("Keep "), (D() % 9).cast("string"), F.lit("\nTurn over for the next question\nDo not write in this box\n"), "text", F.lit("\nAB12345\n123456\n__________\nand this.\nBlank page"))
     return docs(spark, sf).select("doc_id", _HEX(rewrite.over(rewrite.strip_boilerplate)(t)).alias("digest"))
 
 
@@ -222,57 +261,82 @@ table_repair = _rewritten("table_repair", rewrite.table_repair, lambda: F.concat
 heal_delimiters = _rewritten("heal_delimiters", rewrite.heal_delimiters, lambda: F.concat(F.lit("\\begin{align}a $$b$ "), _T()))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS equation FROM documents")
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN 'y = x^2 + ' || doc_id WHEN 1 THEN text ELSE 'a = b + 3 - 2 * c < ' || text END, '^\\s+|\\s+$', '', 'g') AS s FROM {_T_SQL}),
+  n AS (SELECT doc_id, s, len(list_filter(regexp_extract_all(s, '[\\\\\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{{3,}}'))) AS words, len(regexp_extract_all(regexp_replace(s, '([0-9])', '\\1\\1', 'g'), '\\\\[a-zA-Z]+|[=+^_<>]|[0-9]\\s*[-*/]\\s*[\\p{{L}}\\p{{N}}_]')) AS signs FROM t)
+  SELECT doc_id, s <> '' AND NOT (ends_with(s, '.') AND words > 4) AND signs >= words AND (signs >= 2 OR regexp_matches(s, '\\\\(?:frac|sqrt|int|sum|begin)\\b')) AS equation FROM n""")
 def equation_flag(spark, sf):
-    flag = F.pandas_udf(lambda s: s.map(rewrite.likely_equation), "boolean")
-    t = F.when(D() % 2 == 0, F.concat(F.lit("y = x^2 + "), D().cast("string"))).otherwise("The answer to this is given below.")
-    return docs(spark, sf).select("doc_id", flag(t).alias("equation"))
+    t = F.when(D() % 3 == 0, F.concat(F.lit("y = x^2 + "), D().cast("string"))).when(D() % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("a = b + 3 - 2 * c < "), "text"))
+    return docs(spark, sf).select("doc_id", scalars.likely_equation(t).alias("equation"))
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-  k AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p) SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (before IS NOT NULL AND trim(p) = trim(before) AND length(trim(p)) > 30) AS dropped FROM k GROUP BY 1""")
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {_T_SQL}),
+  k AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p), f AS (SELECT *, before IS NOT NULL AND trim(p) = trim(before) AND length(trim(p)) > 30 AS drop FROM k)
+  SELECT doc_id, count(*) FILTER (drop) AS dropped, sha256(coalesce(string_agg(p, chr(10) ORDER BY i) FILTER (NOT drop), '')) AS digest FROM f GROUP BY 1""")
 def paragraph_dedupe(spark, sf):
-    from pyspark.sql import Window
+    """The texts without lines that repeat the one before, by digest, and how many went."""
+    kept = scalars.drop_repeated_lines(F.col("text"))
+    size = lambda c: F.size(F.split(c, "\n"))
+    return docs(spark, sf).withColumn("kept", kept).select("doc_id", (size("text") - size("kept")).cast("long").alias("dropped"), _HEX("kept").alias("digest"))
+
 
-    p = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "p"))
-    p = p.withColumn("before", F.lag("p").over(Window.partitionBy("doc_id").orderBy("i")))
-    same = (F.trim("p") == F.trim("before")) & (F.length(F.trim("p")) > 30)
-    return p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count(F.when(same, 1)).alias("dropped"))
+def json_text(text=None):
+    """The text as a JSON string."""
+    j = F.to_json(F.struct((F.col("text") if text is None else text).alias("v")))
+    return F.substring(j, F.lit(6), F.length(j) - 6)
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN (event_id % 200 - 20) WHEN 1 THEN 6 WHEN 2 THEN event_id % 10 WHEN 3 THEN 100 ELSE NULL END AS v FROM events""".replace("(event_id % 200 - 20)", "greatest(0, least(100, event_id % 200 - 20))"))
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM {_T_SQL})
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN greatest(0, least(100, doc_id % 200 - 20)) WHEN 1 THEN 6 WHEN 2 THEN CASE WHEN length(d) > 9 THEN 100 WHEN d <> '' THEN least(100, d::BIGINT) END WHEN 3 THEN 100 ELSE NULL END::BIGINT AS v FROM t""")
 def coerce_marks(spark, sf):
-    e = F.col("event_id")
-    raw = F.when(e % 6 == 0, (e % 200 - 20).cast("string")).when(e % 6 == 1, "6.0").when(e % 6 == 2, F.concat(F.lit('"['), (e % 10).cast("string"), F.lit(' marks]"'))).when(e % 6 == 3, '"3 of 12"').when(e % 6 == 4, "null").otherwise("[1]")
-    return load(spark, sf, "events").select("event_id", jsonx.to_marks(raw).alias("v"))
+    k = D() % 6
+    raw = F.when(k == 0, (D() % 200 - 20).cast("string")).when(k == 1, "6.0").when(k == 2, json_text()).when(k == 3, '"3 of 12"').when(k == 4, "null").otherwise(F.concat(F.lit("["), json_text(), F.lit("]")))
+    return docs(spark, sf).select("doc_id", jsonx.to_marks(raw).alias("v"))
 
 
-@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN CASE WHEN event_id % 1200 BETWEEN 1 AND 1000 THEN event_id % 1200 END WHEN 1 THEN 2 WHEN 3 THEN 9 WHEN 4 THEN 5 WHEN 5 THEN 7 ELSE NULL END AS v FROM events")
+_NUMBERS = ['"Q.9"', '"5b"', '"0 7"', '"2,3"', '"0 1.1"', '"01 5"', '"Question 4"', '"3.5 V"', '" 0 10 "', '"12-"', "2.4", "2.25", "1001"]
+_READ = [9, 5, 7, None, 1, 1, 4, None, 10, 12, 2, None, None]
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 15 {' '.join(f"WHEN {i} THEN {'NULL' if v is None else v}" for i, v in enumerate(_READ))} WHEN 13 THEN CASE WHEN doc_id % 1200 BETWEEN 1 AND 1000 THEN doc_id % 1200 END
+  ELSE CASE WHEN regexp_full_match(trim(text), '[0-9]{{1,3}}[a-z.)]?') THEN nullif(regexp_extract(text, '[0-9]+')::BIGINT, 0) END END::BIGINT AS v FROM {_T_SQL}""")
 def coerce_number(spark, sf):
-    e = F.col("event_id")
-    raw = F.when(e % 7 == 0, (e % 1200).cast("string")).when(e % 7 == 1, "2.4").when(e % 7 == 2, "2.25").when(e % 7 == 3, '"Q.9"').when(e % 7 == 4, '"5b"').when(e % 7 == 5, '"0 7"').otherwise('"2,3"')
-    return load(spark, sf, "events").select("event_id", jsonx.to_number(raw).alias("v"))
+    k = D() % 15
+    raw = F.when(k == 13, (D() % 1200).cast("string")).otherwise(json_text())
+    for i, x in enumerate(_NUMBERS):
+        raw = F.when(k == i, x).otherwise(raw)
+    return docs(spark, sf).select("doc_id", jsonx.to_number(raw).alias("v"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'x,y' WHEN 1 THEN 'one' ELSE '' END AS v FROM events")
+@query(f"""SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN array_to_string(list_filter(['x', trim(text), 'y'], lambda x: x <> ''), ',') WHEN 1 THEN trim(text) ELSE '' END) AS v FROM {_T_SQL}""")
 def coerce_topics(spark, sf):
-    e = F.col("event_id")
-    raw = F.when(e % 3 == 0, '[" x ", "", "y"]').when(e % 3 == 1, '"one"').otherwise("5")
-    return load(spark, sf, "events").select("event_id", F.array_join(jsonx.to_topics(raw), ",").alias("v"))
+    k = D() % 3
+    raw = F.when(k == 0, F.concat(F.lit('[" x ", "", '), json_text(), F.lit(', "y"]'))).when(k == 1, json_text()).otherwise("5")
+    return docs(spark, sf).select("doc_id", _HEX(F.array_join(jsonx.to_topics(raw), ",")).alias("v"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'salvaged' WHEN 2 THEN 'salvaged' ELSE 'malformed' END AS status, event_id % 4 = 1 AS dropped_tail FROM events""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'salvaged' WHEN 2 THEN 'salvaged' ELSE 'malformed' END AS status, doc_id % 4 = 1 AS dropped_tail, CASE doc_id % 4 WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END::INT AS items FROM documents""")
 def json_salvage(spark, sf):
-    e = F.col("event_id")
-    n = e.cast("string")
-    raw = F.when(e % 4 == 0, F.concat(F.lit('{"items":[{"n":'), n, F.lit("}]}"))).when(e % 4 == 1, F.concat(F.lit('{"items":[{"n":'), n, F.lit('},{"n":2},{"n":'))).when(e % 4 == 2, F.concat(F.lit('{"items":[{"n":'), n, F.lit("}]} bye"))).otherwise("sorry")
-    return load(spark, sf, "events").select("event_id", jsonx.salvaged(raw).alias("o")).select("event_id", "o.status", "o.dropped_tail")
+    """Replies that hold each text as an item: whole, cut off, followed by words, and no JSON at all."""
+    k = D() % 4
+    one = F.concat(F.lit('{"items":[{"t":'), json_text())
+    raw = F.when(k == 0, F.concat(one, F.lit("}]}"))).when(k == 1, F.concat(one, F.lit('},{"t":2},{"t":'), F.substring(json_text(), 1, 5))).when(k == 2, F.concat(one, F.lit("}]} bye"))).otherwise(F.concat(F.lit("sorry "), F.translate("text", "[{", "")))
+    o = docs(spark, sf).select("doc_id", jsonx.salvaged(raw).alias("o"))
+    return o.select("doc_id", "o.status", "o.dropped_tail", F.coalesce(F.json_array_length(F.get_json_object("o.value", "$.items")), F.lit(0)).alias("items"))
 
 
-@query("SELECT event_id, '[\"t' || (event_id % 9) || '\"]' AS found FROM events")
+@query(f"""WITH t AS (SELECT doc_id, 'Sure: ["t' || (doc_id % 9) || '"] is it. ' || text AS t FROM {_T_SQL}) SELECT doc_id, sha256(regexp_extract(t, '(?s)(\\[.*\\])', 1)) AS found FROM t""")
 def json_array_extract(spark, sf):
-    raw = F.concat(F.lit('Sure: ["t'), (F.col("event_id") % 9).cast("string"), F.lit('"] is it.'))
-    return load(spark, sf, "events").select("event_id", jsonx.array_in_prose(raw).alias("found"))
+    raw = F.concat(F.lit('Sure: ["t'), (D() % 9).cast("string"), F.lit('"] is it. '), "text")
+    return docs(spark, sf).select("doc_id", _HEX(jsonx.array_in_prose(raw)).alias("found"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || 'A [DIAGRAM_PLACEHOLDER]' || chr(10) || 'B) [DIAGRAM_PLACEHOLDER]' WHEN 1 THEN '[DIAGRAM_PLACEHOLDER] ' || text || ' [DIAGRAM_PLACEHOLDER]' ELSE text END AS t, text FROM {_T_SQL})
+  SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '\\s+$', '') || CASE WHEN regexp_matches(text, '\\S') THEN chr(10) ELSE '' END || '[DIAGRAM_PLACEHOLDER]' WHEN 1 THEN regexp_replace('[DIAGRAM_PLACEHOLDER] ' || text, '\\s+$', '') ELSE text END) AS digest FROM t""")
+def composite_options(spark, sf):
+    """Questions whose options are pictures, with one placeholder for all of them."""
+    k, p = D() % 3, F.lit("[DIAGRAM_PLACEHOLDER]")
+    t = F.when(k == 0, F.concat("text", F.lit("\nA "), p, F.lit("\nB) "), p)).when(k == 1, F.concat(p, F.lit(" "), "text", F.lit(" "), p)).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", _HEX(scalars.composite_options(t)).alias("digest"))
 
 
 @query("""SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn, text)) AS digest, sum(turn)::BIGINT AS marks, min_by(role, turn) AS first_role FROM conversations GROUP BY conv_id""")
