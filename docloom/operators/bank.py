@@ -45,10 +45,15 @@ def prune_orphans(logs: DataFrame, items: DataFrame, name: str, paper: str, pref
     return logs.join(keys, logs[name] == keys["p"], "left_semi")
 
 
-def delete_with_cascade(items: DataFrame, logs: DataFrame, ids: list, key: str, paper: str, name: str, prefix: str = "MS:") -> tuple[DataFrame, DataFrame]:
-    """Items without ``ids``, and logs without those of papers that lost their last item (all logs, if no item is left)."""
-    gone = items.filter(F.col(key).isin(ids))
-    left = items.filter(~F.coalesce(F.col(key).isin(ids), F.lit(False)))
+def delete_with_cascade(items: DataFrame, logs: DataFrame, ids: list | DataFrame, key: str, paper: str, name: str, prefix: str = "MS:") -> tuple[DataFrame, DataFrame]:
+    """Items without ``ids`` (a list, or a table of them), and logs without those of papers that lost their last item (all logs, if
+    no item is left)."""
+    if isinstance(ids, DataFrame):
+        doomed = ids.select(F.col(key)).distinct()
+        gone, left = items.join(doomed, key, "left_semi"), items.join(doomed, key, "left_anti")
+    else:
+        gone = items.filter(F.col(key).isin(ids))
+        left = items.filter(~F.coalesce(F.col(key).isin(ids), F.lit(False)))
     emptied = gone.select(F.trim(paper).alias("p")).distinct().join(left.select(F.trim(paper).alias("p")).distinct(), "p", "left_anti").filter("p <> ''")
     names = emptied.unionByName(emptied.select(F.concat(F.lit(prefix), "p").alias("p")))
     some = left.select(F.lit(1).alias("some")).limit(1)
@@ -99,6 +104,32 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str], k
     return out.withColumn(kept_id, F.when(F.col("t_id").isNotNull(), fresh).otherwise(F.col(kept_id).cast("string"))).drop("t_id")
 
 
+def merge_parts(rows: DataFrame, by: list[str], order: list[str], text: str, total: str, first: list[str]) -> DataFrame:
+    """Parts of one item joined in order: their texts after blank lines, the sum of ``total``, the first part's other values."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
+    firsts = [F.min_by(c, F.struct(*order)).alias(f"first_{c}") for c in first]
+    return rows.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["_t"]), "\n\n").alias(text), F.sum(total).alias(total), *firsts)
+
+
+def swap_answers(rows: DataFrame, swaps: DataFrame, key: str, paper: str, content: str, place: str, answer: str) -> DataFrame:
+    """``rows`` with answers exchanged: ``swaps`` (key, number) gives each row named the answer of the first row of its paper with that
+    number, which gets its answer in turn. A row's number leads its content, else it is its place. Swaps that name no other row, or
+    rows that another swap names, change nothing twice: the least key's swap counts.
+    """
+    lead = F.expr(f"try_cast(regexp_extract(trim({content}), '(?i)^(?:question\\\\s+|q\\\\.?\\\\s*)?([0-9]+)', 1) as bigint)")
+    r = rows.withColumn("_n", F.coalesce(lead, F.col(place).cast("bigint")))
+    first = r.groupBy(F.col(paper).alias("_paper"), F.col("_n").alias("_number")).agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(answer).alias("a")), place).alias("_to"))
+    asked = swaps.select(F.col(key).alias("_key"), F.col("number").alias("_want"))
+    pairs = r.join(asked, F.col(key) == F.col("_key")).join(first, (F.col(paper) == F.col("_paper")) & (F.col("_want") == F.col("_number"))).filter(F.col(key) != F.col("_to.k"))
+    # each row takes part in one swap: that of the least asking key
+    ends = pairs.select(F.col(key).alias("by"), F.explode(F.array(F.struct(F.col(key).alias("k"), F.col("_to.a").alias("a")), F.struct(F.col("_to.k").alias("k"), F.col(answer).alias("a")))).alias("x")).select("by", "x.*")
+    mine = ends.groupBy("k").agg(F.min("by").alias("by"))
+    whole = mine.groupBy("by").agg(F.count("*").alias("ends")).filter("ends = 2").select("by")
+    new = ends.join(mine, ["k", "by"], "left_semi").join(whole, "by", "left_semi").select(F.col("k").alias("_k"), F.col("a").alias("_a"))
+    out = rows.join(new, F.col(key) == F.col("_k"), "left")
+    return out.withColumn(answer, F.when(F.col("_k").isNotNull(), F.col("_a")).otherwise(F.col(answer))).select(*rows.columns)
+
+
 def import_upsert(old: DataFrame, new: DataFrame, keys: list[str], overwrite: list[str], topics: str = "topics", module: str = "module") -> DataFrame:
     """As an import does it: empty new topics keep the old ones, a null new module the old one; other columns stay."""
     n = new.select(*(F.col(c).alias(f"n_{c}") for c in new.columns))

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (part of a model's name, dollars a million prompt tokens, a million completion tokens); the first that fits counts.
-RATES = [("mini", 0.15, 0.6), ("nano", 0.1, 0.4), ("large", 5.0, 15.0), ("pro", 1.25, 10.0), ("flash", 0.3, 2.5)]
+#: Fixed values: (part of a model's name, dollars a million prompt tokens, a million completion tokens); the first that fits counts.
+RATES = [
+    ("gemini-3.7-flash", 0.375, 1.875),
+    ("gemini-3.7_flash", 0.375, 1.875),
+    ("gemini", 0.30, 2.50),
+    ("deepseek", 0.14, 0.28),
+    ("gpt-4o-mini", 0.15, 0.60),
+    ("haiku", 0.80, 4.00),
+    ("gpt-4o", 2.50, 10.00),
+    ("sonnet", 3.00, 15.00),
+]
 DEFAULT_RATE = (0.15, 0.5)
 FREE_UPLOADS = 3
 
@@ -60,3 +69,14 @@ def merge_reports(reports: DataFrame, by: list[str], counters: list[str], reason
     each = reports.select(*by, F.explode(reasons).alias("reason", "n")).groupBy(*by, "reason").agg(F.sum("n").alias("n"))
     maps = each.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias(reasons))
     return sums.join(maps, by, "left")
+
+
+def mark_check(items: DataFrame, expected: DataFrame, key: str, marks: str, expected_marks: str) -> DataFrame:
+    """key, actual, expected, ok of the items that have an expectation."""
+    e = expected.select(F.col(key).alias("_key"), F.col(expected_marks).alias("expected"))
+    return items.join(e, F.col(key) == F.col("_key")).select(key, F.col(marks).alias("actual"), "expected", (F.col(marks) == F.col("expected")).alias("ok"))
+
+
+def elapsed(rows: DataFrame, by: list[str], total: Column, part: str) -> DataFrame:
+    """``elapsed`` of each group: the total that it reports, else the sum of its parts."""
+    return rows.groupBy(*by).agg(F.coalesce(F.max(total), F.sum(part)).alias("elapsed"))

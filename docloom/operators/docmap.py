@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from docloom.operators import folds, windows
+from docloom.sources.shared import kept_table
 
 
 def page_reliability(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
@@ -64,8 +65,9 @@ def hybrid_map(pages: DataFrame, proposals: DataFrame | None = None, doc: str =
     Text headings carry a document where they suffice; otherwise the proposals' numbers (doc, page, number) join them. Spans end
     at the page before the next one's start, expected marks come from footers by number.
     """
-    marks = scan_pages(pages, doc, page, text)
-    heads = canonical_headings(prune_headings(marks, doc, page), doc, page)
+    # pages are scanned and headings folded once; both are read several times below
+    marks = kept_table(scan_pages(pages, doc, page, text), "marks")
+    heads = kept_table(canonical_headings(prune_headings(marks, doc, page), doc, page), "headings")
     n_pages = pages.groupBy(doc).agg((F.max(page) + 1).alias("_pages"))
     enough = windows.sequence_sufficiency(heads.join(n_pages, doc).withColumnRenamed(page, "page"), [doc], "number", "_pages").filter("sufficient").select(doc)
     rows = heads.select(doc, F.col(page).alias("start_page"), F.col(page).alias("end_page"), "number", "y")

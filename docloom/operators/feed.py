@@ -94,10 +94,10 @@ def contained(topics: Column, allowed: list[str]) -> Column:
 
 def append_new(chosen: DataFrame, added: DataFrame, key: str = "id") -> DataFrame:
     """An ordered list (key, pos) with the keys of another that it lacks appended in their order."""
-    last = chosen.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("last"))
-    new = added.join(chosen.select(key), key, "left_anti").groupBy(key).agg(F.min("pos").alias("pos"))
-    numbered = new.withColumn("pos", F.row_number().over(Window.orderBy("pos", key))).crossJoin(F.broadcast(last))
-    return chosen.select(key, F.col("pos").cast("long")).unionByName(numbered.select(key, (F.col("pos") + F.col("last")).cast("long").alias("pos")))
+    last = chosen.agg(F.max("pos")).first()[0] or 0
+    new = added.join(chosen.select(key), key, "left_anti").groupBy(key).agg(F.min("pos").alias("_pos"))
+    placed = numbered(new, F.col("_pos"), F.col(key), name="pos")
+    return chosen.select(key, F.col("pos").cast("long")).unionByName(placed.select(key, (F.col("pos") + last).cast("long").alias("pos")))
 
 
 def ordered_lookup(items: DataFrame, ids: list, key: str) -> DataFrame:

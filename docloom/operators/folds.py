@@ -1,7 +1,7 @@
 """Folds whose state depends on what was kept: plain functions, and grouped pandas functions over documents of bounded size.
 
-A group is one document (at most some hundred pages), so no group grows with the data. Rows are sorted inside the group by
-explicit keys.
+A group is to be one document (at most some hundred pages), so that no group grows with the data; callers see to that. Rows are
+sorted inside the group by explicit keys.
 """
 
 from __future__ import annotations
@@ -20,11 +20,15 @@ def longest_steps(values: list[int], most_step: int = 3, anchor: int = 1) -> lis
         return []
     first = values.index(anchor)
     best, prev = {first: 1}, {first: -1}
+    #: place of the earliest longest chain that ends at a value
+    at = {values[first]: first}
     for i in range(first + 1, len(values)):
-        # the earliest of the longest predecessors
-        for j in range(first, i):
-            if j in best and 0 < values[i] - values[j] <= most_step and best[j] + 1 > best.get(i, 0):
-                best[i], prev[i] = best[j] + 1, j
+        before = [at[v] for v in range(values[i] - most_step, values[i]) if v in at]
+        if before:
+            j = max(before, key=lambda j: (best[j], -j))
+            best[i], prev[i] = best[j] + 1, j
+            if values[i] not in at or best[i] > best[at[values[i]]]:
+                at[values[i]] = i
     end = max(best, key=lambda i: (best[i], -i))
     out = []
     while end >= 0:

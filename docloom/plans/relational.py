@@ -117,11 +117,9 @@ def topic_containment(spark, sf):
   a AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey DESC) AS pos FROM supplier WHERE s_nationkey IN (3, 4, 5))
   SELECT id, pos FROM c UNION ALL SELECT id, (SELECT coalesce(max(pos), 0) FROM c) + row_number() OVER (ORDER BY pos, id) FROM a WHERE id NOT IN (SELECT id FROM c)""")
 def ordered_append(spark, sf):
-    from pyspark.sql import Window
-
     s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
-    chosen = s.filter("s_nationkey = 3").select("id", F.row_number().over(Window.orderBy("id")).alias("pos"))
-    added = s.filter("s_nationkey in (3, 4, 5)").select("id", F.row_number().over(Window.orderBy(F.desc("id"))).alias("pos"))
+    chosen = feed.numbered(s.filter("s_nationkey = 3").select("id"), F.col("id"), name="pos")
+    added = feed.numbered(s.filter("s_nationkey in (3, 4, 5)").select("id"), F.col("id").desc(), name="pos")
     return feed.append_new(chosen, added)
 
 
@@ -205,18 +203,84 @@ def prune_orphans(spark, sf):
 
 @query(W + f""", {_LOGS}, gone AS (SELECT * FROM items WHERE paper_name IN ('src2', 'src4') AND NOT (paper_name = 'src4' AND seq % 2 = 0)), rest AS (SELECT * FROM items WHERE id NOT IN (SELECT id FROM gone)),
   emptied AS (SELECT DISTINCT paper_name AS p FROM gone WHERE paper_name NOT IN (SELECT DISTINCT paper_name FROM rest WHERE paper_name IS NOT NULL))
-  SELECT 'item' AS kind, seq AS id FROM rest UNION ALL SELECT 'log', log_id FROM logs WHERE paper NOT IN (SELECT p FROM emptied UNION ALL SELECT 'MS:' || p FROM emptied)""")
+  SELECT 'item' AS kind, seq AS id FROM rest UNION ALL SELECT 'log', log_id FROM logs WHERE paper NOT IN (SELECT p FROM emptied UNION ALL SELECT 'MS:' || p FROM emptied) UNION ALL SELECT 'left of all', 0""")
 def delete_cascade(spark, sf):
-    """Whole papers and parts of papers deleted by id: a paper that lost its last item takes its logs along."""
-    every = items(spark, sf)
+    """Whole papers and parts of papers deleted by id: a paper that lost its last item takes its logs along. And all items deleted,
+    after which no log is left."""
+    every, logs = items(spark, sf), _logs(spark, sf)
     doomed = every.filter("paper_name in ('src2', 'src4') and not (paper_name = 'src4' and seq % 2 = 0)").select("id")
-    left = every.join(doomed, "id", "left_anti")
-    gone = every.join(doomed, "id", "left_semi")
-    emptied = gone.select(F.trim("paper_name").alias("p")).distinct().join(left.select(F.trim("paper_name").alias("p")).distinct(), "p", "left_anti")
-    names = emptied.unionByName(emptied.select(F.concat(F.lit("MS:"), "p").alias("p")))
+    left, kept = bank.delete_with_cascade(every, logs, doomed, "id", "paper_name", "paper")
+    none = bank.delete_with_cascade(every, logs, every.select("id"), "id", "paper_name", "paper")
+    rest = none[0].select("id").unionByName(none[1].select(F.col("log_id").cast("string").alias("id"))).agg(F.lit("left of all").alias("kind"), F.count("*").alias("id"))
+    return left.select(F.lit("item").alias("kind"), F.col("seq").alias("id")).unionByName(kept.select(F.lit("log").alias("kind"), F.col("log_id").alias("id"))).unionByName(rest)
+
+
+@query(W + """ SELECT id, marks, array_to_string(topics, ',') AS topics, paper_name FROM items UNION ALL SELECT 'new' || doc_id, quality, '', NULL FROM labels""")
+def bank_insert(spark, sf):
+    """New items without topics and papers join the bank."""
+    new = load(spark, sf, "labels").select(F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("id"), F.col("quality").cast("long").alias("marks"), F.lit(None).cast("array<string>").alias("topics"))
+    out = bank.insert(items(spark, sf).select("id", "marks", "topics", "paper_name"), new)
+    return out.select("id", "marks", F.concat_ws(",", "topics").alias("topics"), "paper_name")
+
+
+@query("SELECT 'items' AS name, 0::BIGINT AS n UNION ALL SELECT 'logs', 0 UNION ALL SELECT 'labels', 0")
+def delete_all(spark, sf):
+    tables = bank.emptied(items(spark, sf), _logs(spark, sf), load(spark, sf, "labels"))
+    out = [t.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in zip(("items", "logs", "labels"), tables)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"WITH {_LOGS} SELECT log_id, paper FROM logs WHERE log_id <> (SELECT min(log_id) FROM logs)")
+def drop_log(spark, sf):
+    """The logs without one of them."""
     logs = _logs(spark, sf)
-    kept = logs.join(names, logs["paper"] == names["p"], "left_anti")
-    return left.select(F.lit("item").alias("kind"), F.col("seq").alias("id")).unionByName(kept.select(F.lit("log").alias("kind"), F.col("log_id").alias("id")))
+    return bank.drop_log(logs, "log_id", logs.agg(F.min("log_id")).first()[0]).select("log_id", "paper")
+
+
+@query(W + "SELECT seq, subject, marks, array_to_string(topics, ',') AS topics, (SELECT count(*) FROM items) AS n_items, false AS newer_is_read FROM items")
+def backup_gate(spark, sf):
+    """A backup written, its manifest read, the items read back; one of a newer format is refused."""
+    from docloom.sources import files
+    from docloom.sources.shared import fresh_folder
+
+    at = fresh_folder(spark, "backup")
+    rows = items(spark, sf).select("seq", "subject", "marks", "topics")
+    files.write_backup(rows, at, 0)
+    n = files.read_manifest(spark, at)["n_items"]
+    back = files.read_backup(spark, at, rows.schema)
+    newer = fresh_folder(spark, "backup")
+    spark.range(1).select(F.lit(files.BACKUP_VERSION + 1).alias("formatVersion"), F.lit(0).alias("created_at"), F.lit(0).alias("n_items")).write.json(f"{newer}/manifest")
+    try:
+        files.read_manifest(spark, newer)
+        read = True
+    except ValueError:
+        read = False
+    return back.select("seq", "subject", "marks", F.concat_ws(",", "topics").alias("topics"), F.lit(n).alias("n_items"), F.lit(read).alias("newer_is_read"))
+
+
+@query("SELECT source, count(*) AS n, count(*) AS again FROM documents GROUP BY 1")
+def cache_table(spark, sf):
+    """A table made once under a fingerprint and read from then on."""
+    from docloom.sources import files
+    from docloom.sources.shared import fresh_folder
+
+    at = fresh_folder(spark, "cache")
+    docs = load(spark, sf, "documents")
+    first = files.cached(spark, at, "sources", lambda: docs.groupBy("source").agg(F.count("*").alias("n")))
+    again = files.cached(spark, at, "sources", lambda: docs.limit(0).groupBy("source").agg(F.count("*").alias("n")))
+    return first.join(again.withColumnRenamed("n", "again"), "source")
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, c_custkey // 8 AS paper, c_custkey % 8 + 1 AS place, CASE WHEN c_custkey % 3 = 0 THEN 'Q' || (c_custkey % 8 + 1) || '. text' ELSE 'text' END AS content, 'answer ' || c_custkey AS answer FROM customer)
+  SELECT k, CASE place WHEN 2 THEN coalesce((SELECT s.answer FROM r s WHERE s.paper = r.paper AND s.place = 5), answer) WHEN 5 THEN coalesce((SELECT s.answer FROM r s WHERE s.paper = r.paper AND s.place = 2), answer) ELSE answer END AS answer FROM r""")
+def answer_swap(spark, sf):
+    """In each paper the second question swaps its answer with the question of number 5."""
+    c = F.col("c_custkey")
+    place = c % 8 + 1
+    content = F.when(c % 3 == 0, F.concat(F.lit("Q"), place.cast("string"), F.lit(". text"))).otherwise("text")
+    rows = load(spark, sf, "customer").select(c.alias("k"), F.floor(c / 8).alias("paper"), place.alias("place"), content.alias("content"), F.concat(F.lit("answer "), c.cast("string")).alias("answer"))
+    swaps = rows.filter("place = 2").select("k", F.lit(5).cast("long").alias("number"))
+    return bank.swap_answers(rows, swaps, "k", "paper", "content", "place", "answer").select("k", "answer")
 
 
 @query(W + f", {_LOGS} SELECT 'item' AS kind, seq AS id FROM items WHERE paper_name <> 'src3' OR paper_name IS NULL UNION ALL SELECT 'log', log_id FROM logs WHERE paper NOT IN ('src3', 'MS:src3')")
@@ -308,17 +372,17 @@ def rollup_marks(spark, sf):
 
 # ---- costs and reports
 
-_MODELS = "CASE event_id % 5 WHEN 0 THEN 'x-mini' WHEN 1 THEN 'Y-Large' WHEN 2 THEN 'o1-pro' WHEN 3 THEN 'flash-3.7' ELSE 'other' END"
+_NAMES = ["x/gpt-4o-mini", "Gemini-3.7-Flash", "gemini-2.5-flash", "deepseek-r", "gpt-4o", "a-haiku", "a-sonnet", "o1-pro", "other"]
+_MODELS = f"CASE event_id % {len(_NAMES)} {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES))} END"
 
 
 def _calls(spark, sf):
     e = F.col("event_id")
-    model = F.when(e % 5 == 0, "x-mini").when(e % 5 == 1, "Y-Large").when(e % 5 == 2, "o1-pro").when(e % 5 == 3, "flash-3.7").otherwise("other")
+    model = F.element_at(F.array(*map(F.lit, _NAMES)), (e % len(_NAMES) + 1).cast("int"))
     return load(spark, sf, "events").select("event_id", "event_type", "ts", "user_id", "value", "props", model.alias("model"), (e % 1000 * 10).alias("prompt"), (e % 300).alias("completion"))
 
 
-_IN = "CASE WHEN contains(lower(model), 'mini') THEN 0.15 WHEN contains(lower(model), 'nano') THEN 0.1 WHEN contains(lower(model), 'large') THEN 5.0 WHEN contains(lower(model), 'pro') THEN 1.25 WHEN contains(lower(model), 'flash') THEN 0.3 ELSE 0.15 END::DOUBLE"
-_OUT = "CASE WHEN contains(lower(model), 'mini') THEN 0.6 WHEN contains(lower(model), 'nano') THEN 0.4 WHEN contains(lower(model), 'large') THEN 15.0 WHEN contains(lower(model), 'pro') THEN 10.0 WHEN contains(lower(model), 'flash') THEN 2.5 ELSE 0.5 END::DOUBLE"
+_IN, _OUT = (f"CASE {' '.join(f"WHEN contains(lower(model), '{r[0]}') THEN {r[i]}" for r in costs.RATES)} ELSE {costs.DEFAULT_RATE[i - 1]} END::DOUBLE" for i in (1, 2))
 _CALLS = f"calls AS (SELECT *, event_id % 1000 * 10 AS prompt, event_id % 300 AS completion, {_MODELS} AS model FROM events)"
 
 
@@ -390,15 +454,13 @@ def report_merge(spark, sf):
 
 @query("SELECT user_id, coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END), sum(event_id))::BIGINT AS elapsed FROM events GROUP BY 1")
 def elapsed_total(spark, sf):
-    total = F.max(F.when(F.col("event_type") == "purchase", F.col("event_id")))
-    return load(spark, sf, "events").groupBy("user_id").agg(F.coalesce(total, F.sum("event_id")).alias("elapsed"))
+    return costs.elapsed(load(spark, sf, "events"), ["user_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), "event_id")
 
 
 @query(W + """SELECT seq, marks AS actual, quality + 3 AS expected, marks = quality + 3 AS ok FROM items JOIN labels ON doc_id = seq""")
 def mark_check(spark, sf):
-    i, l = items(spark, sf), load(spark, sf, "labels")
-    expected = (F.col("quality") + 3).alias("expected")
-    return i.join(l, i["seq"] == l["doc_id"]).select("seq", F.col("marks").alias("actual"), expected, (F.col("marks") == F.col("quality") + 3).alias("ok"))
+    expected = load(spark, sf, "labels").select(F.col("doc_id").alias("seq"), (F.col("quality") + 3).alias("want"))
+    return costs.mark_check(items(spark, sf), expected, "seq", "marks", "want")
 
 
 @query(W + """SELECT i.seq, coalesce(i.question_number, l.quality + 100) AS expected FROM items i LEFT JOIN labels l ON l.doc_id = i.seq""")

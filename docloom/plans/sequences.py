@@ -39,13 +39,13 @@ def span_guard(spark, sf):
 
 @query()
 def lis_headings(spark, sf):
-    """The longest chain of numbers from 1 of each user; tests hold it against brute force."""
-    e = events(spark, sf, number=E() % 9 + 1).select("user_id", "event_id", "number")
+    """The longest chain of numbers from 1 of each paper of 64 events; tests hold it against brute force."""
+    e = events(spark, sf, number=E() * 7 % 9 + 1, paper=F.floor(E() / 64)).select("paper", "event_id", "number")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[folds.longest_steps(pdf["number"].tolist())]
 
-    return folds.per_document(e, ["user_id"], ["event_id"], fold, "user_id long, event_id long, number long")
+    return folds.per_document(e, ["paper"], ["event_id"], fold, "paper long, event_id long, number long")
 
 
 @query("""SELECT user_id, lo = 1 AND n >= 4 AND hi - n <= CASE WHEN hi <= 5 THEN 1 ELSE 2 END AND (on_pages >= 3 OR on_pages >= 0.3 * 5) AS sufficient FROM
@@ -126,6 +126,28 @@ def paper_pages(spark, sf):
     return load(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("page"), text.alias("text"))
 
 
+@query(f"WITH {PAGE_SQL} SELECT doc_id, page, page AS number FROM pages WHERE page > 0 AND page % 7 <> 6")
+def scan_headings_function(spark, sf):
+    """The headings of each page by a table function in SQL."""
+    spark.udtf.register("scan_headings", docmap.ScanHeadings)
+    paper_pages(spark, sf).createOrReplaceTempView("paper_pages")
+    return spark.sql("SELECT doc_id, page, CAST(h.number AS BIGINT) AS number FROM paper_pages, LATERAL scan_headings(text) h")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\s]+') AS w FROM conversations), l AS (SELECT conv_id, turn, unnest(w) AS w, (generate_subscripts(w, 1) - 1) // 10 AS line, generate_subscripts(w, 1) AS i FROM t),
+  j AS (SELECT conv_id, turn, line, string_agg(w, ' ' ORDER BY i) AS x FROM l GROUP BY ALL) SELECT conv_id, turn, sha256(string_agg(x, chr(10) ORDER BY line)) AS digest FROM j GROUP BY ALL""")
+def glyph_text(spark, sf):
+    """The words of each turn set as placed glyphs, ten in a line, and put together again."""
+    from docloom.sources.gateway import assemble_glyphs
+
+    t = load(spark, sf, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"[^\s]+"), 0).alias("w"))
+    w = t.select("conv_id", "turn", F.posexplode("w").alias("n", "w"))
+    g = w.select("conv_id", "turn", "n", F.posexplode(F.split("w", "")).alias("k", "char")).filter("char <> ''")
+    # words stand a thousand apart, glyphs one; a line is two high
+    g = g.select("conv_id", "turn", (F.col("n") * 100_000 + F.col("k")).alias("i"), "char", (F.col("n") % 10 * 100_000.0 + F.col("k")).alias("x"), (F.floor(F.col("n") / 10) * 2.0).alias("y"), F.lit(1.0).alias("width"), F.lit(1.0).alias("size"))
+    return assemble_glyphs(g, ["conv_id", "turn"], "i").select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
+
+
 @query(f"""WITH {PAGE_SQL} SELECT doc_id, page, CASE WHEN page = 0 OR regexp_matches(text, 'blank page', 'i') THEN 'NonQuestion' WHEN sum(strlen(text)) OVER (PARTITION BY doc_id) < 100 OR strlen(text) < 20 THEN 'Ambiguous' ELSE 'Reliable' END AS reliability FROM pages""")
 def page_reliability(spark, sf):
     return docmap.page_reliability(paper_pages(spark, sf)).select("doc_id", "page", "reliability")
@@ -141,11 +163,12 @@ def heading_scan(spark, sf):
     return docmap.scan_pages(paper_pages(spark, sf)).filter("kind = 'heading'").select("doc_id", "page", "number")
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, event_id % 8 AS n, event_id % 4 AS p, event_id % 100 AS y FROM events) h WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id % 2 = 1 AND f.event_id % 6 = 1 AND f.user_id = h.user_id AND f.event_id % 4 = h.p AND f.event_id % 8 < h.n AND h.y < f.event_id % 100)")
+@query("SELECT user_id, event_id FROM (SELECT *, event_id % 8 AS n, event_id % 4 AS p, event_id % 100 AS y FROM events) h WHERE event_id % 3 < 2 AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id % 3 = 2 AND f.user_id = h.user_id AND f.event_id // 500 = h.event_id // 500 AND f.event_id % 4 = h.p AND f.event_id % 8 < h.n AND h.y < f.event_id % 100)")
 def heading_prune(spark, sf):
-    m = load(spark, sf, "events").filter((E() % 2 == 0) | (E() % 6 == 1))
-    m = m.select(F.col("user_id").alias("doc_id"), "event_id", (E() % 4).alias("page"), (E() % 8).alias("number"), (E() % 100).alias("y"), F.when(E() % 2 == 0, "heading").otherwise("footer").alias("kind"))
-    return docmap.prune_headings(m).select(F.col("doc_id").alias("user_id"), "event_id")
+    """Every third event a footer, the others headings, on the pages of a user's papers of 500 events."""
+    paper = F.col("user_id") * 1_000_000_000 + F.floor(E() / 500)
+    m = load(spark, sf, "events").select(paper.alias("doc_id"), "user_id", "event_id", (E() % 4).alias("page"), (E() % 8).alias("number"), (E() % 100).alias("y"), F.when(E() % 3 < 2, "heading").otherwise("footer").alias("kind"))
+    return docmap.prune_headings(m).select("user_id", "event_id")
 
 
 @query(f"""WITH {PAGE_SQL}, h AS (SELECT doc_id, page FROM pages WHERE page BETWEEN 1 AND 5 OR (page BETWEEN 7 AND 12)), k AS (SELECT doc_id, page, lead(page) OVER (PARTITION BY doc_id ORDER BY page) AS n FROM h)
@@ -220,23 +243,23 @@ def answer_stitch(spark, sf):
     return folds.per_document(c, ["conv_id"], ["turn", "text"], fold, "conv_id long, number long, text string")
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'See ![](a.png) here' WHEN 1 THEN 'In Figure 1 it is' || chr(10) || chr(10) || '![](a.png)' || chr(10) ELSE 'plain' || chr(10) || chr(10) || '![](a.png)' END AS text FROM documents")
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN 'See ![](a.png) here ' || text WHEN 1 THEN 'In Figure 1 it is' || chr(10) || chr(10) || '![](a.png)' || chr(10) || chr(10) || text ELSE regexp_replace('plain ' || text, '\\s+$', '') || chr(10) || chr(10) || '![](a.png)' END) AS digest FROM t""")
 def attach_figures(spark, sf):
     d = F.col("doc_id")
-    t = F.when(d % 3 == 0, "See [DIAGRAM_PLACEHOLDER] here").when(d % 3 == 1, "In Figure 1 it is").otherwise("plain")
-    return load(spark, sf, "documents").select("doc_id", rewrite.over(lambda x: rewrite.attach_figures(x, ["a.png"]))(t).alias("text"))
+    t = F.concat(F.when(d % 3 == 0, "See [DIAGRAM_PLACEHOLDER] here ").when(d % 3 == 1, "In Figure 1 it is\n").otherwise("plain "), F.coalesce("text", F.lit("")))
+    return load(spark, sf, "documents").select("doc_id", F.sha2(rewrite.over(lambda x: rewrite.attach_figures(x, ["a.png"]))(t), 256).alias("digest"))
 
 
 # ---- boxes made from vectors
 
-BOX_SQL = """boxes AS (SELECT vec_id, label, vec_id % 20 AS doc_id, vec_id % 3 AS page, abs(embedding[1])::DOUBLE * 4.0 % 0.8::DOUBLE AS x, abs(embedding[2])::DOUBLE * 4.0 % 0.8::DOUBLE AS y, abs(embedding[3])::DOUBLE * 2.0 % 0.4::DOUBLE AS w, abs(embedding[4])::DOUBLE * 2.0 % 0.4::DOUBLE AS h FROM embeddings)"""
+BOX_SQL = """boxes AS (SELECT vec_id, label, vec_id // 20 AS doc_id, vec_id % 3 AS page, abs(embedding[1])::DOUBLE * 4.0 % 0.8::DOUBLE AS x, abs(embedding[2])::DOUBLE * 4.0 % 0.8::DOUBLE AS y, abs(embedding[3])::DOUBLE * 2.0 % 0.4::DOUBLE AS w, abs(embedding[4])::DOUBLE * 2.0 % 0.4::DOUBLE AS h FROM embeddings)"""
 
 
 def boxes(spark, sf):
     e = F.col("embedding")
     part = lambda i, s: F.abs(e[i]).cast("double") * F.lit(5 * s) % F.lit(s)
     v = F.col("vec_id")
-    return load(spark, sf, "embeddings").select("vec_id", "label", (v % 20).alias("doc_id"), (v % 3).alias("page"), part(0, 0.8).alias("x"), part(1, 0.8).alias("y"), part(2, 0.4).alias("w"), part(3, 0.4).alias("h"))
+    return load(spark, sf, "embeddings").select("vec_id", "label", F.floor(v / 20).alias("doc_id"), (v % 3).alias("page"), part(0, 0.8).alias("x"), part(1, 0.8).alias("y"), part(2, 0.4).alias("w"), part(3, 0.4).alias("h"))
 
 
 @query(f"""WITH {BOX_SQL}, b AS (SELECT vec_id, x * s AS a, y * s AS b, w * s AS c, h * s AS d, CASE WHEN vec_id % 3 = 2 THEN 1.0 ELSE 0 END AS pix FROM boxes, LATERAL (SELECT CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 100.0 ELSE 900.0 END::DOUBLE AS s)),
@@ -306,18 +329,19 @@ def nearest_caption(spark, sf):
     return geometry.nearest_caption(b, c, "doc_id", "vec_id")
 
 
-_SPANS = "spans AS (SELECT k // 20 AS number, k % 20 AS doc_id, k // 20 % 3 AS start_page, k // 20 % 3 + k % 2 AS end_page, 0.2::DOUBLE AS start_y, 0.7::DOUBLE AS end_y FROM range(120) r(k))"
+_SPANS = "spans AS (SELECT number, doc_id, number % 3 AS start_page, number % 3 + (number + doc_id) % 2 AS end_page, 0.2::DOUBLE AS start_y, 0.7::DOUBLE AS end_y FROM (SELECT DISTINCT doc_id FROM boxes) d, range(6) r(number))"
 
 
-def _spans(spark):
-    k = F.col("id")
-    n = F.floor(k / 20)
-    return spark.range(120).select(n.alias("number"), (k % 20).alias("doc_id"), (n % 3).alias("start_page"), (n % 3 + k % 2).alias("end_page"), F.lit(0.2).alias("start_y"), F.lit(0.7).alias("end_y"))
+def _spans(spark, sf):
+    """Six spans of each document."""
+    d = boxes(spark, sf).select("doc_id").distinct().withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    n = F.col("number")
+    return d.select("number", "doc_id", (n % 3).alias("start_page"), (n % 3 + (n + F.col("doc_id")) % 2).alias("end_page"), F.lit(0.2).alias("start_y"), F.lit(0.7).alias("end_y"))
 
 
 @query(f"WITH {BOX_SQL}, {_SPANS} SELECT vec_id, number FROM boxes b JOIN spans s ON b.doc_id = s.doc_id AND page BETWEEN start_page AND end_page AND (page > start_page OR y + h / 2 >= start_y) AND (page < end_page OR y + h / 2 <= end_y)")
 def band_join(spark, sf):
-    return geometry.in_band(boxes(spark, sf), _spans(spark), "doc_id").select("vec_id", "number")
+    return geometry.in_band(boxes(spark, sf), _spans(spark, sf), "doc_id").select("vec_id", "number")
 
 
 @query(f"""WITH {BOX_SQL}, {_SPANS}, banded AS (SELECT b.doc_id, number, vec_id AS seq, 0 AS rank FROM boxes b JOIN spans s ON b.doc_id = s.doc_id AND page BETWEEN start_page AND end_page AND (page > start_page OR y + h / 2 >= start_y) AND (page < end_page OR y + h / 2 <= end_y)),
@@ -325,25 +349,28 @@ def band_join(spark, sf):
   SELECT doc_id, number, seq FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, number ORDER BY rank, seq) = 1""")
 def caption_match(spark, sf):
     b = boxes(spark, sf)
-    banded = geometry.in_band(b, _spans(spark), "doc_id").select("doc_id", "number", F.col("vec_id").alias("seq"))
+    banded = geometry.in_band(b, _spans(spark, sf), "doc_id").select("doc_id", "number", F.col("vec_id").alias("seq"))
     figures = b.select("doc_id", "page", F.col("vec_id").alias("seq"))
     captions = b.filter("vec_id % 4 = 1").select("doc_id", "page", (F.col("vec_id") % 10).alias("number"))
     return docmap.caption_matches(figures, captions, banded)
 
 
-@query("SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i] - b.embedding[i])::DOUBLE)) / 64, 5) < 1.0 AS near FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("""SELECT a.vec_id, count(b.vec_id) AS n_near FROM embeddings a LEFT JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label AND a.vec_id // 100 = b.vec_id // 100
+  AND round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i] - b.embedding[i])::DOUBLE)) / 64, 5) < 0.13 GROUP BY 1""")
 def vector_near_dup(spark, sf):
-    e = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return e.join(nxt, "vec_id").select("vec_id", (F.round(geometry.mean_l1(F.col("embedding"), F.col("other")), 5) < 1.0).alias("near"))
+    """How many other vectors of its import (a hundred vectors) and label are near each vector."""
+    e = load(spark, sf, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 100).alias("batch"), "embedding")
+    o = e.select(F.col("vec_id").alias("other_id"), "label", "batch", F.col("embedding").alias("other"))
+    near = e.join(o, ["label", "batch"]).filter(F.col("vec_id") != F.col("other_id")).filter(F.round(geometry.mean_l1(F.col("embedding"), F.col("other")), 5) < 0.13)
+    return e.select("vec_id").join(near.groupBy("vec_id").agg(F.count("*").alias("n")), "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_near"))
 
 
 @query()
 def image_near_dup(spark, sf):
-    """Of each label's vectors those kept when one near an earlier kept one goes."""
+    """Of each import's vectors (a hundred) those kept when one near an earlier kept one goes."""
     import numpy as np
 
-    e = load(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("part"), "embedding")
+    e = load(spark, sf, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 100).alias("part"), "embedding")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[folds.first_of_each(np.stack(pdf["embedding"]), 0.8)][["part", "vec_id"]]

@@ -342,8 +342,10 @@ def composite_options(spark, sf):
 @query("""SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn, text)) AS digest, sum(turn)::BIGINT AS marks, min_by(role, turn) AS first_role FROM conversations GROUP BY conv_id""")
 def merge_items(spark, sf):
     """Parts of one item joined in order: contents, the sum of marks, the first scalars."""
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return load(spark, sf, "conversations").groupBy("conv_id").agg(_HEX(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n")).alias("digest"), F.sum("turn").alias("marks"), F.min_by("role", "turn").alias("first_role"))
+    from docloom.operators import bank
+
+    rows = load(spark, sf, "conversations").withColumn("marks", F.col("turn"))
+    return bank.merge_parts(rows, ["conv_id"], ["turn", "text"], "text", "marks", ["role"]).select("conv_id", _HEX("text").alias("digest"), "marks", "first_role")
 
 
 @query("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM conversations), c AS (SELECT conv_id, turn, w, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT conv_id, turn, sum(n) AS n FROM c GROUP BY ALL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
         at = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and reread, for plans that read it more than once."""
+    at = fresh_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -6,26 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Buckets of keys of a streamed table; a batch rewrites those that it touches.
+BUCKETS = 64
 
-def upsert_batch(spark: SparkSession, table: str, keys: list[str], order: str):
-    """A ``foreachBatch`` function: the table's next version is its last one with the batch's latest row of each key.
 
-    Versions are folders ``v=<batch>``; a batch that runs again writes the same version again, so replays change nothing.
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, table: str) -> dict[int, list[int]]:
+    """The finished versions that hold each bucket, in order. A row for each bucket and version; old versions are removed."""
+    fs, root = _fs(spark, table)
+    out: dict[int, list[int]] = {}
+    for v in fs.listStatus(root) if fs.exists(root) else []:
+        at = v.getPath()
+        if at.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+            for b in fs.listStatus(at):
+                if b.getPath().getName().startswith("_b="):
+                    out.setdefault(int(b.getPath().getName()[3:]), []).append(int(at.getName()[2:]))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def upsert_batch(spark: SparkSession, table: str, keys: list[str], order: str, buckets: int = BUCKETS):
+    """A ``foreachBatch`` function: each bucket of keys that the batch touches gets a version of its own, its last one with the batch's
+    latest row of each key. Other buckets are not read or written.
+
+    Versions are folders ``v=<batch>/_b=<bucket>``; a batch that runs again writes the same ones again from the versions before, so
+    replays change nothing. Of each bucket the last two versions stay.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = []
-        if fs.exists(path):
-            for s in fs.listStatus(path):
-                name = s.getPath().getName()
-                if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                    done.append(int(name[2:]))
-        before = max((v for v in done if v < batch_id), default=None)
-        rows = batch if before is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table}/v={before}"))
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        fs, _ = _fs(spark, table)
+        rows = batch.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in rows.select("_b").distinct().collect()]
+        done = _versions(spark, table)
+        before = {b: max((v for v in done.get(b, ()) if v < batch_id), default=None) for b in touched}
+        paths = [f"{table}/v={v}/_b={b}" for b, v in before.items() if v is not None]
+        old = spark.read.schema(batch.schema).parquet(*paths).withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")) if paths else rows.limit(0)
+        latest = rows.unionByName(old).groupBy("_b", *keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("_b", "r.*")
+        if touched:
+            # rows of a bucket lie in one task's file
+            latest.repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{table}/v={batch_id}")
+        rows.unpersist()
+        for b, versions in _versions(spark, table).items():
+            for v in versions[:-2]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}/_b={b}"), True)
 
     return run
 
@@ -36,10 +62,8 @@ def stream_upsert(source: DataFrame, table: str, keys: list[str], order: str, ch
 
 
 def latest_version(spark: SparkSession, table: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return spark.read.parquet(f"{table}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+    """The newest version of every bucket."""
+    return spark.read.parquet(*(f"{table}/v={v[-1]}/_b={b}" for b, v in sorted(_versions(spark, table).items())))
 
 
 def tumbling(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:

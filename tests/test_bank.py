@@ -72,3 +72,40 @@ def test_insert_and_clear(spark):
     assert sorted(map(tuple, bank.insert(items, new).collect())) == [("a", ["t"], 1), ("b", [], None)]
     assert [t.count() for t in bank.emptied(items, new)] == [0, 0]
     assert bank.drop_log(items, "id", "a").count() == 0
+
+
+def test_swap_answers(spark):
+    rows = [(1, "p", "Q1. x", 1, "a1"), (2, "p", "2) x", 2, "a2"), (3, "p", "text", 3, "a3"), (4, "q", "question 2", 1, "b2"), (5, "q", "no number", 2, "b5"), (6, None, "1", 1, "c"), (7, "q", "7", 3, None)]
+    df = spark.createDataFrame(rows, "k long, paper string, content string, place long, answer string")
+
+    def swapped(*swaps):
+        got = bank.swap_answers(df, spark.createDataFrame(list(swaps), "k long, number long"), "k", "paper", "content", "place", "answer")
+        return {r["k"]: r["answer"] for r in got.collect()}
+
+    same = {r[0]: r[4] for r in rows}
+    assert swapped((1, 3)) == same | {1: "a3", 3: "a1"}
+    assert swapped((1, 9), (4, 2), (2, 2), (6, 1)) == same
+    # the first row of a number; an answer that is missing; swaps that share a row
+    assert swapped((7, 2)) == same | {7: "b2", 4: None}
+    assert swapped((1, 2), (3, 2)) == same | {1: "a2", 2: "a1"}
+
+
+def test_merge_parts(spark):
+    df = spark.createDataFrame([(1, 2, "b", 3, "x"), (1, 1, "a", None, "y"), (2, 1, "c", 4, None)], "k long, o long, t string, m long, f string")
+    assert sorted(map(tuple, bank.merge_parts(df, ["k"], ["o"], "t", "m", ["f"]).collect())) == [(1, "a\n\nb", 3, "y"), (2, "c", 4, None)]
+
+
+def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    from docloom.streaming.ingest import latest_version, upsert_batch
+
+    at = f"file://{tmp_path}/table"
+    run = upsert_batch(spark, at, ["k"], "v", buckets=8)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v long")
+    run(frame([(f"k{i}", 0) for i in range(40)]), 0)
+    for n in (1, 2, 3, 3):  # the last batch runs twice
+        run(frame([("k1", n), ("k2", -n)]), n)
+    run(frame([]), 4)
+    got = {r["k"]: r["v"] for r in latest_version(spark, at).select("k", "v").collect()}
+    assert got == {f"k{i}": 0 for i in range(40)} | {"k1": 3}
+    held = sorted(p.parent.name for p in tmp_path.glob("table/v=*/_b=*"))
+    assert len(set(held) - {"v=0"}) <= 2 and held.count("v=0") >= 6

@@ -113,3 +113,23 @@ def test_glyphs(spark):
     g = [(0, i, c, x, y, 5.0, 10.0) for i, (c, x, y) in enumerate([("a", 0.0, 0.0), ("b", 5.0, 0.0), ("c", 14.0, 0.0), ("d", 0.0, 20.0)])]
     rows = spark.createDataFrame(g, "page int, seq int, char string, x double, y double, width double, size double")
     assert gateway.assemble_glyphs(rows, ["page"], "seq").first()["text"] == "ab c\nd"
+
+
+def test_longest_steps_equals_brute_force():
+    import itertools
+    import random
+
+    from docloom.operators import folds
+
+    r = random.Random(1)
+    for _ in range(200):
+        v = [r.randint(1, 6) for _ in range(r.randint(0, 9))]
+        got = folds.longest_steps(v)
+        best = 0
+        if 1 in v:
+            first = v.index(1)
+            for k in range(1, len(v) + 1):
+                for c in itertools.combinations(range(first, len(v)), k):
+                    if c[0] == first and all(0 < v[b] - v[a] <= 3 for a, b in zip(c, c[1:])):
+                        best = max(best, k)
+        assert len(got) == best and all(0 < v[b] - v[a] <= 3 for a, b in zip(got, got[1:])) and (not got or got[0] == v.index(1))
