@@ -134,7 +134,7 @@ def scan_headings_function(spark, sf):
     return spark.sql("SELECT doc_id, page, CAST(h.number AS BIGINT) AS number FROM paper_pages, LATERAL scan_headings(text) h")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\s]+') AS w FROM conversations), l AS (SELECT conv_id, turn, unnest(w) AS w, (generate_subscripts(w, 1) - 1) // 10 AS line, generate_subscripts(w, 1) AS i FROM t),
+@query("""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\\s]+') AS w FROM conversations), l AS (SELECT conv_id, turn, unnest(w) AS w, (generate_subscripts(w, 1) - 1) // 10 AS line, generate_subscripts(w, 1) AS i FROM t),
   j AS (SELECT conv_id, turn, line, string_agg(w, ' ' ORDER BY i) AS x FROM l GROUP BY ALL) SELECT conv_id, turn, sha256(string_agg(x, chr(10) ORDER BY line)) AS digest FROM j GROUP BY ALL""")
 def glyph_text(spark, sf):
     """The words of each turn set as placed glyphs, ten in a line, and put together again."""

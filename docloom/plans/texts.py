@@ -254,7 +254,7 @@ conditional_heal = _rewritten("conditional_heal", rewrite.heal_polar, lambda: F.
 latex_sanitize = _rewritten("latex_sanitize", rewrite.latex_sanitize, lambda: F.concat(F.lit("20°C, 5kg, ½ x² ≤ π "), _T()), "regexp_replace('20\\,^{\\circ}\\mathrm{C}, 5\\,kg, \\frac{1}{2} x^{2} \\leq \\pi ' || text, '[ \\t]{2,}', ' ', 'g')")
 relocate_marks = _rewritten("relocate_marks", rewrite.relocate_marks, lambda: F.concat(F.lit("(a) Find [2 marks] x\n(b) "), _T()), "regexp_replace('(a) Find  x [2 marks]' || chr(10) || '(b) ' || text, '\\s+$', '')")
 latex_format = _rewritten("latex_format", rewrite.latex_format, lambda: F.concat(F.lit("**bold** $a_1$ *it* 5% "), _T()))
-marker_cleanup = _rewritten("marker_cleanup", rewrite.marker_cleanup, lambda: F.concat(F.lit("Turn over\n7.1 Do\n\\ frac{1}{2}\n[3 marks]\n"), _T()))
+marker_cleanup = _rewritten("marker_cleanup", rewrite.marker_cleanup, lambda: F.concat(F.lit("Turn over\n7.1 Do\n\\ frac{1}{2}\n[3 marks]\n"), _T()), _collapsed(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('(a) Do' || chr(10) || '\\frac{{1}}{{2}}' || chr(10) || chr(10) || text, '{_BOILER_SQL}', '', 'g'), '{_SERIAL_SQL}', '', 'g'), '(?mi)^(?:Q[0-9]{{1,3}}\\.?|[0-9] [0-9] )\\s*', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\s+$', '') || ' [3 marks]'"))
 mcq_options = _rewritten("mcq_options", rewrite.mcq_options, lambda: F.concat(F.lit("Which? A) one B) two C) three D) four\n"), _T()), "array_to_string(['Which?', '', '- **A** one', '', '- **B** two', '', '- **C** three', '', '- **D** four', text], chr(10))")
 table_from_columns = _rewritten("table_from_columns", rewrite.table_from_columns, lambda: F.concat(F.lit("speed  mass\nA 1  2\nB 3  4\nC 5  6\n"), _T()), "array_to_string(['| | speed | mass |', '|---|---|---|', '| **A** | 1 | 2 |', '| **B** | 3 | 4 |', '| **C** | 5 | 6 |', text], chr(10))")
 table_repair = _rewritten("table_repair", rewrite.table_repair, lambda: F.concat(F.lit("x\n| a | b |\n| 1 | 2 |\n"), _T()), "array_to_string(['x', '', '| a | b |', '|---|---|', '| 1 | 2 |'], chr(10)) || chr(10) || CASE WHEN regexp_matches(text, '^[^\\n]*\\S') THEN chr(10) ELSE '' END || text")
