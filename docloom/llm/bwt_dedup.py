@@ -6,8 +6,9 @@ string of phrase names (hashes of the bytes between anchors). Each map task is a
 once, with a count. Strings are dealt by their anchor; where they meet, each shard's strings get a Burrows-Wheeler transform and
 the transforms are merged by refining their interleave, symbol by symbol, until it stands still. The refinement yields common
 prefixes, and intervals of equal strings with two occurrences or more are the repeated stretches, without sorting the merged
-suffixes again. A stretch that occurs once but shares its anchor with others is repeated in part at most; an exact check
-compares the windows of just these stretches, byte string by byte string.
+suffixes again. A stretch that occurs once but shares its anchor with others is repeated in part at most; a check of all windows
+of just these stretches settles them, by 64-bit hashes of the byte strings. Equal windows stand at one offset from their anchor,
+so the windows of an anchor that many stretches share are dealt by ranges of that offset.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from docloom.llm.common import bounded, text_bytes, written
 LENGTH, K = 400, 32
 #: Bytes of text parsed at once, strings that a map task holds before it sends them, strings of one merge (whole anchors).
 CHUNK, HELD, MERGED = 1 << 20, 60_000, 20_000
+#: Stretches of an anchor beyond which its windows are dealt by offset: so many a range, in OFFSETS ranges at most. Rows of a check.
+HOT, OFFSETS, CHECKED = 2048, 32, 4096
 #: Shards of a merge at most: map tasks are dealt among them.
 SHARDS = 8
 #: Symbols of a string at most; the last one covers what is left of the stretch.
@@ -270,13 +273,13 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def places(rid, name, s, e):
             n = len(rid)
-            return _batch(kind=np.zeros(n, np.int32), rid=rid, name=name, s=s, e=e, task=np.full(n, task, np.int32), key=np.zeros(n, np.int64), n=np.zeros(n, np.int64), symbols=[[]] * n)
+            return _batch(kind=np.zeros(n, np.int32), rid=rid, name=name, s=s, e=e, task=np.full(n, task, np.int32), key=np.zeros(n, np.int64), p=np.zeros(n, np.int64), n=np.zeros(n, np.int64), symbols=[[]] * n)
 
         def strings():
             v = list(held.values())
             names = np.array(list(held), np.uint64).view(np.int64)
             held.clear()
-            return _batch(kind=np.ones(len(v), np.int32), rid=np.array([x[2] for x in v], np.int64), name=names, s=np.array([x[3] for x in v], np.int64), e=np.array([x[4] for x in v], np.int64), task=np.full(len(v), task, np.int32), key=np.array([x[0] for x in v], np.uint64).view(np.int64), n=np.array([x[1] for x in v], np.int64), symbols=[x[5].view(np.int64) for x in v])
+            return _batch(kind=np.ones(len(v), np.int32), rid=np.array([x[2] for x in v], np.int64), name=names, s=np.array([x[3] for x in v], np.int64), e=np.array([x[4] for x in v], np.int64), task=np.full(len(v), task, np.int32), key=np.array([x[0] for x in v], np.uint64).view(np.int64), p=np.array([x[6] for x in v], np.int64), n=np.array([x[1] for x in v], np.int64), symbols=[x[5].view(np.int64) for x in v])
 
         for b in batches:
             rids, i = b.column("rid").to_numpy(), 0
@@ -289,7 +292,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 for k, nm in enumerate(name.tolist()):
                     x = held.get(nm)
                     if x is None:
-                        held[nm] = [int(key[k]), 1, int(rid[k]), int(s[k]), int(e[k]), symbols[begin[k] : upto[k]]]
+                        held[nm] = [int(key[k]), 1, int(rid[k]), int(s[k]), int(e[k]), symbols[begin[k] : upto[k]], int(p[k])]
                     else:
                         x[1] += 1
                 if len(name):
@@ -299,45 +302,40 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 i = j
         yield strings()
 
-    schema = "kind int, rid long, name long, s long, e long, task int, key long, n long, symbols array<long>"
+    schema = "kind int, rid long, name long, s long, e long, task int, key long, p long, n long, symbols array<long>"
     parsed = written(rows.withColumn("size", F.length("raw").cast("long")).mapInArrow(scan, schema), "bwt-parsed")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
         def settle(t: pa.Table) -> pa.RecordBatch:
             keys = t["key"].to_numpy()
             lists = t["symbols"].combine_chunks()
             flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
             said = _resolve(keys, t["task"].to_numpy(), t["n"].to_numpy(), flat, off)
             some = np.flatnonzero(said)
-            return _batch(said=said[some].astype(np.int32), **{c: t[c].to_numpy()[some] for c in ("rid", "name", "s", "e", "key")})
+            return _batch(said=said[some].astype(np.int32), **{c: t[c].to_numpy()[some] for c in ("rid", "name", "s", "e", "key", "p")})
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows >= MERGED:
-                keys = rest["key"].to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))  # the last anchor may go on
-                if cut:
-                    yield settle(rest.slice(0, cut).combine_chunks())
-                    rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield settle(rest.combine_chunks())
-
-    strings = parsed.filter("kind = 1").select("key", "task", "rid", "name", "s", "e", "n", "symbols")
-    said = written(strings.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "said int, rid long, name long, s long, e long, key long"), "bwt-said")
+        yield from map(settle, _whole_keys(batches, MERGED))
+
+    strings = parsed.filter("kind = 1").select("key", "p", "task", "rid", "name", "s", "e", "n", "symbols")
+    said = written(strings.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "said int, rid long, name long, s long, e long, key long, p long"), "bwt-said")
     whole = parsed.filter("kind = 0").select("rid", "name", "s", "e").join(said.filter("said >= 2").select("name").distinct(), "name").select("rid", "s", "e")
 
     # exact check of the stretches that occur once beside others, against one of each string at their anchors
-    doubtful = said.filter("said in (1, 3)").select("rid", "key", "s", "e", (F.col("said") == 1).alias("asks")).distinct()
+    doubtful = said.filter("said in (1, 3)").select("rid", "key", "p", "s", "e", (F.col("said") == 1).alias("asks")).distinct()
+    # a row for each hot anchor: the width of its offset ranges
+    ranges = F.least(F.lit(OFFSETS), F.ceil(F.col("n") / HOT))
+    hot = doubtful.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("hot", F.ceil(length / ranges).cast("long").alias("width"))
+    doubtful = doubtful.join(written(hot, "bwt-hot"), F.col("key") == F.col("hot"), "left")
+    one = F.array(F.lit(0).cast("long"))
+    doubtful = doubtful.withColumn("g", F.explode(F.when(F.col("width").isNull(), one).otherwise(F.sequence(F.floor((F.col("s") - F.col("p")) / F.col("width")), F.floor((F.col("e") - F.col("p")) / F.col("width"))))))
+    first = F.greatest("s", F.coalesce(F.col("p") + F.col("g") * F.col("width"), F.col("s")))
+    last = F.least("e", F.coalesce(F.col("p") + (F.col("g") + 1) * F.col("width") - 1, F.col("e")))
+    doubtful = written(doubtful.select("rid", F.xxhash64("key", "g").alias("key"), first.alias("s"), last.alias("e"), "asks"), "bwt-doubtful")
     listed = doubtful.groupBy("rid").agg(F.collect_list(F.struct("key", "s", "e", "asks")).alias("at"))
     texts = _chosen(rows.select("rid", "raw"), doubtful).dropDuplicates(["rid"]).join(listed, "rid")
     parts = texts.select("rid", "raw", F.explode("at").alias("x")).select("rid", "x.*", F.expr("substring(raw, cast(x.s + 1 as int), cast(x.e - x.s + %d as int))" % length).alias("part"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
         def settle(t: pa.Table) -> pa.RecordBatch:
             # hashes of all windows, computed for some rows at a time; only they and their order are held for the whole group
             hashes, n = [], np.zeros(t.num_rows, np.int64)
@@ -369,22 +367,32 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             row, s = row[first], t["s"].to_numpy()
             return _batch(rid=t["rid"].to_numpy()[row], s=s[row] + good[first] - begin[row], e=s[row] + good[last] - begin[row])
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows >= 4096:
-                keys = rest["key"].to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))
-                if cut:
-                    yield settle(rest.slice(0, cut).combine_chunks())
-                    rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield settle(rest.combine_chunks())
+        yield from map(settle, _whole_keys(batches, CHECKED))
 
     in_part = parts.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "rid long, s long, e long")
     return whole.unionByName(in_part)
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Tables of some ``least`` rows, sorted by key, each with all rows of its keys."""
+    held, n, first = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        last = b.column("key")[-1].as_py()
+        first = b.column("key")[0].as_py() if first is None else first
+        # while all rows are of one key, which may go on, none is looked at again
+        if n >= least and last != first:
+            t = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(t["key"].to_numpy(), last))
+            yield t.slice(0, cut).combine_chunks()
+            held, n, first = t.slice(cut).to_batches(), t.num_rows - cut, last
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _batch(**cols) -> pa.RecordBatch:
     kinds = {"kind": pa.int32(), "task": pa.int32(), "said": pa.int32(), "symbols": pa.list_(pa.int64())}
     arrays = [pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items()]

@@ -266,3 +266,17 @@ def test_one_of_each_with_several_texts_under_an_id(spark):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (0, " ".join(b) + " end"), (5, " ".join(a) + " end"), (7, None), (None, " ".join(a))]
     kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, kept)) == Counter([rows[0], rows[2], rows[4], rows[5]])
+
+
+@pytest.mark.parametrize("hot,offsets,rows_", [(3, 7, 1), (2, 32, 10), (10**6, 1, 4096)])
+def test_hot_anchors_equal_brute_force(spark, monkeypatch, hot, offsets, rows_):
+    # one passage in most texts, between different words, so that many stretches share its anchors
+    for name, v in (("HOT", hot), ("OFFSETS", offsets), ("CHECKED", rows_), ("MERGED", rows_)):
+        monkeypatch.setattr(bwt_dedup, name, v)
+    r = random.Random(21)
+    make = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
+    passage = make(650)
+    texts = [make(r.randint(0, 300)) + passage[r.randint(0, 120) : r.randint(500, 650)] + make(r.randint(0, 300)) for _ in range(60)] + [make(900), passage, passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in bwt_dedup.remove_repeats(df).collect())
+    assert got == Counter((i, *w) for i, w in enumerate(brute_repeats([t.encode() for t in texts], 400)))
