@@ -411,7 +411,7 @@ def stream_upsert(spark, sf):
     from docloom.streaming.ingest import latest_version, stream_upsert
 
     docs = load(spark, sf, "documents").select("doc_id", "lang", "source")
-    source = spark.readStream.schema(load(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]").select(*docs.columns)
+    source = _stream(spark, sf, "documents").select(*docs.columns)
     at = fresh_folder(spark, "stream")
     stream_upsert(source, f"{at}/table", ["source", "lang"], "doc_id", f"{at}/checkpoint").awaitTermination()
     return latest_version(spark, f"{at}/table").select("source", "lang", "doc_id")
@@ -419,27 +419,41 @@ def stream_upsert(spark, sf):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf):
-    """Extension: hourly windows."""
-    from docloom.streaming.ingest import tumbling
+    """Extension: hourly windows over a stream of events, upserted as they change."""
+    from docloom.sources.shared import fresh_folder
+    from docloom.streaming.ingest import drained, tumbling
+
+    got = drained(tumbling(_event_stream(spark, sf)), "update", ["start", "event_type"], "n", fresh_folder(spark, "windows"))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 6).alias("value"))
+
+
+def _event_stream(spark, sf):
+    """Events as a stream; event time is to be a point in time, in the session's zone, and becomes local time again."""
+    return _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    return tumbling(load(spark, sf, "events")).select("start", "event_type", "n", F.round("value", 6).alias("value"))
+
+def _stream(spark, sf, name):
+    """A table as a stream of its files."""
+    return spark.readStream.schema(load(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM s)
   SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, i""")
 def stream_sessions(spark, sf):
-    """Extension: sessions with a gap of half an hour."""
-    from docloom.streaming.ingest import sessions
+    """Extension: sessions with a gap of half an hour over a stream of events."""
+    from docloom.sources.shared import fresh_folder
+    from docloom.streaming.ingest import drained, sessions
 
-    return sessions(load(spark, sf, "events")).select("user_id", "start", "n")
+    return drained(sessions(_event_stream(spark, sf)), "complete", ["user_id", "start"], None, fresh_folder(spark, "sessions")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup_watermark(spark, sf):
-    """Extension: one event of each user and type."""
-    from docloom.streaming.ingest import dedup
+    """Extension: one event of each user and type in a stream of events."""
+    from docloom.sources.shared import fresh_folder
+    from docloom.streaming.ingest import dedup, drained
 
-    return dedup(load(spark, sf, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+    return drained(dedup(_event_stream(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type"), "append", [], None, fresh_folder(spark, "dedup"))
 
 
 # ---- files

@@ -81,3 +81,21 @@ def sessions(events: DataFrame, by: str = "user_id", time: str = "ts", gap: str
 def dedup(events: DataFrame, keys: list[str], time: str = "ts", late: str = "2 hours") -> DataFrame:
     """Extension: one event of each key within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+
+
+def drained(stream: DataFrame, mode: str, keys: list[str], order: str | None, folder: str) -> DataFrame:
+    """The result of a streaming plan over everything that is there now: ``append`` adds each batch's rows to a table, ``update``
+    upserts its changed rows by key, ``complete`` replaces them all."""
+    spark, table = stream.sparkSession, f"{folder}/table"
+    if mode == "append":
+        stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(table)
+    if mode == "complete":
+        # the last batch holds all rows; a batch that runs again replaces itself
+        def sink(batch: DataFrame, _: int) -> None:
+            batch.write.mode("overwrite").parquet(table)
+
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(table)
+    stream.writeStream.foreachBatch(upsert_batch(spark, table, keys, order)).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return latest_version(spark, table).select(*stream.columns)

@@ -45,3 +45,25 @@ def test_nearest_caption_takes_the_first_on_a_tie(spark):
 def test_merge_touching():
     got = folds.merge_touching([(0, 0, 1, 1), (3, 3, 1, 1), (1, 0, 2, 1), (0, 0, 1, 1)], ["a", "a", "a", "b"])
     assert got == [((0, 0, 3, 1), "a"), ((3, 3, 1, 1), "a"), ((0, 0, 1, 1), "b")]
+
+
+def test_figure_detection_equals_plain_python(spark):
+    import math
+
+    from docloom.operators import folds
+    from docloom.plans import QUERIES
+    from docloom.plans.sequences import boxes
+
+    sf = "/root/testdata/sf0.001"
+    pages = {}
+    for r in boxes(spark, sf).orderBy("vec_id").collect():
+        pages.setdefault((r["doc_id"], r["page"]), []).append(r)
+    want = {}
+    for (doc, page), rows in pages.items():
+        kind = lambda b: ("rule" if max(b[2], b[3]) > 0.2 else "tiny") if min(b[2], b[3]) < 0.01 else "page" if b[2] * b[3] > 0.5 else "tiny" if b[2] * b[3] < 0.002 else "figure"
+        kept = [b for b in ((r["x"], r["y"], r["w"], r["h"]) for r in rows) if kind(b) in ("figure", "rule")]
+        for i, c in enumerate(c for c in folds.cluster_boxes(kept) if c[2] * c[3] <= 0.5):
+            mid = c[0] + c[2] / 2, c[1] + c[3] / 2
+            want[f"{doc}/{page}", i] = min((math.dist(mid, (r["x"], r["y"])) ** 2, r["vec_id"]) for r in rows)[1]
+    got = {(r["place"], r["seq"]): r["cseq"] for r in QUERIES["figure_detect"](spark, sf).collect()}
+    assert got == want and got
