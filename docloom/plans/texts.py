@@ -330,8 +330,11 @@ def json_array_extract(spark, sf):
     return docs(spark, sf).select("doc_id", _HEX(jsonx.array_in_prose(raw)).alias("found"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || 'A [DIAGRAM_PLACEHOLDER]' || chr(10) || 'B) [DIAGRAM_PLACEHOLDER]' WHEN 1 THEN '[DIAGRAM_PLACEHOLDER] ' || text || ' [DIAGRAM_PLACEHOLDER]' ELSE text END AS t, text FROM {_T_SQL})
-  SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '\\s+$', '') || CASE WHEN regexp_matches(text, '\\S') THEN chr(10) ELSE '' END || '[DIAGRAM_PLACEHOLDER]' WHEN 1 THEN regexp_replace('[DIAGRAM_PLACEHOLDER] ' || text, '\\s+$', '') ELSE text END) AS digest FROM t""")
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || 'A [DIAGRAM_PLACEHOLDER]' || chr(10) || 'B) [DIAGRAM_PLACEHOLDER]' WHEN 1 THEN '[DIAGRAM_PLACEHOLDER] ' || text || ' [DIAGRAM_PLACEHOLDER]' ELSE text END AS t FROM {_T_SQL}),
+  l AS (SELECT *, string_split(t, chr(10)) AS l, string_split(t, '[DIAGRAM_PLACEHOLDER]') AS p FROM t), m AS (SELECT *, [regexp_matches(x, '^\\s*[ABCD]\\s*(?:$|\\[DIAGRAM_PLACEHOLDER\\]|[).:])') FOR x IN l] AS m FROM l),
+  f AS (SELECT *, regexp_replace(array_to_string(l[1 : list_position(m, true) - 1], chr(10)), '\\s+$', '') AS lead FROM m)
+  SELECT doc_id, sha256(CASE WHEN len(list_filter(m, lambda x: x)) >= 2 AND len(p) > 1 THEN CASE WHEN lead = '' THEN '' ELSE lead || chr(10) END || '[DIAGRAM_PLACEHOLDER]'
+    WHEN len(p) > 2 THEN regexp_replace(p[1] || '[DIAGRAM_PLACEHOLDER]' || array_to_string(p[2:], ''), '^\\s+|\\s+$', '', 'g') ELSE t END) AS digest FROM f""")
 def composite_options(spark, sf):
     """Questions whose options are pictures, with one placeholder for all of them."""
     k, p = D() % 3, F.lit("[DIAGRAM_PLACEHOLDER]")
