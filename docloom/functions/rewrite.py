@@ -83,7 +83,7 @@ _LINES = re.compile(r"^[ \t]*(?:[_.\-]{6,}|answer\s*[:=]?\s*[_.]{3,}.*)[ \t]*$\n
 
 
 def collapse(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    return (re.sub(r"\n{3,}", "\n\n", text) if "\n\n\n" in text else text).strip()
 
 
 def strip_boilerplate(text: str) -> str:
@@ -182,10 +182,14 @@ def latex_format(text: str) -> str:
 
 
 _OPTION = re.compile(r"(?:^|\s)\(?([A-D])[).]\s+")
+#: What a line of three options, or a third row of columns, must hold.
+_THIRD, _THIRD_ROW = re.compile(r"C[).]\s"), re.compile(r"^\s*C\s+\S", re.M)
 
 
 def mcq_options(text: str) -> str:
     """Options A to D in one line, one paragraph each; a line with another order or an option that begins with a command verb stays."""
+    if not _THIRD.search(text):
+        return text
     out = []
     for line in text.split("\n"):
         marks = list(_OPTION.finditer(line))
@@ -206,6 +210,8 @@ def mcq_options(text: str) -> str:
 
 def table_from_columns(text: str) -> str:
     """Rows 'A  1.2  3.4' under a header of columns two spaces apart become a table."""
+    if not _THIRD_ROW.search(text):
+        return text
     lines, out, i = text.split("\n"), [], 0
     row = re.compile(r"^\s*([A-D])\s+(\S.*)$")
     while i < len(lines):
@@ -352,7 +358,8 @@ def marker_cleanup(text: str) -> str:
     text = _SERIAL.sub("", _BOILER.sub("", text))
     text = letters_for_decimals(text)
     text = re.sub(r"(?mi)^(?:Q\d{1,3}\.?|\d \d )\s*", "", text)
-    text = re.sub(r"(?m)(?<=[^\n])\n(?=\((?:[a-z]|[ivx]{1,4})\))", "\n\n", text)
+    if "\n(" in text:
+        text = re.sub(r"(?m)(?<=[^\n])\n(?=\((?:[a-z]|[ivx]{1,4})\))", "\n\n", text)
     text = table_from_columns(mcq_options(text))
     text = re.sub(r"(?m)^(?:\s*[A-D]\s*$\n?){4,}", "", text)
     return collapse(place_marks(text))
