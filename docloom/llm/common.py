@@ -98,12 +98,12 @@ def worker_cache(owner: object, make):
     if owner not in _slot:
         if _slot:
             _slot.clear()
-            _release()
+            release()
         _slot[owner] = make()
     return _slot[owner]
 
 
-def _release() -> None:
+def release() -> None:
     """Give memory that has been freed back to the system, where the platform can."""
     import ctypes
     import gc

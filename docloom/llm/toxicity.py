@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, worker_cache
+from docloom.llm.common import bounded, release, worker_cache
 
 #: Rows of each label that the model is fitted on at most, taken in the order of a hash of doc_id.
 FIT_TOXIC, FIT_ORDINARY = 2400, 6000
@@ -125,8 +125,12 @@ class _Windows:
     """The coded windows of some texts."""
 
     def __init__(self, texts: list[str], width: int):
-        parts = [coded(p, width)[:2] for p in _parts(texts)]
-        self.raw, self.sizes = b"".join(r for r, _ in parts), np.concatenate([s for _, s in parts])
+        self.raw, sizes = bytearray(), []
+        for p in _parts(texts):
+            raw, n, _ = coded(p, width)
+            self.raw += raw
+            sizes.append(n)
+        self.sizes = np.concatenate(sizes)
         self.ends = np.cumsum(self.sizes)
 
     def lengths(self, d: Dictionary) -> np.ndarray:
@@ -138,7 +142,8 @@ class _Windows:
 
         at = np.random.default_rng(1).permutation(np.flatnonzero(picked))
         at = at[: int(np.searchsorted(np.cumsum(self.sizes[at]), TRAINED)) + 1]
-        own = [self.raw[e - n : e] for e, n in zip(self.ends[at].tolist(), self.sizes[at].tolist())]
+        view = memoryview(self.raw)
+        own = [bytes(view[e - n : e]) for e, n in zip(self.ends[at].tolist(), self.sizes[at].tolist())]
         try:
             return zstandard.train_dictionary(size, [b"".join(own[i : i + SAMPLED]) for i in range(0, len(own), SAMPLED)], k=64, d=8, level=3).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the windows themselves
@@ -204,6 +209,7 @@ def fit(rows: list[tuple[str, int]]) -> Scorer:
             loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
             if best is None or loss < best[0]:
                 best = (loss, s)
+    release()
     return best[1]
 
 
