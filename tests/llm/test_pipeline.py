@@ -62,3 +62,33 @@ def test_run_reruns_agree(spark, folder):
     assert a == b and len(a) > 300
 
 
+
+
+def test_stages_with_repeated_ids_and_long_texts(spark, folder):
+    r = random.Random(11)
+    a, b, c = (" ".join(words(r, 80)) for _ in range(3))
+    long = " ".join(words(r, 60_000))
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (3, long), (4, long + " end"), (None, c), (5, None), (5, ""), (6, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0.5, "k") for i, t in rows], "doc_id long, text string, lang string, source string, score double, shard string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        kept[name] = sorted((str(x["doc_id"]), len(x["text"] or "")) for x in docs.collect())
+    assert len(kept["toxicity"]) == len(rows)
+    # 2 goes as a copy of 1's second text, 4 as one of 3; rows without an id or words stay, and each row of a text that stays
+    assert kept["near_duplicates"] == sorted((str(i), len(t or "")) for i, t in rows if i not in (2, 4)) == kept["decontamination"]
+    assert set(kept["mixing"]) <= {x for x in kept["decontamination"] if x[1]} and len(kept["mixing"]) >= 4
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert sorted(str(x["doc_id"]) for x in last) == [i for i, _ in kept["mixing"]]
+
+
+def test_run_leaves_no_tables_of_its_stages(spark, folder):
+    import glob
+
+    from docloom.llm import common
+
+    at = f"{common.shared_dir(spark).removeprefix('file://')}/docloom"
+    before = set(glob.glob(f"{at}/*"))
+    n = corpus_pipeline.run(spark, folder).count()
+    left = sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{at}/*")) - before)
+    assert n > 300 and left == ["stage-token_output", "tokens"]
