@@ -92,7 +92,7 @@ def draws(sizes: DataFrame, targets: DataFrame, most: int = MOST, block_words: i
     taken = taken.groupBy(F.col("doc_id").alias("e_id"), F.col("source").alias("e_source"), F.col("size").alias("e_size")).agg(F.count("*").alias("e_rows"))
     d = d.join(taken, (d["doc_id"].eqNullSafe(F.col("e_id"))) & d["source"].eqNullSafe(F.col("e_source")) & (d["size"] == F.col("e_size")), "left")
     partial = ((F.col("room") > 0) & (F.col("words") <= F.col("room"))) | F.col("e_id").isNotNull()
-    return d.withColumn("copies", F.col("whole") + F.when(partial & (F.col("whole") < most) & (F.col("size") > 0), 1).otherwise(0)).drop("e_id", "e_source", "e_size", "e_rows")
+    return d.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.when(partial & (F.col("whole") < most), 1).otherwise(0)).otherwise(0)).drop("e_id", "e_source", "e_size", "e_rows")
 
 
 def _let(value: Column, body) -> Column:
